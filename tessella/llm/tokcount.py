@@ -23,7 +23,7 @@ from tessella.llm.shared import bound_batches, texts
 #: Entries of the broadcast table: 12 bytes each, 0.8 MB in all, whatever the corpus.
 FREQUENT = 1 << 16
 #: Rows from which the table is made. It affects speed alone: what it lacks is encoded where it occurs.
-WARM_ROWS = 4096
+WARM_ROWS = 1024
 
 MARK = "▁".encode()
 
@@ -75,29 +75,22 @@ def keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, begins: np.ndarr
 
 
 def frequent(docs: DataFrame, model_path: str, rows: int = WARM_ROWS, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of the most frequent pre-tokens of some rows, found in one task; most entries at most."""
+    """Sorted keys and counts of the most frequent pre-tokens of the first rows that Spark finds, most entries at most.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, total, counts = processor(model_path), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
-        for batch in batches:
-            for _, _, raw, offs in textvec.chunks(batch.column(1)):
-                starts, ends, begins = split(raw, offs)
-                k, at, n = np.unique(keys(raw, starts, ends, begins), return_index=True, return_counts=True)
-                whole = raw.tobytes()
-                known = np.isin(k, total)
-                new = [count_piece(sp, whole[starts[i] : ends[i]], bool(begins[i])) for i in at[~known].tolist()]
-                counts[np.searchsorted(total, k[known]), 1] += n[known]
-                total = np.concatenate([total, k[~known]])
-                counts = np.concatenate([counts, np.stack([np.array(new, np.int64), n[~known]], 1)])
-                kept = np.sort(np.argsort(-counts[:, 1], kind="stable")[: 4 * most])
-                kept = kept[np.argsort(total[kept])]
-                total, counts = total[kept], counts[kept]
-        best = np.argsort(-counts[:, 1], kind="stable")[:most]
-        best = best[np.argsort(total[best])]
-        yield pa.RecordBatch.from_arrays([pa.array([total[best].tobytes()]), pa.array([counts[best, 0].astype(np.int32).tobytes()])], ["k", "n"])
-
-    got = texts(docs).limit(rows).coalesce(1).mapInArrow(run, "k binary, n binary").collect() if rows else []
-    return (np.frombuffer(bytes(got[0].k), np.uint64), np.frombuffer(bytes(got[0].n), np.int32)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    take() reads no more partitions than it needs, so that warming the table doesn't read the corpus once more.
+    """
+    sp, seen = processor(model_path), {}
+    for row in texts(docs).take(rows) if rows else []:
+        for _, _, raw, offs in textvec.chunks(pa.array([row.text or ""])):
+            starts, ends, begins = split(raw, offs)
+            whole = raw.tobytes()
+            for k, a, b, c in zip(keys(raw, starts, ends, begins).tolist(), starts.tolist(), ends.tolist(), begins.tolist()):
+                if k in seen:
+                    seen[k][1] += 1
+                else:
+                    seen[k] = [count_piece(sp, whole[a:b], c), 1]
+    best = sorted(sorted(seen, key=lambda k: -seen[k][1])[:most])
+    return np.array(best, np.uint64), np.array([seen[k][0] for k in best], np.int32)
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, warm_rows: int = WARM_ROWS) -> DataFrame:
