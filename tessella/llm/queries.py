@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, gif, langid, minhash, sharding, tokcount, warc
+from tessella.llm import bpe, decontam, gif, langid, minhash, sharding, tokcount, warc
 from tessella.llm.shared import documents, pages
 
 
@@ -18,6 +18,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokcount.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages(spark, sf_dir))
 
@@ -42,5 +46,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.split_and_identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_warc, op5_token_counts, op6_gif, op7_byte_bpe, op9_minhash, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op4_warc, op5_token_counts, op6_gif, op7_byte_bpe, op9_minhash, op10_language_id)}
 ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(), "op9_minhash": minhash.oracle(4, 80)}
