@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, decontam, gif, langid, minhash, sharding, tokcount, warc
+from tessella.llm import bpe, decontam, gif, langid, minhash, sharding, sitetree, tokcount, warc
 from tessella.llm.shared import documents, pages
 
 
@@ -38,6 +38,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep=False)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(pages(spark, sf_dir))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), 4, 80)
 
@@ -46,5 +50,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.split_and_identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op4_warc, op5_token_counts, op6_gif, op7_byte_bpe, op9_minhash, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op4_warc, op5_token_counts, op6_gif, op7_byte_bpe, op8_html_extraction, op9_minhash, op10_language_id)}
 ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(), "op9_minhash": minhash.oracle(4, 80)}
