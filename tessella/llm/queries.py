@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, decontam, gif, langid, minhash, sharding, sitetree, tokcount, warc
+from tessella.llm import bpe, decontam, gif, langid, lm, minhash, sharding, sitetree, tokcount, warc
 from tessella.llm.shared import documents, pages
 
 
@@ -22,6 +22,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return lm.score(docs, lm.split(docs))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages(spark, sf_dir))
 
@@ -50,5 +55,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.split_and_identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op4_warc, op5_token_counts, op6_gif, op7_byte_bpe, op8_html_extraction, op9_minhash, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_lm_scoring, op4_warc, op5_token_counts, op6_gif, op7_byte_bpe, op8_html_extraction, op9_minhash, op10_language_id)}
 ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(), "op9_minhash": minhash.oracle(4, 80)}
