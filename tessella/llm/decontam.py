@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,24 +166,13 @@ def _search(block: Block, rare: np.ndarray, h: np.ndarray, bounds: np.ndarray, t
             yield r, s, score, best[1], best[2], best[3]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score, matched_words, first_word, end_word: the documents that hold an item or an edited copy.
-
-    One row for each row of docs and item (item_id) whose best alignment reaches the threshold, with where it lies in
-    the document, in words. Other documents have no row. Words are lower-cased runs of letters, digits and bytes
-    over 127. Null and empty texts hold nothing and items without a word are in nothing; repeated documents have rows of
-    their own; null ids stay null; items with equal ids count as one item.
-    """
+def _prepared(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Broadcast, Broadcast]]:
+    """For each block of the benchmark the block and which of its n-grams are rare in docs (text, lower-cased)."""
     spark = docs.sparkSession
-    bound_batches(spark)
-    base = texts(docs).withColumn("text", F.lower("text"))
-    parts = []
-    schema = "doc_id long, item_id long, score double, matched_words int, first_word int, end_word int"
-    found = blocks(benchmark)
-    for block in found:
+    for block in blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
 
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def count(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
             distinct, which = np.unique(own.hashes, return_inverse=True)
             n = np.zeros(len(distinct), np.int64)
@@ -196,7 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["seed", "n"])
 
         # At most BLOCK n-grams and one item more have a count, whatever the corpus.
-        counts = base.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
+        counts = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
         distinct, which = np.unique(block.hashes, return_inverse=True)
         in_docs = np.zeros(len(distinct), np.int64)
         for c in counts:
@@ -205,9 +195,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         order = np.lexsort((each, block.segment))
         size = np.bincount(block.segment, minlength=len(block.segments))
         median = each[order][np.cumsum(size) - size + (size - 1) // 2]
-        rare = spark.sparkContext.broadcast((each > 0) & (each <= np.maximum(RARE, RARE_TIMES * median[block.segment])))
+        yield shared, spark.sparkContext.broadcast((each > 0) & (each <= np.maximum(RARE, RARE_TIMES * median[block.segment])))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id, score, matched_words, first_word, end_word: the documents that hold an item or an edited copy.
+
+    One row for each row of docs and item (item_id) whose best alignment reaches the threshold, with where it lies in
+    the document, in words. Other documents have no row. Words are lower-cased runs of letters, digits and bytes
+    over 127. Null and empty texts hold nothing and items without a word are in nothing; repeated documents have rows of
+    their own; null ids stay null; segments of one item within a block, and items of equal ids, count as one item.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    base = texts(docs).withColumn("text", F.lower("text"))
+    schema = "doc_id long, item_id long, score double, matched_words int, first_word int, end_word int"
+    out = spark.createDataFrame([], schema)
+    for shared, rare in _prepared(base, benchmark):
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, rare=rare) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared, rare: Broadcast = rare) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in batches:
                 ids, rows = batch.column(0).to_pylist(), []
@@ -222,10 +228,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], ["doc_id", "item_id", "score", "matched_words", "first_word", "end_word"])
 
-        parts.append(base.mapInArrow(search, schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.union(more)
-    return out if len(parts) == 1 else out.groupBy("doc_id", "item_id").agg(*[F.max_by(c, "score").alias(c) for c in ("score", "matched_words", "first_word", "end_word")])
+        out = out.union(base.mapInArrow(search, schema))
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that hold no item of the benchmark: those without a row in contaminated()."""
+    bound_batches(docs.sparkSession)
+    name = "_lower"
+    while name in docs.columns:
+        name += "_"
+    base = texts(docs).withColumn("text", F.lower("text"))
+    out = docs
+    for shared, rare in _prepared(base, benchmark):
+
+        def keep(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared, rare: Broadcast = rare) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                for lo, _, raw, offs in textvec.chunks(batch.column(batch.num_columns - 1)):
+                    h, _, _, bounds = words(raw, offs)
+                    for r, *_ in _search(shared.value, rare.value, h, bounds, threshold):
+                        stays[lo + r] = False
+                rows = batch.filter(pa.array(stays))
+                yield pa.RecordBatch.from_arrays(rows.columns[:-1], rows.schema.names[:-1])
+
+        out = out.withColumn(name, F.lower(F.col("text").cast("string"))).mapInArrow(keep, docs.schema)
+    return out

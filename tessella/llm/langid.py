@@ -282,6 +282,24 @@ def identify(docs: DataFrame, model: Model, extra: dict[str, Column] | None = No
     return base.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kept) + ", lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose language is determined with a posterior of at least least."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = []
+            for _, _, raw, offs in textvec.chunks(batch.column(at)):
+                langs, scores = shared.value.classify(raw, offs)
+                stays += [x != UNDETERMINED and s >= least for x, s in zip(langs, scores.tolist())]
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(docs: DataFrame) -> Column:
     """Whether crc32 of doc_id as text leaves 2 when divided by 4; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))) % 4 == 2

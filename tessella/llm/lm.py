@@ -28,7 +28,7 @@ from tessella.llm import textvec
 from tessella.llm.shared import bound_batches
 from tessella.llm.textvec import U
 
-ORDER = 2
+ORDER = 3
 #: Bytes of text in a block, a longer text by itself.
 BLOCK_BYTES = 8 << 20
 #: Context counts up to EXACT have buckets of their own, larger ones by powers of two.
@@ -142,7 +142,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             h = int(textvec.mix(np.array([zlib.crc32(text) << 32 | zlib.crc32(ids.tobytes() + lengths.tobytes())], np.uint64))[0] >> U(1))
             seen[h] = seen.get(h, -1) + 1
             h = (h + seen[h] * 0x9E3779B9) & ((1 << 63) - 1)  # equal blocks of one task have numbers of their own
-            row = [h, ids.tobytes(), nulls.tobytes(), train.tobytes(), lengths.tobytes(), zstandard.compress(text, 3)]
+            row = [h, ids.tobytes(), nulls.tobytes(), train.tobytes(), lengths.tobytes(), zstandard.compress(text, 7)]
             return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in batches:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessella.llm import textvec
 from tessella.llm.components import connected
@@ -65,8 +66,9 @@ def signature(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (16 bytes, equal for equal sets; null for an empty one), bands (binary, BANDS longs)."""
+    """doc_id, text_hash, n_shingles, set_id (16 bytes, equal for equal sets; null for an empty one), bands (binary, BANDS longs)."""
     bound_batches(docs.sparkSession)
+    names = ["doc_id", "text_hash", "n_shingles", "set_id", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,9 +88,9 @@ def features(docs: DataFrame, n: int) -> DataFrame:
                         else:
                             ids.append(None)
                             bands.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.binary())], ["doc_id", "n_shingles", "set_id", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.binary())], names)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands binary")
+    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_id binary, bands binary")
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -181,14 +183,8 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
             return found
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row: documents linked by a Jaccard similarity of percent or more.
-
-    Words are lower-cased (A-Z) runs of other than white space; a set holds the distinct runs of n words; fewer words make
-    one shingle. component_id is the least doc_id reachable, kept says whether it is the row's own. A null or empty text,
-    or one without words, has no shingles and is linked with nothing. Repeated rows stay and belong to one component; a
-    null doc_id is never a component_id where the component has another, and is kept where it has none.
-    """
+def _judged(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """near_duplicates() with text_hash."""
     rows = written(features(docs, n), "features")
     grouped = rows.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -197,7 +193,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = named.join(least, "root").select("set_id", "component_id")
     component = F.coalesce("component_id", "doc_id")
-    return rows.drop("bands").join(of, "set_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True) & component.isNull()).alias("kept"))
+    return rows.drop("bands").join(of, "set_id", "left").select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True) & component.isNull()).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row: documents linked by a Jaccard similarity of percent or more.
+
+    Words are lower-cased (A-Z) runs of other than white space; a set holds the distinct runs of n words; fewer words make
+    one shingle. component_id is the least doc_id reachable, kept says whether it is the row's own. A null or empty text,
+    or one without words, has no shingles and is linked with nothing. Repeated rows stay and belong to one component; a
+    null doc_id is never a component_id where the component has another, and is kept where it has none.
+    """
+    return _judged(docs, n, percent).drop("text_hash")
+
+
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, that stay: of each component the document of the least doc_id.
+
+    Rows that repeat a doc_id and text stay once. Documents without words stay, being linked with nothing.
+    """
+    stay = _judged(docs, n, percent).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    rows = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+    once = W.partitionBy("doc_id", "_text_hash").orderBy("doc_id")
+    joined = rows.join(stay, rows["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (rows["_text_hash"] == stay["_hash"]), "left_semi")
+    return joined.withColumn("_row", F.row_number().over(once)).filter("_row = 1").select(*docs.columns)
 
 
 def oracle(n: int = 4, percent: int = 80) -> str:
