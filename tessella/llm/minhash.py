@@ -5,7 +5,7 @@ evaluations. Bands of two permutations (four values) are equal with a chance of
 none of the 32 bands with a chance of 5e-8. Texts of equal sets are one class before anything is paired. In a bucket only
 the pairs with its centre are looked at; by the triangle inequality of the Jaccard distance, what is farther than twice
 the allowed distance from the centre has no link to those near it, and what is between is compared with them; the rest
-of the bucket goes on with a centre of its own. So no link between members of a bucket is lost, and a bucket of near
+of the bucket is compared in one task if it is small, or goes on with a centre of its own. So no link between members of a bucket is lost, and a bucket of near
 copies costs as many pairs as it has members.
 """
 
@@ -28,6 +28,8 @@ BANDS = PERMUTATIONS // PER_BAND
 #: Rows of one bucket, or pairs of one centre, that go to one part of a join; larger ones are spread.
 SALTS = 8
 PAIRS_PER_SALT = 1000
+#: Members that a centre's bucket leaves are compared in one task up to this number, beyond it with a centre of their own.
+LOCAL = 512
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,30 +159,71 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, shared long, united long")
 
 
+def _linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between the given sets that connect all that are linked. Sets that are connected already, or whose sizes rule
+    a link out, aren't compared."""
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    for x, i in enumerate(order):
+        for j in order[x + 1 :]:
+            small, large = len(sets[i]), len(sets[j])
+            if 100 * small < percent * large:
+                break
+            if find(i) == find(j):
+                continue
+            both = np.sort(np.concatenate([sets[i], sets[j]]))
+            same = int((both[1:] == both[:-1]).sum())
+            if 100 * same >= percent * (small + large - same):
+                root[find(j)] = find(i)
+                out.append((i, j))
+    return out
+
+
+def _local(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links within small buckets (key, cid). Bands often leave the same members; equal buckets are taken once."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids = group.column("cid").to_pylist()
+        found = _linked([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")], percent)
+        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+
+    buckets = rest.groupBy("key").agg(F.sort_array(F.collect_list("cid")).alias("cids")).select("cids").distinct()
+    rows = buckets.withColumn("bucket", F.xxhash64("cids")).select("bucket", F.explode("cids").alias("cid")).distinct()
+    return rows.join(sets, "cid").groupBy("bucket").applyInArrow(run, "a long, b long")
+
+
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b) of classes whose sets have 100 * shared >= percent * united, enough of them to connect all that are linked."""
     near = F.expr(f"100 * shared >= {percent} * united")
     far = 1 - percent / 100
-    every = _members(classes)
-    members = written(_centred(every), "members")
+    members = written(_centred(_members(classes)), "members")
     ids = members.select("cid").union(members.select(F.col("centre").alias("cid"))).distinct()
     sets = written(_sets(docs, classes.join(ids, "cid", "left_semi"), n).dropDuplicates(["cid"]), "sets")
-    found = None
+    found: DataFrame | None = None
     while True:
         pairs = written(_verified(members.select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct(), sets), "pairs")
         new = pairs.filter(near).select("a", "b")
-        judged = members.join(pairs, (F.col("centre") == F.col("a")) & (F.col("cid") == F.col("b"))).select("key", "cid", near.alias("near"), (1 - F.col("shared") / F.col("united")).alias("d"))
-        apart = judged.filter("NOT near")
-        rest = written(apart.select("key", "cid", "d"), "apart")
         found = new if found is None else found.union(new)
-        if not rest.limit(1).count():
-            return found
+        judged = members.join(pairs, (F.col("centre") == F.col("a")) & (F.col("cid") == F.col("b"))).select("key", "cid", near.alias("near"), (1 - F.col("shared") / F.col("united")).alias("d"))
+        rest = judged.filter("NOT near")
         between = rest.filter(F.col("d") <= 2 * far + 1e-9).select("key", F.col("cid").alias("b"), F.col("d").alias("_d"))
         grey = judged.filter("near").join(between, "key").filter(F.col("d") >= F.col("_d") - F.lit(far + 1e-9)).select(F.col("cid").alias("a"), "b").distinct()
         found = found.union(written(_verified(grey, sets).filter(near).select("a", "b"), "grey"))
-        members = written(_centred(rest.select("key", "cid")), "members")
-        if not members.limit(1).count():
+        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        left = written(rest.select("key", "cid").join(sizes, "key").filter("n > 1"), "left")
+        found = found.union(written(_local(left.filter(F.col("n") <= LOCAL).select("key", "cid"), sets, percent), "local"))
+        large = left.filter(F.col("n") > LOCAL).select("key", "cid")
+        if not large.limit(1).count():
             return found
+        members = written(_centred(large), "members")
 
 
 def _judged(docs: DataFrame, n: int, percent: int) -> DataFrame:
