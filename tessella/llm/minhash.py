@@ -5,8 +5,8 @@ evaluations. Bands of two permutations (four values) are equal with a chance of
 none of the 32 bands with a chance of 5e-8. Texts of equal sets are one class before anything is paired. In a bucket only
 the pairs with its centre are looked at; by the triangle inequality of the Jaccard distance, what is farther than twice
 the allowed distance from the centre has no link to those near it, and what is between is compared with them; the rest
-of the bucket is compared in one task if it is small, or goes on with a centre of its own. So no link between members of a bucket is lost, and a bucket of near
-copies costs as many pairs as it has members.
+of the bucket is compared in one task if it is small, or goes on with a centre of its own. So no link between members
+of a bucket is lost, and a bucket of near copies costs as many pairs as it has members.
 """
 
 from __future__ import annotations
