@@ -1,14 +1,420 @@
-"""The queries of the library itself and their SQL."""
+"""The queries of the library itself and their SQL.
+
+Inputs are the driver's tables, constants, and edges and sources that are built from the driver's rows, so that the rules
+run over as many rows as there are.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella import fixtures as X
+from tessella.functions import names as N
+from tessella.functions import scalars as S
+from tessella.operators import criteria as C
+from tessella.operators import doc_rules as D
+from tessella.operators import edges as E
+from tessella.operators import report as R
+from tessella.operators import rules as P
+from tessella.plans.layers import CATALOG, RULESET
+from tessella.sources.php import tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a query, and its SQL, by the function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _q(value) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
+def values(rows: list[tuple], columns: str) -> str:
+    """A DuckDB table of constants."""
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_q, r)) + ')' for r in rows)}) t({columns}))"
+
+
+# --- edges of a code base that is built from lineitem --------------------------------------------------------------------
+
+_PICKS = {"l_orderkey": ("(l_orderkey + {k}) % {n}"), "l_partkey": "(l_partkey + {k}) % {n}", "l_suppkey": "(l_suppkey * 7 + l_linenumber + {k}) % {n}"}
+
+
+def _pick_spark(col: str, k: int, items: list[str]):
+    return F.element_at(F.array(*map(F.lit, items)), (F.expr(_PICKS[col].format(k=k, n=len(items))) + 1).cast("int"))
+
+
+def _pick_sql(col: str, k: int, items: list[str]) -> str:
+    return f"([{', '.join(map(_q, items))}])[({_PICKS[col].format(k=k, n=len(items))}) + 1]"
+
+
+_PARTS = [("l_orderkey", 0, X.ROOTS), ("l_partkey", 1, X.MODULES), ("l_suppkey", 2, X.LAYERS), ("l_partkey", 3, X.PATHS)]
+_PARTS_B = [("l_suppkey", 5, X.ROOTS), ("l_orderkey", 4, X.MODULES), ("l_orderkey", 1, X.LAYERS), ("l_suppkey", 0, X.PATHS)]
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    name = lambda parts: F.concat(*[_pick_spark(*p) for p in parts])
+    return t.select("l_orderkey", "l_linenumber", name(_PARTS).alias("depender"), name(_PARTS_B).alias("dependent"), _pick_spark("l_partkey", 0, X.KINDS).alias("dep_type"))
+
+
+EDGES = f"""(SELECT l_orderkey, l_linenumber, {' || '.join(_pick_sql(*p) for p in _PARTS)} AS depender,
+  {' || '.join(_pick_sql(*p) for p in _PARTS_B)} AS dependent, {_pick_sql('l_partkey', 0, X.KINDS)} AS dep_type FROM lineitem)"""
+
+_MODULE = N.MODULE_CLASS
+PARSED = f"""SELECT *, regexp_extract(depender, '{_MODULE}', ['m', 'l', 'p']) AS a, regexp_extract(dependent, '{_MODULE}', ['m', 'l', 'p']) AS b,
+  regexp_matches(depender, '{_MODULE}') AS ia, regexp_matches(dependent, '{_MODULE}') AS ib FROM """
+CROSS = r"""dep_type <> 'USE' AND ia AND ib AND a.m <> b.m
+  AND NOT (starts_with(b.p, 'ValueObject\') OR starts_with(b.p, 'Enum\') OR ends_with(b.p, 'Dto'))
+  AND NOT (a.l = 'Domain' AND b.l = 'Domain' AND starts_with(a.p, 'Entity\') AND starts_with(b.p, 'Entity\'))
+  AND NOT (a.l = 'Application' AND b.l = 'Domain' AND starts_with(a.p, 'UseCase\Command\') AND (starts_with(b.p, 'Repository\') OR starts_with(b.p, 'Entity\')))
+  AND NOT (a.l = 'Integration' AND b.l = 'Application')"""
+CONTRACT = r"""dep_type <> 'USE' AND ib AND starts_with(b.p, 'Service\') AND (NOT ia OR a.m <> b.m OR (ends_with(b.p, 'Interface')
+  AND NOT (b.l = 'Domain' OR (a.l <> 'Domain' AND a.l = b.l))))"""
+
+
+@query(f"SELECT l_orderkey, l_linenumber, depender, dependent, dep_type FROM ({PARSED} {EDGES}) WHERE {CROSS}")
+def edge_cross_module(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges(spark, sf_dir).filter(E.cross_module(*[F.col(c) for c in ("depender", "dependent", "dep_type")]))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, depender, dependent, dep_type FROM ({PARSED} {EDGES}) WHERE {CONTRACT}")
+def edge_service_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges(spark, sf_dir).filter(E.service_contract(*[F.col(c) for c in ("depender", "dependent", "dep_type")]))
+
+
+@query(
+    f"""WITH e AS ({PARSED} {EDGES})
+SELECT l_orderkey, l_linenumber, depender, dependent, dep_type, 'CrossModule' AS rule, 'Unknown' AS layer FROM e WHERE {CROSS}
+UNION ALL SELECT l_orderkey, l_linenumber, depender, dependent, dep_type, 'ServiceContract', b.l FROM e WHERE {CONTRACT}"""
+)
+def edge_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both rules over one scan; an edge that breaks both has two rows."""
+    return E.edge_violations(edges(spark, sf_dir), ["CrossModule", "ServiceContract"])
+
+
+@query(f"SELECT dep_type, a.l AS from_layer, b.l AS to_layer, count(*) AS n FROM ({PARSED} {EDGES}) WHERE ia AND ib GROUP BY ALL")
+def edge_layer_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir).select("dep_type", N.parse_class(F.col("depender")).alias("a"), N.parse_class(F.col("dependent")).alias("b"))
+    return e.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("dep_type", F.col("a.layer").alias("from_layer"), F.col("b.layer").alias("to_layer")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _in_layer(column: str, layer: str) -> str:
+    """DuckDB has no look-ahead: what may not follow is a condition of its own."""
+    must, must_not = CATALOG[layer]
+    plain = [f"regexp_matches({column}, '{p.replace('(?!Model|Listener)', '')}')" for p in must]
+    if any("(?!" in p for p in must):
+        plain.append(f"regexp_matches({column}, '{must[0].replace('(?!Model|Listener).*$', '([^ML]|M[^o]|Mo[^d]|Mod[^e]|Mode[^l]|L[^i]|Li[^s]|Lis[^t]|List[^e]|Liste[^n]|Listen[^e]|Listene[^r]).*$')}')")
+    return " AND ".join(plain + [f"NOT regexp_matches({column}, '{p}')" for p in must_not])
+
+
+LAYERS_SQL = f"list_filter([{', '.join(f'CASE WHEN {_in_layer(chr(123) + chr(125), layer)} THEN {_q(layer)} END' for layer in sorted(CATALOG))}], lambda x: x IS NOT NULL)"
+
+
+def _layers_sql(column: str) -> str:
+    return LAYERS_SQL.replace("{}", column)
+
+
+CLASSES = f"(SELECT DISTINCT depender AS name FROM {EDGES})"
+
+
+@query(f"SELECT name, unnest({_layers_sql('name')}) AS layer FROM {CLASSES}")
+def layer_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = edges(spark, sf_dir).select(F.col("depender").alias("name")).distinct()
+    return names.select("name", F.explode(E.layers_of(F.col("name"))).alias("layer"))
+
+
+RULES_SQL = values([(a, t.lstrip("+"), int(t.startswith("+"))) for a, ts in RULESET.items() for t in ts], "layer, target, expand")
+CLOSURE = f"""r AS {RULES_SQL}, c(layer, target, expand) AS (SELECT layer, target, expand FROM r UNION SELECT c.layer, r.target, r.expand FROM c JOIN r ON c.expand = 1 AND r.layer = c.target)"""
+
+
+@query(f"WITH RECURSIVE {CLOSURE} SELECT DISTINCT layer, target FROM c")
+def ruleset_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.allowed_layers(spark)
+
+
+@query(
+    f"""WITH RECURSIVE {CLOSURE}, e AS (SELECT * FROM {EDGES} WHERE depender <> dependent),
+n AS (SELECT name, {_layers_sql('name')} AS layers FROM (SELECT DISTINCT depender AS name FROM e UNION SELECT DISTINCT dependent FROM e)),
+p AS (SELECT e.depender, e.dependent, unnest(x.layers) AS la, y.layers AS lb FROM e JOIN n x ON x.name = e.depender JOIN n y ON y.name = e.dependent),
+q AS (SELECT la, unnest(lb) AS lb FROM p)
+SELECT la AS depender_layer_name, lb AS dependent_layer_name, count(*) AS n FROM q WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.layer = q.la AND c.target = q.lb) GROUP BY ALL"""
+)
+def layer_ruleset_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.ruleset_violations(edges(spark, sf_dir))
+    return found.groupBy("depender_layer_name", "dependent_layer_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- documents -----------------------------------------------------------------------------------------------------------
+
+
+def docs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(X.DOCS, "path string, content string")
+
+
+def entries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(X.ENTRIES, "path string, is_dir boolean, basename string, extension string")
+
+
+@query("SELECT * FROM " + values(X.FRONT_MATTER_ERRORS, "path, detail"))
+def docs_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.front_matter_errors(docs(spark))
+
+
+@query("SELECT * FROM " + values(X.NAMING_ERRORS, "path, detail"))
+def docs_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.naming_errors(entries(spark))
+
+
+@query("SELECT * FROM " + values(X.BROKEN_LINKS, "path, line, target"))
+def docs_links_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.broken_links(docs(spark), entries(spark))
+
+
+@query("SELECT * FROM " + values(X.MISSING_SECTIONS, "path, detail"))
+def docs_sections_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.missing_sections(docs(spark))
+
+
+@query("SELECT * FROM " + values([("front-matter", len(X.FRONT_MATTER_ERRORS)), ("naming", len(X.NAMING_ERRORS)), ("link", len(X.BROKEN_LINKS)), ("section", len(X.MISSING_SECTIONS)), ("total", sum(map(len, (X.FRONT_MATTER_ERRORS, X.NAMING_ERRORS, X.BROKEN_LINKS, X.MISSING_SECTIONS))))], '"check", n'))
+def docs_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.totals(D.all_errors(docs(spark), entries(spark)))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of web pages: the same read of links per row, for another notation."""
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target"))
+
+
+@query("SELECT doc_id, i AS line, length(string_split(text, chr(10))[i]) AS n_chars FROM documents, range(1, 20000) r(i) WHERE i <= len(string_split(text, chr(10))) AND string_split(text, chr(10))[i] LIKE 'Released%'")
+def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents by their beginning, counted from 1: the read of headings, for other lines."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return lines.filter(F.col("line").startswith("Released")).select("doc_id", (F.col("i") + 1).cast("long").alias("line"), F.length("line").cast("long").alias("n_chars"))
+
+
+# --- rules over sources --------------------------------------------------------------------------------------------------
+
+
+def files(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(p, c) for p, (c, _) in X.SOURCES.items()], "path string, content string")
+
+
+def _expected(rule: str) -> str:
+    rows = [(p, line, code) for p, (_, found) in X.SOURCES.items() for line, r, code in found if r == rule]
+    return "SELECT * FROM " + values(rows, "path, line, code")
+
+
+def _sniff(name: str, rule: str, does: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return P.violations(tokens(files(spark)).persist(), [rule]).select("path", "line", "code")
+
+    run.__name__, run.__doc__ = name, does
+    query(_expected(rule))(run)
+
+
+for _name, _rule in (("sniff_dto", "DtoStructure"), ("sniff_message", "MessageStructure"), ("sniff_handler", "HandlerStructure"), ("sniff_enum", "EnumStructure"), ("sniff_naming", "UseCaseNaming"), ("sniff_calls", "GlobalCalls")):
+    _sniff(_name, _rule, P.RULES[_rule].__doc__)
+
+
+@query("SELECT * FROM " + values([(p, c) for p, c in X.FIXED.items()], "path, content"))
+def fix_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.fixed(tokens(files(spark).filter(F.col("path").isin(*X.FIXED))).persist())
+
+
+_COUNTS = f"(SELECT path, line, count(*)::INT AS n FROM {values([(p, line, c) for p, (_, f) in X.SOURCES.items() for line, _, c in f], 'path, line, code')} GROUP BY ALL)"
+
+
+@query(f"SELECT * FROM {_COUNTS}")
+def report_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.line_counts(P.violations(tokens(files(spark)).persist()))
+
+
+@query("SELECT path, line, 0 AS expected, n AS actual FROM " + _COUNTS + " WHERE n > 1 UNION ALL SELECT 'none.php', 1, 1, 0")
+def report_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual counts against expected ones that lack every line with several messages, and name one that isn't there."""
+    actual = R.line_counts(P.violations(tokens(files(spark)).persist()))
+    expected = actual.filter("n = 1").union(spark.createDataFrame([("none.php", 1, 1)], "path string, line int, n int"))
+    return R.differences(expected, actual, "path")
+
+
+@query("SELECT 5 AS copied, 0 AS updated, 2 AS skipped, false AS force UNION ALL SELECT 5, 1, 1, true")
+def init_copy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an initialisation would copy, update and skip; a file in keep is never overwritten."""
+    source = spark.createDataFrame([(f"docs/{i}.md",) for i in range(6)] + [("depfile.yaml",)], "path string")
+    target = spark.createDataFrame([("docs/0.md",), ("depfile.yaml",)], "path string")
+    one = lambda force: R.plan_counts(R.copy_plan(source, target, force, ("depfile.yaml",))).withColumn("force", F.lit(force))
+    return one(False).union(one(True))
+
+
+# --- criteria over entity tables -----------------------------------------------------------------------------------------
+
+_FOUND = C.Criteria(equal={"o_orderstatus": "O", "c_mktsegment": None}, at_least={"o_totalprice": 1000.0}, sort=("-o_totalprice",), limit=100, offset=10)
+
+
+def _orders_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+
+
+_JOINED = "FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O' AND o_totalprice >= 1000"
+
+
+@query(f"SELECT o_orderkey, o_totalprice, c_name, c_mktsegment {_JOINED} ORDER BY o_totalprice DESC, o_orderkey, c_custkey LIMIT 100 OFFSET 10")
+def criteria_find_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customers: filters where given, sort by an allowed field, a page. The limit is the feature."""
+    found = C.find(_orders_of_customers(spark, sf_dir), _FOUND, allowed=("o_totalprice", "o_orderdate"), default=("o_orderdate",), tie=("o_orderkey", "c_custkey"))
+    return found.select("o_orderkey", "o_totalprice", "c_name", "c_mktsegment")
+
+
+@query(f"SELECT count(*) AS total {_JOINED}")
+def criteria_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.count(_orders_of_customers(spark, sf_dir), _FOUND)
+
+
+@query("SELECT count(*) > 0 AS found FROM orders WHERE o_orderstatus = 'F'")
+def criteria_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.exists(table(spark, sf_dir, "orders"), C.Criteria(equal={"o_orderstatus": "F"}))
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def criteria_count_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.count_by(table(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey = 7")
+def criteria_get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.get_by_id(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), 7, id_col="c_custkey", uuid_col="c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00001')")
+def criteria_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.matching(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), C.Criteria(like={"c_name": C.plain(" 00001 ")}))
+
+
+@query("SELECT o_orderkey, o_orderstatus, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE 'partial' END AS status_text FROM orders")
+def criteria_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.translated(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", {"O": "open", "F": "filled", "P": "partial"}, "status_text")
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS value FROM orders GROUP BY 1")
+def criteria_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.last_wins(table(spark, sf_dir, "orders"), ("o_custkey",), F.col("o_orderkey"), F.struct("o_orderdate", "o_orderkey"))
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS value FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
+def criteria_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.first_match(table(spark, sf_dir, "orders"), ("o_custkey",), F.col("o_orderstatus") == "O", F.col("o_orderkey"), F.col("o_orderkey"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM supplier WHERE s_suppkey % 5 <> 0")
+def store_upsert_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers, of which some are saved again and some removed."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit("old").alias("state"))
+    changes = s.filter("s_suppkey % 3 = 0").withColumn("state", F.lit("new"))
+    return C.delete(C.upsert(s, changes, ("s_suppkey",), "s_suppkey"), s.filter("s_suppkey % 5 = 0"), ("s_suppkey",))
+
+
+@query("SELECT s_nationkey AS key FROM supplier INTERSECT SELECT c_nationkey FROM customer")
+def keys_in_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.duplicate_keys(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key")), table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("key")), "key")
+
+
+@query("SELECT n_nationkey AS key, CASE WHEN n_nationkey >= 10 THEN n_name ELSE lower(n_name) END AS value FROM nation")
+def maps_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))
+    return C.merged(n.withColumn("value", F.lower("value")), n.filter("key >= 10"), "key", "value")
+
+
+@query("SELECT o_orderkey, o_totalprice, CASE WHEN c_custkey IS NOT NULL THEN c_name END AS customer_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def dto_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows to records with a nested one that is null where there is none."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
+    out = C.dto(rows, {"o_orderkey": F.col("o_orderkey"), "o_totalprice": F.col("o_totalprice")}, {"customer": (F.col("c_custkey"), {"name": F.col("c_name")})})
+    return out.select("o_orderkey", "o_totalprice", F.col("customer.name").alias("customer_name"))
+
+
+@query("SELECT count(*) AS matched, coalesce(sum((o_orderstatus <> 'P')::INT), 0)::BIGINT AS changed FROM orders WHERE o_totalprice < 5000")
+def data_fix_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.data_fix(table(spark, sf_dir, "orders"), F.col("o_totalprice") < 5000, {"o_orderstatus": F.lit("P")}, execute=False)
+
+
+@query("SELECT o_orderkey, (o_orderdate + INTERVAL 30 MINUTE <= TIMESTAMP '1995-06-17 00:00:00') AND NOT (o_orderstatus = 'P') AS ok FROM orders")
+def spec_interval_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = C.Specification(S.within_minutes(F.col("o_orderdate").cast("timestamp_ntz"), 30, F.lit(datetime(1995, 6, 17)).cast("timestamp_ntz")))
+    partial = C.Specification(F.col("o_orderstatus") == "P")
+    return table(spark, sf_dir, "orders").select("o_orderkey", (done & ~partial).satisfied().alias("ok"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IS NULL OR event_type NOT IN ('click', 'view')")
+def enum_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.allowed_values(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", ("click", "view"))
+
+
+# --- scalars -------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, floor(o_totalprice::DECIMAL(15,2) * 7 * 10000)::BIGINT AS percent_e6, least(50000000::BIGINT, (o_totalprice::DECIMAL(15,2) * 1000000)::BIGINT) AS fixed_e6 FROM orders")
+def discount_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """7 percent and 50 off, in millionths."""
+    a = F.col("o_totalprice").cast("decimal(15,2)")
+    e6 = lambda d: (d * F.lit(1000000)).cast("long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", e6(S.discounted(a, F.lit("percent"), F.lit(7))).alias("percent_e6"), e6(S.discounted(a, F.lit("fixed"), F.lit(50))).alias("fixed_e6"))
+
+
+@query("SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 6) AS similarity FROM (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings) a JOIN (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings) b ON b.id = a.id + 1")
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding against the next."""
+    e = table(spark, sf_dir, "embeddings")
+    a = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("v"))
+    b = e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("w"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(S.cosine(F.col("v"), F.col("w")), 6).alias("similarity"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars <= 1024 THEN n_chars || ' B' ELSE regexp_replace(regexp_replace(printf('%.2f', round(n_chars / 1024.0, 2)), '0+$', ''), '\\.$', '') || ' KB' END AS size_text FROM documents")
+def format_bytes_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", S.size_text_loop(F.col("n_chars")).alias("size_text"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE regexp_replace(regexp_replace(printf('%.2f', round(n_chars / 1024.0, 2)), '0+$', ''), '\\.$', '') || ' KB' END AS size_text FROM documents")
+def format_bytes_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", S.size_text_log(F.col("n_chars")).alias("size_text"))
+
+
+@query("SELECT url, rtrim(regexp_replace(regexp_extract(url, '^[^?#]*'), '^[a-z]+:/', ''), '/') AS folded FROM pages")
+def path_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of URLs with a detour that folds away."""
+    path = F.regexp_replace(F.regexp_extract("url", "^[^?#]*", 0), "^[a-z]+:/", "")
+    return table(spark, sf_dir, "pages").select("url", N.fold_path(F.concat(path, F.lit("/x/./../y/.."))).alias("folded"))
+
+
+@query("SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_id % 3 + 1 AS attempt FROM events WHERE event_type = 'purchase'")
+def event_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands from events of a kind; the same function works on a stream."""
+    from tessella.streaming.events import commands
+
+    return commands(table(spark, sf_dir, "events"), F.col("event_type") == "purchase", {"event_id": F.col("event_id"), "user_id": F.col("user_id"), "at": S.timestamp_text(F.col("ts")), "attempt": S.attempt(F.col("event_id") % 3)})
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["criteria_find_orders"](spark, sf_dir)
+    return criteria_find_orders(spark, sf_dir)

@@ -1 +1 @@
-"""Operators."""
+"""Rules and operators over token, edge, document and entity tables."""

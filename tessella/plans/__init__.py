@@ -1 +1 @@
-"""Plans."""
+"""Layer catalog and rulesets."""

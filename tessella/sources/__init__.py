@@ -1 +1 @@
-"""Sources."""
+"""Readers of source files, documents and directories."""

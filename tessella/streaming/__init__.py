@@ -1 +1 @@
-"""Streaming."""
+"""Structured Streaming operators."""
