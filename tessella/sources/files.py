@@ -19,7 +19,7 @@ def _plain(path: F.Column) -> F.Column:
 def read_files(spark: SparkSession, roots: list[str], glob: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """(path, content) of text files below roots whose names match glob, but for paths that match an exclude pattern."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(roots)
-    out = found.select(_plain(F.col("path")).alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    out = found.select(_plain(F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("content"))
     for pattern in exclude:
         out = out.filter(~F.col("path").rlike(pattern))
     return out
