@@ -14,9 +14,11 @@ and walks it once from left to right. A frequent n-gram is one entry of a block,
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from tessella.llm.textvec import U
 
 ORDER = 3
 #: Bytes of text in a block, a longer text by itself.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: Context counts up to EXACT have buckets of their own, larger ones by powers of two.
 EXACT, BUCKETS = 8, 64
 #: Bounds of an interpolation weight.
@@ -49,14 +51,22 @@ def bucket(count: np.ndarray) -> np.ndarray:
 
 
 def _planes(a: np.ndarray) -> bytes:
+    """The bytes of numbers by their place, each place compressed by itself where that makes it smaller."""
     size = a.dtype.itemsize
-    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, size).T).tobytes(), 1)
+    places = np.ascontiguousarray(a.view(np.uint8).reshape(-1, size).T)
+    parts = [min((p.tobytes(), zstandard.compress(p.tobytes(), 3)), key=len) for p in places]
+    return struct.pack(f"<I{size}I", len(a), *map(len, parts)) + b"".join(parts)
 
 
 def _unplanes(data: bytes, dtype: type) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    flat = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(flat.reshape(size, -1).T).reshape(-1).view(dtype)
+    n, *lengths = struct.unpack_from(f"<I{size}I", data)
+    at, out = 4 + 4 * size, np.empty((n, size), np.uint8)
+    for k, length in enumerate(lengths):
+        part = data[at : at + length]
+        out[:, k] = np.frombuffer(part if length == n else zstandard.decompress(part), np.uint8)
+        at += length
+    return out.reshape(-1).view(dtype)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -86,17 +96,14 @@ class Tokens:
     hashes: np.ndarray
     bounds: np.ndarray
     train: np.ndarray
-    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def level(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sorted distinct n-grams, places of their last tokens, which n-gram at each place). Begin marks end none."""
-        if n not in self.grams:
-            h = self.hashes
-            first = np.repeat(self.bounds[:-1], np.diff(self.bounds))
-            last = np.flatnonzero(np.arange(len(h)) - first >= max(n - 1, 1))
-            keys, which = np.unique(textvec.ngrams(h, n)[last - n + 1], return_inverse=True)
-            self.grams[n] = keys, last, which
-        return self.grams[n]
+        h = self.hashes
+        first = np.repeat(self.bounds[:-1].astype(np.int32), np.diff(self.bounds))
+        last = np.flatnonzero(np.arange(len(h), dtype=np.int32) - first >= max(n - 1, 1)).astype(np.int32)
+        keys, which = np.unique(textvec.ngrams(h, n)[last - (n - 1)], return_inverse=True)
+        return keys, last, which.astype(np.int32)
 
 
 def tokens(raw: np.ndarray, offs: np.ndarray, train: np.ndarray) -> Tokens:
@@ -142,7 +149,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             h = int(textvec.mix(np.array([zlib.crc32(text) << 32 | zlib.crc32(ids.tobytes() + lengths.tobytes())], np.uint64))[0] >> U(1))
             seen[h] = seen.get(h, -1) + 1
             h = (h + seen[h] * 0x9E3779B9) & ((1 << 63) - 1)  # equal blocks of one task have numbers of their own
-            row = [h, ids.tobytes(), nulls.tobytes(), train.tobytes(), lengths.tobytes(), zstandard.compress(text, 7)]
+            row = [h, ids.tobytes(), nulls.tobytes(), train.tobytes(), lengths.tobytes(), zstandard.compress(text, 9)]
             return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *[pa.array([x], pa.binary()) for x in row[1:]]], [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in batches:
@@ -326,16 +333,17 @@ def score(docs: DataFrame, held_out, order: int = ORDER, parts: int | None = Non
 
         return ask_more
 
-    answers = counted(blocks.mapInArrow(ask, REQUEST))
+    answers = [counted(blocks.mapInArrow(ask, REQUEST))]
     for level in range(2, order + 1):
-        requests = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(asker(level), REQUEST)
-        answers = answers.union(counted(requests))
+        # Contexts are the n-grams of the level before: no other answers are needed.
+        answers.append(counted(blocks.groupBy("block").cogroup(answers[-1].groupBy("block")).applyInArrow(asker(level), REQUEST)))
+    every = reduce(DataFrame.union, answers)
 
     def finish(block: pa.Table, given: pa.Table) -> pa.Table:
         number, ids, nulls, t = _open(block)
         return _score(number, ids, nulls, t, _levels(t, given, parts))
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, SCORED)
+    return blocks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(finish, SCORED)
 
 
 def split(docs: DataFrame):
