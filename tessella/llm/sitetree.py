@@ -177,6 +177,10 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
             muted += noise
             stack.append(Element(tag, parent.path, parent.noise, parent.main, True, noise))
             continue
+        if muted:
+            if tag not in VOID:
+                stack.append(Element(tag, stack[-1].path, stack[-1].noise, stack[-1].main, True))
+            continue
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
@@ -210,7 +214,7 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
         part, noise = _look(tag, attrs)
         main = parent.main or tag in ("article", "main") or 'role="main"' in attrs
         noise = noise or tag == "header" and not parent.main
-        stack.append(Element(tag, f"{parent.path}>{part}", parent.noise or noise or muted > 0, main))
+        stack.append(Element(tag, f"{parent.path}>{part}", parent.noise or noise, main))
     close(1)
     flush(root)
     return blocks, styles
