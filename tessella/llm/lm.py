@@ -35,6 +35,9 @@ ORDER = 3
 BLOCK_BYTES = 12 << 20
 #: Context counts up to EXACT have buckets of their own, larger ones by powers of two.
 EXACT, BUCKETS = 8, 64
+#: Bits of the hashes of bigrams and longer n-grams; words have 64. Two of D different n-grams share a hash with a chance
+#: of D / 2^60 for each (9e-11 for the 10^8 of half a GB), and are then counted as one.
+GRAM_BITS = 60
 #: Bounds of an interpolation weight.
 LEAST_WEIGHT, MOST_WEIGHT = 1e-4, 0.999
 
@@ -69,15 +72,20 @@ def _unplanes(data: bytes, dtype: type) -> np.ndarray:
     return out.reshape(-1).view(dtype)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as compressed differences."""
+def shift(level: int) -> int:
+    """Lower bits that keys of a level do without."""
+    return 0 if level == 1 else 64 - GRAM_BITS
+
+
+def pack_keys(keys: np.ndarray, low: int = 0) -> bytes:
+    """Sorted 64-bit keys, their low lower bits 0, as compressed differences."""
     with np.errstate(over="ignore"):
-        return _planes(np.diff(keys, prepend=U(0)))
+        return _planes(np.diff(keys, prepend=U(0)) >> U(low))
 
 
-def unpack_keys(data: bytes) -> np.ndarray:
+def unpack_keys(data: bytes, low: int = 0) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumsum(_unplanes(data, np.uint64), dtype=np.uint64)
+        return np.cumsum(_unplanes(data, np.uint64) << U(low), dtype=np.uint64)
 
 
 def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -102,7 +110,8 @@ class Tokens:
         h = self.hashes
         first = np.repeat(self.bounds[:-1].astype(np.int32), np.diff(self.bounds))
         last = np.flatnonzero(np.arange(len(h), dtype=np.int32) - first >= max(n - 1, 1)).astype(np.int32)
-        keys, which = np.unique(textvec.ngrams(h, n)[last - (n - 1)], return_inverse=True)
+        grams = textvec.ngrams(h, n)[last - (n - 1)] >> U(shift(n)) << U(shift(n))
+        keys, which = np.unique(grams, return_inverse=True)
         return keys, last, which.astype(np.int32)
 
 
@@ -184,7 +193,7 @@ def _request(number: int, t: Tokens, level: int, context: np.ndarray | None, par
     if context is not None:
         buckets[which] = bucket(context[last])
     cut = ranges(keys, parts).tolist()
-    pieces = [(pack_keys(keys[a:b]), _planes(counts[a:b]), zstandard.compress(buckets[a:b].tobytes(), 1)) for a, b in zip(cut, cut[1:])]
+    pieces = [(pack_keys(keys[a:b], shift(level)), _planes(counts[a:b]), zstandard.compress(buckets[a:b].tobytes(), 1)) for a, b in zip(cut, cut[1:])]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, number)), pa.array(np.full(parts, level, np.int32)), *[pa.array([p[i] for p in pieces], pa.binary()) for i in range(3)]],
         [c.split()[0] for c in REQUEST.split(", ")],
@@ -194,7 +203,7 @@ def _request(number: int, t: Tokens, level: int, context: np.ndarray | None, par
 def _answer(group: pa.Table) -> pa.Table:
     """Add up one part of one level, and answer every block in the order that it asked."""
     rows = group.select(["block", "level", "part", "keys", "counts", "buckets"]).to_pylist()
-    keys = [unpack_keys(r["keys"]) for r in rows]
+    keys = [unpack_keys(r["keys"], shift(r["level"])) for r in rows]
     counts = np.concatenate([_unplanes(r["counts"], np.uint32) for r in rows]).astype(np.int64)
     buckets = np.concatenate([np.frombuffer(zstandard.decompress(r["buckets"]), np.uint8) for r in rows])
     distinct, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)

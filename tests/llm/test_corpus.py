@@ -259,6 +259,8 @@ def test_scores_without_training(spark):
 def test_packed_keys(keys, parts):
     a = np.sort(np.array(keys, np.uint64))
     assert lm.unpack_keys(lm.pack_keys(a)).tolist() == a.tolist()
+    b = np.unique(a >> np.uint64(4) << np.uint64(4))
+    assert lm.unpack_keys(lm.pack_keys(b, 4), 4).tolist() == b.tolist()
     cut = lm.ranges(a, parts)
     assert len(cut) == parts + 1 and (np.diff(cut) >= 0).all() and cut[-1] == len(a)
 
