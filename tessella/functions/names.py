@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,10 +11,16 @@ from pyspark.sql import functions as F
 MODULE_CLASS = r"^(?:[A-Za-z_]+\\)?Common\\Module\\([A-Za-z][A-Za-z0-9]*)\\(Domain|Application|Infrastructure|Integration)\\(.+)$"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use refers to it and wherever the optimizer moves it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def parse_class(name: Column) -> Column:
-    """struct(module, layer, path), or null for a class outside the modules."""
-    group = lambda i: F.regexp_extract(name, MODULE_CLASS, i)
-    return F.when(group(1) != "", F.struct(group(1).alias("module"), group(2).alias("layer"), group(3).alias("path")))
+    """struct(module, layer, path), or null for a class outside the modules. One match gives all three."""
+    parts = F.split(F.regexp_replace(name, MODULE_CLASS, "\u0001$1\u0001$2\u0001$3"), "\u0001")
+    inside = name.contains("Common\\Module\\")
+    return bound(F.when(inside, parts), lambda x: F.when(F.size(x) == 4, F.struct(x[1].alias("module"), x[2].alias("layer"), x[3].alias("path"))))
 
 
 def is_true(condition: Column) -> Column:

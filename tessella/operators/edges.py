@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.names import ends, is_true, parse_class, starts
-from tessella.plans.layers import CATALOG, RULESET, SERVICE_LAYERS
+from tessella.functions.names import bound, ends, is_true, parse_class, starts
+from tessella.plans.layers import CATALOG, ROOT, RULESET, SERVICE_LAYERS
 
 
 def cross_module(depender: Column, dependent: Column, dep_type: Column) -> Column:
     """Whether an edge leaves its module where it mustn't. Shared data types, entities of entities, command handlers' use of
     foreign repositories and entities, and integration of foreign applications are allowed."""
-    a, b = parse_class(depender), parse_class(dependent)
+    return bound(F.struct(parse_class(depender).alias("a"), parse_class(dependent).alias("b")), lambda e: _cross_module(e["a"], e["b"], dep_type))
+
+
+def _cross_module(a: Column, b: Column, dep_type: Column) -> Column:
     layers = lambda x, y: (a["layer"] == x) & (b["layer"] == y)
     allowed = (
         starts(b["path"], "ValueObject\\", "Enum\\")
@@ -30,16 +34,25 @@ def cross_module(depender: Column, dependent: Column, dep_type: Column) -> Colum
 def service_contract(depender: Column, dependent: Column, dep_type: Column) -> Column:
     """Whether an edge to a service breaks its contract: from outside the modules, from another module, or to an interface
     of a layer that the depending layer may not use (or, for INHERIT, implement)."""
-    a, b = parse_class(depender), parse_class(dependent)
+    return bound(F.struct(parse_class(depender).alias("a"), parse_class(dependent).alias("b")), lambda e: _service_contract(e["a"], e["b"], dep_type))
+
+
+def _service_contract(a: Column, b: Column, dep_type: Column) -> Column:
     allowed = reduce(lambda x, y: x | y, [(a["layer"] == layer) & b["layer"].isin(targets) for layer, targets in SERVICE_LAYERS.items()])
     interface = ends(b["path"], "Interface")
     broken = a.isNull() | is_true(a["module"] != b["module"]) | (interface & ~is_true(allowed))
     return is_true(~dep_type.eqNullSafe("USE") & starts(b["path"], "Service\\") & broken)
 
 
+def _matches(name: Column, pattern: str) -> Column:
+    """name.rlike(pattern), after a cheap test for the layer's directory that the pattern begins with."""
+    fixed = re.match(re.escape(ROOT) + r"Common\\\\Module\\\\\.\*\\\\(\w+)\\\\", pattern)
+    return name.contains(f"\\{fixed[1]}\\") & name.rlike(pattern) if fixed else name.rlike(pattern)
+
+
 def layers_of(name: Column) -> Column:
     """array of the layers that a class is in, by name."""
-    of = [F.when(reduce(lambda x, y: x & y, [name.rlike(p) for p in must] + [~name.rlike(p) for p in must_not]), F.lit(layer)) for layer, (must, must_not) in sorted(CATALOG.items())]
+    of = [F.when(reduce(lambda x, y: x & y, [_matches(name, p) for p in must] + [~_matches(name, p) for p in must_not]), F.lit(layer)) for layer, (must, must_not) in sorted(CATALOG.items())]
     return F.filter(F.array(*of), lambda x: x.isNotNull())
 
 
