@@ -267,10 +267,10 @@ def oracle(n: int = 4, percent: int = 80) -> str:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= {n} THEN list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
-u AS (SELECT doc_id, unnest(sh) AS x, len(sh) AS n FROM s),
+s AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= {n} THEN list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+u AS MATERIALIZED (SELECT doc_id, unnest(sh) AS x, len(sh) AS n FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM p WHERE 100 * same >= {percent} * (na + nb - same)),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * same >= {percent} * (na + nb - same)),
 r(id, reach) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach),
 c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
 SELECT doc_id, len(sh)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON c.id = s.doc_id

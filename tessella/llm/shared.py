@@ -22,6 +22,17 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what operators have written into the shared folder. Call it once their results are read or kept elsewhere."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the one that all executors share (spark.checkpoint.dir); a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,7 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(base)
         atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
