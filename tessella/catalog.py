@@ -21,7 +21,7 @@ from tessella.operators import edges as E
 from tessella.operators import report as R
 from tessella.operators import rules as P
 from tessella.plans.layers import CATALOG, RULESET
-from tessella.sources.php import tokens
+from tessella.sources.php import units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -225,7 +225,7 @@ def _expected(rule: str) -> str:
 
 def _sniff(name: str, rule: str, does: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return P.violations(tokens(files(spark)).persist(), [rule]).select("path", "line", "code")
+        return P.violations(units(files(spark)), [rule]).select("path", "line", "code")
 
     run.__name__, run.__doc__ = name, does
     query(_expected(rule))(run)
@@ -237,7 +237,7 @@ for _name, _rule in (("sniff_dto", "DtoStructure"), ("sniff_message", "MessageSt
 
 @query("SELECT * FROM " + values([(p, c) for p, c in X.FIXED.items()], "path, content"))
 def fix_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.fixed(tokens(files(spark).filter(F.col("path").isin(*X.FIXED))).persist())
+    return P.fixed(units(files(spark).filter(F.col("path").isin(*X.FIXED))))
 
 
 _COUNTS = f"(SELECT path, line, count(*)::INT AS n FROM {values([(p, line, c) for p, (_, f) in X.SOURCES.items() for line, _, c in f], 'path, line, code')} GROUP BY ALL)"
@@ -245,13 +245,13 @@ _COUNTS = f"(SELECT path, line, count(*)::INT AS n FROM {values([(p, line, c) fo
 
 @query(f"SELECT * FROM {_COUNTS}")
 def report_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.line_counts(P.violations(tokens(files(spark)).persist()))
+    return R.line_counts(P.violations(units(files(spark))))
 
 
 @query("SELECT path, line, 0 AS expected, n AS actual FROM " + _COUNTS + " WHERE n > 1 UNION ALL SELECT 'none.php', 1, 1, 0")
 def report_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actual counts against expected ones that lack every line with several messages, and name one that isn't there."""
-    actual = R.line_counts(P.violations(tokens(files(spark)).persist()))
+    actual = R.line_counts(P.violations(units(files(spark))))
     expected = actual.filter("n = 1").union(spark.createDataFrame([("none.php", 1, 1)], "path string, line int, n int"))
     return R.differences(expected, actual, "path")
 

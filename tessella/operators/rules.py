@@ -1,4 +1,8 @@
-"""Structure, naming and call-style rules over token rows. A rule gives rows (path, line, idx, rule, code, message, fixable)."""
+"""Structure, naming and call-style rules over source files. A rule gives rows (path, line, idx, rule, code, message, fixable).
+
+Rules work on one row per file, its tokens an array (see sources.php.units), by higher-order functions: no token leaves
+its row, so there is no shuffle, whatever the number of files. Token rows are taken too; they are grouped by file first.
+"""
 
 from __future__ import annotations
 
@@ -8,175 +12,211 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.names import below_src, ends, expected_namespace, has, parent_name, slashes, starts, stem
-from tessella.operators.tokens import direct_children, neighbours, next_of, within_scope
-from tessella.sources.php import EMPTY
+from tessella.functions.names import below_src, bound, ends, expected_namespace, has, parent_name, slashes, starts, stem
+from tessella.sources.php import EMPTY, grouped
 
-Rule = Callable[[DataFrame], DataFrame]
+#: From the tokens and the path to an array of struct(line, idx, code, message, fixable).
+Rule = Callable[[Column, Column], Column]
+VIOLATION = "array<struct<line:int,idx:int,code:string,message:string,fixable:boolean>>"
+Many = Callable[[Column], Column]
 
 
-def _rows(found: DataFrame, rule: str, code: str, message: Column | str, fixable: bool = False) -> DataFrame:
-    return found.select("path", "line", "idx", F.lit(rule).alias("rule"), F.lit(code).alias("code"), (F.lit(message) if isinstance(message, str) else message).alias("message"), F.lit(fixable).alias("fixable"))
+def _none() -> Column:
+    return F.array().cast(VIOLATION)
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    """Violations of independent checks: one place may have several."""
-    return reduce(DataFrame.unionByName, parts)
+def _at(token: Column, code: str, message: str | Column, fixable: bool = False) -> Column:
+    text = F.lit(message) if isinstance(message, str) else message
+    return F.struct(token["line"].alias("line"), token["idx"].alias("idx"), F.lit(code).alias("code"), text.alias("message"), F.lit(fixable).alias("fixable"))
 
 
-def _classes(tokens: DataFrame, code: str = "T_CLASS") -> DataFrame:
-    return tokens.filter((F.col("code") == code) & F.col("scope_opener").isNotNull() & F.col("scope_closer").isNotNull())
+def _each(tokens: Column, condition: Many, code: str, message: str) -> Column:
+    """One violation for every token that meets a condition."""
+    return F.transform(F.filter(tokens, condition), lambda t: _at(t, code, message))
 
 
-def _named(tokens: DataFrame, *suffixes: str) -> DataFrame:
-    return _classes(tokens).filter(ends(F.col("name"), *suffixes))
+def _if(condition: Column, token: Column, code: str, message: str | Column) -> Column:
+    return F.when(F.coalesce(condition, F.lit(False)), F.array(_at(token, code, message))).otherwise(_none())
 
 
-def _methods(children: DataFrame) -> DataFrame:
-    return children.filter("code = 'T_FUNCTION'").withColumn("method", F.lower("name"))
+def _first(tokens: Column, condition: Many) -> Column:
+    return F.get(F.filter(tokens, condition), 0)
 
 
-def _properties(children: DataFrame) -> DataFrame:
-    """Member variables; a promoted parameter stands in parentheses and is none."""
-    return children.filter((F.col("code") == "T_VARIABLE") & ~F.col("in_parens"))
+def _last(tokens: Column, condition: Many) -> Column:
+    return F.try_element_at(F.filter(tokens, condition), F.lit(-1))
 
 
-def _visibility() -> Column:
-    return F.when(F.array_contains("modifiers", "private"), "private").when(F.array_contains("modifiers", "protected"), "protected").otherwise("public")
+def _over(owners: Column, tokens: Column, check: Callable[[Column, Column], Column]) -> Column:
+    """check(owner, its direct children) for each owner, all in one array."""
+    return F.flatten(F.transform(owners, lambda o: bound(F.filter(tokens, lambda t: t["parent_idx"] == o["idx"]), lambda kids: check(o, kids))))
 
 
-def _without(owners: DataFrame, methods: DataFrame, method: str) -> DataFrame:
-    have = methods.filter(F.col("method") == method).select("path", F.col("parent_idx").alias("idx"))
-    return owners.join(have, ["path", "idx"], "left_anti")
+def _classes(tokens: Column, code: str = "T_CLASS") -> Column:
+    return F.filter(tokens, lambda t: (t["code"] == code) & t["scope_opener"].isNotNull() & t["scope_closer"].isNotNull())
 
 
-def _body(owners: DataFrame, methods: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The first effective token in the body of each owner's last constructor."""
-    last = methods.filter("method = '__construct'").groupBy("path", "parent_idx").agg(F.max_by(F.struct("idx", "scope_opener", "scope_closer"), "idx").alias("m"))
-    inside = within_scope(last.select("path", "m.*"), tokens).filter(~F.col("code").isin(*sorted(EMPTY)))
-    return inside.groupBy("path", "scope_idx").agg(F.min_by(F.struct("idx", "line"), "idx").alias("t")).select("path", "t.*")
+def _named(tokens: Column, *suffixes: str) -> Column:
+    return F.filter(_classes(tokens), lambda t: ends(t["name"], *suffixes))
 
 
-def _members(children: DataFrame, rule: str, what: tuple[str, ...] = ("properties", "constants", "traits")) -> list[DataFrame]:
-    kinds = {"properties": _properties(children), "constants": children.filter("code = 'T_CONST'"), "traits": children.filter("code = 'T_USE'"), "methods": children.filter("code = 'T_FUNCTION'")}
-    return [_rows(kinds[w], rule, "ForbiddenMembers", f"{w} aren't allowed here") for w in what]
+def _is_method(*names: str) -> Many:
+    return lambda t: (t["code"] == "T_FUNCTION") & F.lower(t["name"]).isin(*names)
 
 
-def dto_structure(tokens: DataFrame) -> DataFrame:
-    """Classes named *Dto: final and readonly, with nothing but an empty constructor."""
-    own = _named(tokens, "Dto")
-    children = direct_children(own, tokens)
-    methods = _methods(children)
-    rule = "DtoStructure"
-    return _all(
-        [
-            _rows(own.filter(~(F.array_contains("modifiers", "final") & F.array_contains("modifiers", "readonly"))), rule, "FinalReadonlyRequired", "a DTO is final and readonly"),
-            _rows(methods.filter("method <> '__construct'"), rule, "ForbiddenMembers", "a DTO has no method but its constructor"),
-            _rows(_without(own, methods, "__construct"), rule, "ConstructorRequired", "a DTO has a constructor"),
-            _rows(_body(own, methods, tokens), rule, "ConstructorMustBeEmpty", "a DTO's constructor does nothing"),
-            *_members(children, rule),
-        ]
+def _is_other_method(*names: str) -> Many:
+    return lambda t: (t["code"] == "T_FUNCTION") & ~F.lower(t["name"]).isin(*names)
+
+
+def _visibility(t: Column) -> Column:
+    return F.when(F.array_contains(t["modifiers"], "private"), "private").when(F.array_contains(t["modifiers"], "protected"), "protected").otherwise("public")
+
+
+def _inside(t: Column, scope: Column) -> Column:
+    return (t["idx"] > scope["scope_opener"]) & (t["idx"] < scope["scope_closer"])
+
+
+def _body(kids: Column, tokens: Column, message: str) -> Column:
+    """The first effective token in the body of the last constructor."""
+    return bound(
+        _last(kids, _is_method("__construct")),
+        lambda c: F.transform(F.slice(F.filter(tokens, lambda t: _inside(t, c) & ~t["code"].isin(*sorted(EMPTY))), 1, 1), lambda t: _at(t, "ConstructorMustBeEmpty", message)),
     )
 
 
-def message_structure(tokens: DataFrame) -> DataFrame:
+def _members(kids: Column, *kinds: str) -> list[Column]:
+    """A promoted parameter stands in parentheses and is no member variable."""
+    of: dict[str, Many] = {"properties": lambda t: (t["code"] == "T_VARIABLE") & ~t["in_parens"], "constants": lambda t: t["code"] == "T_CONST", "traits": lambda t: t["code"] == "T_USE", "methods": lambda t: t["code"] == "T_FUNCTION"}
+    return [_each(kids, of[k], "ForbiddenMembers", f"{k} aren't allowed here") for k in kinds]
+
+
+def dto_structure(tokens: Column, path: Column) -> Column:
+    """Classes named *Dto: final and readonly, with nothing but an empty constructor."""
+
+    def check(o: Column, kids: Column) -> Column:
+        return F.concat(
+            _if(~(F.array_contains(o["modifiers"], "final") & F.array_contains(o["modifiers"], "readonly")), o, "FinalReadonlyRequired", "a DTO is final and readonly"),
+            _each(kids, _is_other_method("__construct"), "ForbiddenMembers", "a DTO has no method but its constructor"),
+            _if(~F.exists(kids, _is_method("__construct")), o, "ConstructorRequired", "a DTO has a constructor"),
+            F.coalesce(_body(kids, tokens, "a DTO's constructor does nothing"), _none()),
+            *_members(kids, "properties", "constants", "traits"),
+        )
+
+    return _over(_named(tokens, "Dto"), tokens, check)
+
+
+def message_structure(tokens: Column, path: Column) -> Column:
     """Use-case messages (*Command, *Query in their directories): promoted properties and an empty constructor alone."""
-    path = slashes(F.col("path"))
-    own = _named(tokens, "Command", "Query").filter(has(path, "/Application/UseCase/Command/", "/Application/UseCase/Query/", "/tests/Application/"))
-    children = direct_children(own, tokens)
-    methods = _methods(children)
-    rule = "MessageStructure"
-    return _all(
-        [
-            _rows(methods.filter("method <> '__construct'"), rule, "OnlyConstructorAllowed", "a message has no method but its constructor"),
-            _rows(_without(own, methods, "__construct"), rule, "ConstructorRequired", "a message has a constructor"),
-            _rows(_body(own, methods, tokens), rule, "ConstructorMustBeEmpty", "a message's constructor does nothing"),
-            *_members(children, rule),
-        ]
-    )
 
+    def check(o: Column, kids: Column) -> Column:
+        return F.concat(
+            _each(kids, _is_other_method("__construct"), "OnlyConstructorAllowed", "a message has no method but its constructor"),
+            _if(~F.exists(kids, _is_method("__construct")), o, "ConstructorRequired", "a message has a constructor"),
+            F.coalesce(_body(kids, tokens, "a message's constructor does nothing"), _none()),
+            *_members(kids, "properties", "constants", "traits"),
+        )
+
+    here = has(slashes(path), "/Application/UseCase/Command/", "/Application/UseCase/Query/", "/tests/Application/")
+    return F.when(here, _over(_named(tokens, "Command", "Query"), tokens, check)).otherwise(_none())
 
-def handler_structure(tokens: DataFrame) -> DataFrame:
+
+def handler_structure(tokens: Column, path: Column) -> Column:
     """Command handlers: nothing public but __invoke, which they must have, and the constructor."""
-    own = _named(tokens, "CommandHandler").filter(has(slashes(F.col("path")), "/Application/UseCase/Command/", "/tests/Application/"))
-    children = direct_children(own, tokens).withColumn("visibility", _visibility())
-    methods = _methods(children)
-    rule = "HandlerStructure"
-    # The first constructor in the scope, even one of a class within.
-    first = within_scope(own, tokens.filter("code = 'T_FUNCTION'")).filter(F.lower("name") == "__construct").groupBy("path", "scope_idx").agg(F.min_by(F.struct("idx", "line"), "idx").alias("c"))
-    promoted = tokens.filter((F.col("code") == "T_VARIABLE") & F.col("owner_idx").isNotNull() & F.exists("modifiers", lambda m: m.isin("public", "private", "protected", "readonly"))).filter(_visibility() == "public")
-    by_param = first.select("path", "c.idx", "c.line").join(promoted.select("path", F.col("owner_idx").alias("idx")), ["path", "idx"])
-    last = methods.filter("method = '__invoke'").groupBy("path", "parent_idx").agg(F.max_by(F.struct("idx", "line", "visibility"), "idx").alias("m")).select("path", "m.*")
-    return _all(
-        [
-            _rows(_properties(children).filter("visibility = 'public'"), rule, "ForbiddenPublicProperties", "a handler has no public property"),
-            _rows(by_param, rule, "ForbiddenPublicProperties", "a handler's dependency isn't a public promoted property"),
-            _rows(_without(own, methods, "__invoke"), rule, "InvokeRequired", "a handler has a public __invoke"),
-            _rows(last.filter("visibility <> 'public'"), rule, "ForbiddenPublicMethods", "__invoke is public"),
-            _rows(methods.filter("method NOT IN ('__construct', '__invoke') AND visibility = 'public'"), rule, "ForbiddenPublicMethods", "a handler has no public method but __invoke"),
-        ]
-    )
 
+    def promoted(c: Column) -> Column:
+        """The public promoted parameters of a constructor."""
+        return F.filter(tokens, lambda t: (t["code"] == "T_VARIABLE") & (t["owner_idx"] == c["idx"]) & F.exists(t["modifiers"], lambda m: m.isin("public", "private", "protected", "readonly")) & (_visibility(t) == "public"))
 
-def enum_structure(tokens: DataFrame) -> DataFrame:
+    def check(o: Column, kids: Column) -> Column:
+        # The first constructor in the scope, even one of a class within.
+        by_param = bound(_first(tokens, lambda t: _inside(t, o) & _is_method("__construct")(t)), lambda c: F.transform(promoted(c), lambda t: _at(c, "ForbiddenPublicProperties", "a handler's dependency isn't a public promoted property")))
+        invoke = bound(_last(kids, _is_method("__invoke")), lambda m: _if(_visibility(m) != "public", m, "ForbiddenPublicMethods", "__invoke is public"))
+        return F.concat(
+            _each(kids, lambda t: (t["code"] == "T_VARIABLE") & ~t["in_parens"] & (_visibility(t) == "public"), "ForbiddenPublicProperties", "a handler has no public property"),
+            F.coalesce(by_param, _none()),
+            _if(~F.exists(kids, _is_method("__invoke")), o, "InvokeRequired", "a handler has a public __invoke"),
+            F.when(F.exists(kids, _is_method("__invoke")), invoke).otherwise(_none()),
+            _each(kids, lambda t: _is_other_method("__construct", "__invoke")(t) & (_visibility(t) == "public"), "ForbiddenPublicMethods", "a handler has no public method but __invoke"),
+        )
+
+    here = has(slashes(path), "/Application/UseCase/Command/", "/tests/Application/")
+    return F.when(here, _over(_named(tokens, "CommandHandler"), tokens, check)).otherwise(_none())
+
+
+def enum_structure(tokens: Column, path: Column) -> Column:
     """Enums have cases alone, in camel case. Every case in the scope counts, those of a switch in a method too."""
-    own = _classes(tokens, "T_ENUM")
-    children = direct_children(own, tokens)
-    named = tokens.withColumn("_n", next_of(("T_STRING",), F.struct("idx", "line", "content"))).filter(F.col("code").isin("T_CASE", "T_ENUM_CASE"))
-    scope = own.select("path", F.col("scope_opener").alias("_from"), F.col("scope_closer").alias("_to"))
-    cases = named.join(scope, "path").filter("idx > _from AND idx < _to AND _n.idx < _to").select("path", "_n.*")
-    rule = "EnumStructure"
-    return _all([*_members(children, rule, ("methods", "constants", "traits")), _rows(cases.filter(~F.col("content").rlike("^[a-z][a-zA-Z0-9]*$")), rule, "CaseNameMustBeCamelCase", "a case is in camel case")])
+
+    def check(o: Column, kids: Column) -> Column:
+        cases = F.filter(tokens, lambda t: t["code"].isin("T_CASE", "T_ENUM_CASE") & _inside(t, o))
+        names = bound(F.filter(tokens, lambda t: (t["code"] == "T_STRING") & _inside(t, o)), lambda s: F.transform(cases, lambda c: _first(s, lambda t: t["idx"] > c["idx"])))
+        return F.concat(*_members(kids, "methods", "constants", "traits"), _each(names, lambda t: t.isNotNull() & ~t["content"].rlike("^[a-z][a-zA-Z0-9]*$"), "CaseNameMustBeCamelCase", "a case is in camel case"))
+
+    return _over(_classes(tokens, "T_ENUM"), tokens, check)
+
+
+def _namespace(tokens: Column) -> Column:
+    """struct(token, name) of the first namespace; name is null where it has none."""
+
+    def spelt(n: Column) -> Column:
+        end = _first(tokens, lambda t: (t["idx"] > n["idx"]) & t["code"].isin("T_SEMICOLON", "T_OPEN_CURLY_BRACKET"))
+        parts = lambda e: F.filter(tokens, lambda t: (t["idx"] > n["idx"]) & (t["idx"] < e["idx"]) & t["code"].isin("T_STRING", "T_NAME_QUALIFIED", "T_NAME_FULLY_QUALIFIED"))
+        return F.struct(n.alias("token"), F.nullif(bound(end, lambda e: F.array_join(F.transform(parts(e), lambda t: t["content"]), "")), F.lit("")).alias("name"))
+
+    return bound(_first(tokens, lambda t: t["code"] == "T_NAMESPACE"), spelt)
 
 
-def use_case_naming(tokens: DataFrame) -> DataFrame:
+def use_case_naming(tokens: Column, path: Column) -> Column:
     """Names of use cases follow their directory, file and namespace. A wrong suffix hides the other errors."""
-    path = slashes(F.col("path"))
-    below = below_src(path)
+    plain = slashes(path)
+    below = below_src(plain)
     kind = F.when(has(below, "/Application/UseCase/Command/"), "Command").when(has(below, "/Application/UseCase/Query/"), "Query")
-    suffix = F.when(ends(F.col("name"), "CommandHandler"), "CommandHandler").when(ends(F.col("name"), "Command"), "Command").when(ends(F.col("name"), "QueryHandler"), "QueryHandler").when(ends(F.col("name"), "Query"), "Query")
-    space = tokens.filter("code = 'T_NAMESPACE'").groupBy("path").agg(F.min_by(F.struct("idx", "line"), "idx").alias("s")).select("path", F.col("s.idx").alias("ns_idx"), F.col("s.line").alias("ns_line"))
-    after = tokens.join(space, "path").filter("idx > ns_idx")
-    close = F.min(F.when(F.col("code").isin("T_SEMICOLON", "T_OPEN_CURLY_BRACKET"), F.col("idx")))
-    spelt = after.groupBy("path", "ns_idx", "ns_line").agg(close.alias("_end"), F.array_sort(F.collect_list(F.when(F.col("code").isin("T_STRING", "T_NAME_QUALIFIED", "T_NAME_FULLY_QUALIFIED"), F.struct("idx", "content")))).alias("_all"))
-    names = spelt.select("path", "ns_idx", "ns_line", F.array_join(F.transform(F.filter("_all", lambda t: t["idx"] < F.col("_end")), lambda t: t["content"]), "").alias("_ns")).withColumn("_ns", F.when(F.col("_ns") != "", F.col("_ns")))
-    own = tokens.filter("code = 'T_CLASS' AND name IS NOT NULL").withColumn("_kind", kind).withColumn("_suffix", suffix).withColumn("_below", below).filter(starts(F.col("_below"), "src/Module/") & F.col("_kind").isNotNull() & F.col("_suffix").isNotNull())
-    own = own.join(names, "path", "left")
-    wrong = F.regexp_replace("_suffix", "Handler$", "") != F.col("_kind")
-    bare = F.expr("substring(name, 1, length(name) - length(_suffix))")
-    rule = "UseCaseNaming"
-    good = own.filter(~wrong)
-    spaces = good.filter(F.col("_ns").isNotNull() & ~ends_with(F.col("_ns"), expected_namespace(F.col("_below")))).select("path", F.col("ns_line").alias("line"), F.col("ns_idx").alias("idx"))
-    return _all(
-        [
-            _rows(own.filter(wrong), rule, "InvalidUseCaseSuffix", F.concat(F.lit("a class here is a "), "_kind", F.lit(" or its handler"))),
-            _rows(good.filter(~bare.eqNullSafe(parent_name(path))), rule, "UseCaseNameMismatch", "the class is named after its directory"),
-            _rows(good.filter(stem(path) != F.col("name")), rule, "FilenameMismatch", "the file is named after its class"),
-            _rows(spaces, rule, "NamespaceMismatch", "the namespace follows the path"),
-        ]
-    )
 
+    def check(o: Column) -> Column:
+        suffix = reduce(lambda acc, s: acc.when(ends(o["name"], s), s), ("Command", "QueryHandler", "Query"), F.when(ends(o["name"], "CommandHandler"), "CommandHandler"))
+
+        def judged(s: Column) -> Column:
+            wrong = F.regexp_replace(s, "Handler$", "") != kind
+            bare = F.substr(o["name"], F.lit(1), F.length(o["name"]) - F.length(s))
+            space = bound(_namespace(tokens), lambda n: _if(n["name"].isNotNull() & ~F.endswith(n["name"], expected_namespace(below)), n["token"], "NamespaceMismatch", "the namespace follows the path"))
+            others = F.concat(
+                _if(~bare.eqNullSafe(parent_name(plain)), o, "UseCaseNameMismatch", "the class is named after its directory"),
+                _if(stem(plain) != o["name"], o, "FilenameMismatch", "the file is named after its class"),
+                space,
+            )
+            return F.when(s.isNull(), _none()).when(wrong, _if(wrong, o, "InvalidUseCaseSuffix", F.concat(F.lit("a class here is a "), kind, F.lit(" or its handler")))).otherwise(others)
+
+        return bound(suffix, judged)
 
-def ends_with(text: Column, tail: Column) -> Column:
-    return F.coalesce(F.endswith(text, tail), F.lit(False))
+    own = F.filter(tokens, lambda t: (t["code"] == "T_CLASS") & t["name"].isNotNull())
+    return F.when(starts(below, "src/Module/") & kind.isNotNull(), F.flatten(F.transform(own, check))).otherwise(_none())
 
 
 NO_CALL_AFTER = ("T_NEW", "T_FUNCTION", "T_FN", "T_USE", "T_CONST", "T_DOUBLE_COLON", "T_OBJECT_OPERATOR", "T_NULLSAFE_OBJECT_OPERATOR", "T_EXTENDS", "T_IMPLEMENTS", "T_INSTANCEOF", "T_ATTRIBUTE")
 
 
-def global_calls(tokens: DataFrame) -> DataFrame:
+def global_calls(tokens: Column, path: Column) -> Column:
     """Global functions are neither imported nor called with a leading backslash. Both can be fixed."""
-    near = neighbours(tokens)
-    imported = F.ltrim(F.col("second_content"), F.lit("\\"))
-    imports = near.filter((F.col("code") == "T_USE") & F.col("parent_idx").isNull() & ~F.col("in_parens") & (F.lower("next_content") == "function") & F.col("second_code").isin("T_STRING", "T_NAME_FULLY_QUALIFIED", "T_NAME_QUALIFIED") & ~imported.contains("\\") & ~F.col("third_content").isin("{"))
-    calls = near.filter((F.col("code") == "T_NAME_FULLY_QUALIFIED") & F.col("content").rlike(r"^\\[A-Za-z_][A-Za-z0-9_]*$") & (F.col("next_code") == "T_OPEN_PARENTHESIS") & ~F.coalesce(F.col("previous_code").isin(*NO_CALL_AFTER), F.lit(False)))
-    rule = "GlobalCalls"
-    return _all(
-        [
-            _rows(imports, rule, "GlobalFunctionImport", F.concat(F.lit("not imported but called: "), imported), True),
-            _rows(calls, rule, "FullyQualifiedGlobalFunctionCall", F.concat(F.lit("called without a backslash: "), F.ltrim(F.col("content"), F.lit("\\"))), True),
-        ]
-    )
+    bare = lambda text: F.ltrim(text, F.lit("\\"))
+
+    def near(e: Column) -> Column:
+        return F.transform(e, lambda t, i: F.struct(t.alias("t"), F.get(e, i - 1)["code"].alias("before"), F.get(e, i + 1).alias("next"), F.get(e, i + 2).alias("second"), F.get(e, i + 3)["content"].alias("third")))
+
+    def imported(n: Column) -> Column:
+        name = n["second"]["content"]
+        kinds = n["second"]["code"].isin("T_STRING", "T_NAME_FULLY_QUALIFIED", "T_NAME_QUALIFIED")
+        return (n["t"]["code"] == "T_USE") & n["t"]["parent_idx"].isNull() & ~n["t"]["in_parens"] & (F.lower(n["next"]["content"]) == "function") & kinds & ~bare(name).contains("\\") & ~n["third"].eqNullSafe("{")
+
+    def called(n: Column) -> Column:
+        return (n["t"]["code"] == "T_NAME_FULLY_QUALIFIED") & n["t"]["content"].rlike(r"^\\[A-Za-z_][A-Za-z0-9_]*$") & (n["next"]["code"] == "T_OPEN_PARENTHESIS") & ~F.coalesce(n["before"].isin(*NO_CALL_AFTER), F.lit(False))
+
+    def found(all_: Column) -> Column:
+        return F.concat(
+            F.transform(F.filter(all_, imported), lambda n: _at(n["t"], "GlobalFunctionImport", F.concat(F.lit("not imported but called: "), bare(n["second"]["content"])), True)),
+            F.transform(F.filter(all_, called), lambda n: _at(n["t"], "FullyQualifiedGlobalFunctionCall", F.concat(F.lit("called without a backslash: "), bare(n["t"]["content"])), True)),
+        )
+
+    effective = F.filter(tokens, lambda t: ~t["code"].isin(*sorted(EMPTY)))
+    return bound(effective, lambda e: bound(F.filter(near(e), lambda n: n["t"]["code"].isin("T_USE", "T_NAME_FULLY_QUALIFIED")), found))
 
 
 #: Rules by name; others may be added.
@@ -189,16 +229,20 @@ def register_rule(name: str, rule: Rule) -> None:
     RULES[name] = rule
 
 
-def violations(tokens: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    return _all([rule(tokens) for name, rule in RULES.items() if rules is None or name in rules])
+def violations(source: DataFrame, rules: list[str] | None = None) -> DataFrame:
+    """All that the rules find in files (units, or token rows). One place may have several violations."""
+    files = grouped(source)
+    named = [F.struct(F.lit(name).alias("rule"), rule(F.col("tokens"), F.col("path")).cast(VIOLATION).alias("found")) for name, rule in RULES.items() if rules is None or name in rules]
+    each = files.select("path", F.explode(F.array(*named)).alias("r")).select("path", "r.rule", F.explode("r.found").alias("v"))
+    return each.select("path", "v.line", "v.idx", "rule", "v.code", "v.message", "v.fixable")
 
 
-def fixed(tokens: DataFrame) -> DataFrame:
+def fixed(source: DataFrame) -> DataFrame:
     """(path, content): sources with imports of global functions blanked, through their semicolon, and calls unprefixed."""
-    found = global_calls(tokens)
-    until = tokens.withColumn("_end", next_of(("T_SEMICOLON",), F.col("idx"))).select("path", "idx", "_end")
-    imports = found.filter("code = 'GlobalFunctionImport'").select("path", "idx").join(until, ["path", "idx"]).groupBy("path").agg(F.collect_list(F.struct(F.col("idx").alias("a"), F.coalesce("_end", "idx").alias("b"))).alias("_cut"))
-    calls = found.filter("code = 'FullyQualifiedGlobalFunctionCall'").groupBy("path").agg(F.collect_set("idx").alias("_call"))
-    joined = tokens.select("path", "idx", "content").join(imports, "path", "left").join(calls, "path", "left")
-    text = F.when(F.exists(F.coalesce("_cut", F.array().cast("array<struct<a:int,b:int>>")), lambda c: (F.col("idx") >= c["a"]) & (F.col("idx") <= c["b"])), "").when(F.array_contains(F.coalesce("_call", F.array().cast("array<int>")), F.col("idx")), F.ltrim(F.col("content"), F.lit("\\"))).otherwise(F.col("content"))
-    return joined.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", text.alias("text")))), lambda t: t["text"]), "").alias("content"))
+    files = grouped(source)
+    found = files.select("path", "tokens", global_calls(F.col("tokens"), F.col("path")).alias("found"))
+    of = lambda code: F.transform(F.filter("found", lambda v: v["code"] == code), lambda v: v["idx"])
+    until = lambda i: F.coalesce(_first(F.col("tokens"), lambda t: (t["idx"] > i) & (t["code"] == "T_SEMICOLON"))["idx"], i)
+    cut = found.select("path", "tokens", of("FullyQualifiedGlobalFunctionCall").alias("calls"), F.transform(of("GlobalFunctionImport"), lambda i: F.struct(i.alias("a"), until(i).alias("b"))).alias("cuts"))
+    text = F.transform("tokens", lambda t: F.when(F.exists("cuts", lambda c: (t["idx"] >= c["a"]) & (t["idx"] <= c["b"])), "").when(F.array_contains("calls", t["idx"]), F.ltrim(t["content"], F.lit("\\"))).otherwise(t["content"]))
+    return cut.select("path", F.array_join(text, "").alias("content"))

@@ -16,6 +16,7 @@ ENTRIES = _struct(path=S, is_dir=B, basename=S, extension=S)
 TOKENS = _struct(
     path=S, idx=I, line=I, code=S, content=S, scope_opener=I, scope_closer=I, conditions=T.ArrayType(I), parent_idx=I, name=S, modifiers=T.ArrayType(S), in_parens=B, owner_idx=I
 )
+UNITS = _struct(path=S, tokens=T.ArrayType(T.StructType([f for f in TOKENS if f.name != "path"])))
 EDGES = _struct(depender=S, dependent=S, dep_type=S, file=S, line=I, depender_layer=S, dependent_layers=T.ArrayType(S))
 VIOLATIONS = _struct(path=S, line=I, idx=I, rule=S, code=S, message=S, fixable=B)
 EXPECTED = _struct(file=S, kind=S, line=I, n=I)

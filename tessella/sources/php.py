@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tessella.schemas import TOKENS
+from tessella.schemas import TOKENS, UNITS
 
 KEYWORDS = {
     w: "T_" + w.upper()
@@ -180,22 +181,33 @@ def tokenize(source: str) -> list[dict]:
     return rows
 
 
-_ARROW = pa.schema(
+_TOKEN = pa.struct(
     [
-        *[(n, pa.string() if n == "path" else pa.int32()) for n in ("path", "idx", "line")], ("code", pa.string()), ("content", pa.string()), ("scope_opener", pa.int32()), ("scope_closer", pa.int32()),
+        ("idx", pa.int32()), ("line", pa.int32()), ("code", pa.string()), ("content", pa.string()), ("scope_opener", pa.int32()), ("scope_closer", pa.int32()),
         ("conditions", pa.list_(pa.int32())), ("parent_idx", pa.int32()), ("name", pa.string()), ("modifiers", pa.list_(pa.string())), ("in_parens", pa.bool_()), ("owner_idx", pa.int32()),
     ]
 )
 
 
-def tokens(files: DataFrame) -> DataFrame:
-    """The tokens of files (path, content), in no order; idx counts them in a file. A null or empty content has none."""
+def units(files: DataFrame) -> DataFrame:
+    """(path, tokens): one row for each of files (path, content). A null or empty content has no tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = tokenize(content or "")
-                if rows:
-                    yield pa.RecordBatch.from_pylist([{"path": path, **r} for r in rows], schema=_ARROW)
+            for i, content in enumerate(batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([tokenize(content or "")], pa.list_(_TOKEN))], ["path", "tokens"])
+
+    return files.select("path", "content").mapInArrow(run, UNITS)
+
+
+def tokens(files: DataFrame) -> DataFrame:
+    """The tokens of files (path, content) as rows, in no order; idx counts them in a file."""
+    return units(files).select("path", F.inline("tokens"))
+
 
-    return files.select("path", "content").mapInArrow(run, TOKENS)
+def grouped(source: DataFrame) -> DataFrame:
+    """Units from units or from token rows; these are gathered by file."""
+    if "tokens" in source.columns:
+        return source
+    names = [f.name for f in TOKENS if f.name != "path"]
+    return source.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("tokens"))

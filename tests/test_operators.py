@@ -15,6 +15,7 @@ from tessella.operators import doc_rules as D
 from tessella.operators import edges as E
 from tessella.operators import report as R
 from tessella.operators import rules as P
+from tessella.operators import tokens as K
 from tessella.plans.layers import CATALOG, RULESET, merged
 from tessella.sources import files, php
 from tessella.streaming import events
@@ -104,8 +105,33 @@ def test_rules_over_empty_and_null_sources(spark):
     assert P.violations(t).count() == 0
 
 
+def test_token_rows_give_what_units_give(spark):
+    sources = spark.createDataFrame([(p, c) for p, (c, _) in X.SOURCES.items()], "path string, content string")
+    want = sorted((p, line, rule, code) for p, (_, found) in X.SOURCES.items() for line, rule, code in found)
+    rows = php.tokens(sources)
+    for source in (php.units(sources), rows):
+        assert sorted((r.path, r.line, r.rule, r.code) for r in P.violations(source).collect()) == want
+    plan = P.violations(php.units(sources))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_token_joins(spark):
+    sources = spark.createDataFrame([(p, X.SOURCES[p][0]) for p in ("lib/Kind.php", "lib/WrongDto.php", "lib/calls.php")], "path string, content string")
+    rows = php.tokens(sources).persist()
+    owners = rows.filter("code IN ('T_ENUM', 'T_CLASS')")
+    kids = K.direct_children(owners, rows).filter("code IN ('T_FUNCTION', 'T_ENUM_CASE')").collect()
+    assert sorted((r.owner_name, r.code, r.line) for r in kids) == [("Kind", "T_ENUM_CASE", 6), ("Kind", "T_ENUM_CASE", 7), ("Kind", "T_FUNCTION", 8), ("WrongDto", "T_FUNCTION", 9), ("WrongDto", "T_FUNCTION", 15)]
+    inside = K.within_scope(owners, rows).filter("code = 'T_FUNCTION'")
+    assert inside.count() == 4  # the method of the class within, too
+    after = rows.withColumn("next", K.next_of(("T_STRING",), F.col("content"))).filter("code = 'T_ENUM_CASE'")
+    assert sorted(r.next for r in after.collect()) == ["Upper", "goodName"]
+    calls = K.neighbours(rows).filter("code = 'T_NAME_FULLY_QUALIFIED' AND next_code = 'T_OPEN_PARENTHESIS'")
+    assert {(r.content, r.previous_code) for r in calls.collect()} >= {("\\Date", "T_NEW"), ("\\is_null", "T_RETURN")}
+    rows.unpersist()
+
+
 def test_rule_registration(spark):
-    P.register_rule("None", lambda t: P._rows(t.filter("false"), "None", "None", ""))
+    P.register_rule("None", lambda tokens, path: P._none())
     try:
         with pytest.raises(ValueError):
             P.register_rule("None", P.global_calls)
@@ -115,7 +141,7 @@ def test_rule_registration(spark):
 
 def test_message_map(spark):
     t = php.tokens(spark.createDataFrame([("lib/calls.php", X.SOURCES["lib/calls.php"][0])], "path string, content string"))
-    (row,) = R.message_map(P.global_calls(t)).collect()
+    (row,) = R.message_map(P.violations(t, ["GlobalCalls"])).collect()
     assert sorted(row.messages) == [2, 3, 5, 6] and [m.fixable for m in row.messages[5]] == [True, True]
 
 
