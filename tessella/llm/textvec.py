@@ -27,16 +27,18 @@ _LOWER += U(1)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B^i and B^-i for i < n at least."""
-    have = len(_POW[0])
-    if n > have:
-        size = max(n, CHUNK + 1)
-        for k, b in enumerate((_B, _BINV)):
-            out = np.full(size, b, U)
-            out[0] = 1
-            with np.errstate(over="ignore"):
-                _POW[k] = np.multiply.accumulate(out)
-    return _POW[0], _POW[1]
+    """B^i and B^-i for i < n at least. Those of up to four chunks are kept."""
+    if n <= len(_POW[0]):
+        return _POW[0], _POW[1]
+    size, made = max(n, CHUNK + 1), []
+    for b in (_B, _BINV):
+        out = np.full(size, b, U)
+        out[0] = 1
+        with np.errstate(over="ignore"):
+            made.append(np.multiply.accumulate(out))
+    if size <= 4 * CHUNK:
+        _POW[:] = made
+    return made[0], made[1]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -89,8 +91,16 @@ def spans(raw: np.ndarray, offs: np.ndarray, breaks: np.ndarray = _WS) -> tuple[
 
 
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash for each span of bytes."""
+    """A 64-bit hash for each span of bytes, the spans in order. A long text is hashed a chunk at a time."""
     n = len(raw)
+    if n > CHUNK and len(starts) > 1:
+        out, lo = np.empty(len(starts), U), 0
+        while lo < len(starts):
+            base = int(starts[lo])
+            hi = max(lo + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
+            out[lo:hi] = hash_spans(raw[base : ends[hi - 1]], starts[lo:hi] - base, ends[lo:hi] - base, lower)
+            lo = hi
+        return out
     p, inv = powers(n + 1)
     with np.errstate(over="ignore"):
         sums = np.empty(n + 1, U)

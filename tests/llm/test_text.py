@@ -41,6 +41,14 @@ def test_words_are_those_of_the_texts(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_long_texts_hash_alike(monkeypatch):
+    text = " ".join(f"w{i % 50}" + "x" * (i % 7) for i in range(3000)) + " " + "y" * 500
+    raw, offs = textvec.buffers(pa.array([text]))
+    want = textvec.words(raw, offs)[0]
+    monkeypatch.setattr(textvec, "CHUNK", 100)
+    assert (textvec.words(raw, offs)[0] == want).all()
+
+
 def test_table_evicts_without_mixing():
     t = textvec.Table(bits=4, pool=64)
     for _ in range(50):
