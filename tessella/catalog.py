@@ -22,6 +22,7 @@ from tessella.operators import report as R
 from tessella.operators import rules as P
 from tessella.plans.layers import CATALOG, RULESET
 from tessella.sources.php import units
+from tessella.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,10 +40,6 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _q(value) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
 
@@ -70,7 +67,7 @@ _PARTS_B = [("l_suppkey", 5, X.ROOTS), ("l_orderkey", 4, X.MODULES), ("l_orderke
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    t = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey")
     name = lambda parts: F.concat(*[_pick_spark(*p) for p in parts])
     return t.select("l_orderkey", "l_linenumber", name(_PARTS).alias("depender"), name(_PARTS_B).alias("dependent"), _pick_spark("l_partkey", 0, X.KINDS).alias("dep_type"))
 

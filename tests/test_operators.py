@@ -252,3 +252,11 @@ def test_dispatch_after_commit(spark, tmp_path):
     assert pending.head().attempts == 1
     assert events.relay(pending, lambda d: None).count() == 0
     assert events.relay(pending, lambda d: 1 / 0).head().attempts == 2
+
+
+def test_spread_leaves_what_is_spread(spark):
+    from tessella.sources.tables import spread
+
+    assert spread(spark.range(100, numPartitions=1).toDF("id"), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = spark.range(100, numPartitions=9).toDF("id")
+    assert spread(wide, "id") is wide
