@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources.tables import spread, table
+
 #: Rows in one Arrow batch. With documents of up to some hundred KB a batch stays within tens of MB.
 BATCH_ROWS = 1000
 #: Bytes in one Arrow batch, whatever the number of rows.
@@ -61,8 +63,8 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return spread(table(spark, sf_dir, "pages"), "page_id")
