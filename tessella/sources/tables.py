@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes for each core under which a table may well be one row group, which no number of splits parts.
+SMALL = 4 << 20
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df over all cores, by a hash of keys, if it comes in fewer than half as many partitions (a file of one row group,
-    say). A larger table is left as it is, without a shuffle."""
+    """A small table over all cores, by a hash of keys; a larger one is left as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if 2 * df.rdd.getNumPartitions() >= cores else df.repartition(cores, *[F.xxhash64(F.col(k)) for k in keys])
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *[F.xxhash64(F.col(k)) for k in keys]) if size < cores * SMALL else df
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

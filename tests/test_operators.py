@@ -254,9 +254,10 @@ def test_dispatch_after_commit(spark, tmp_path):
     assert events.relay(pending, lambda d: 1 / 0).head().attempts == 2
 
 
-def test_spread_leaves_what_is_spread(spark):
-    from tessella.sources.tables import spread
+def test_spread_leaves_what_is_large(spark):
+    from tessella.sources.tables import SMALL, spread
 
-    assert spread(spark.range(100, numPartitions=1).toDF("id"), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(100, numPartitions=9).toDF("id")
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(100, numPartitions=1).toDF("id"), "id").rdd.getNumPartitions() == cores
+    wide = spark.range(cores * SMALL, numPartitions=3).toDF("id")
     assert spread(wide, "id") is wide
