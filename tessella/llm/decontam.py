@@ -1,35 +1,38 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-Seeds are the benchmark's n-grams of words that are rare: against the other n-grams of their own item, in how many
-documents they occur. (A bound on the number alone would drop an item that has leaked into many documents.) A document
-that holds a seed is aligned with the seed's item around that place; the score is the alignment's share of the item's
-score against itself, so that an edited copy loses by its edits alone.
+"""Benchmark decontamination: pairs of near words find the places, then Smith-Waterman alignment of words.
+
+The search is exact: it finds what aligning each item with each document would find. An alignment of a share T of the
+score of an item of m words has M matched words and at most 2 (M - T m) edits. So of its M - 1 steps from one matched
+word to the next at most M - T m have two edits or more, and T m - 1 at least have one at most: both words are then one
+or two words apart, in the item and in the document. Documents with that many of an item's pairs, within the words that
+such an alignment can span, are aligned with it there; no other can reach T. The score is the alignment's share of the
+item's score against itself, so that an edited copy loses by its edits alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import textvec
 from tessella.llm.shared import bound_batches, texts
 
-#: Words of a seed.
-SEED = 3
-#: A seed is rare if it is in at most so many documents, or so many times the median of its item's seeds.
-RARE, RARE_TIMES = 100, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of an item's own score.
 THRESHOLD = 0.5
+#: Pairs that more items of a block hold are looked for only where an item's count can't be reached without them.
+COMMON = 64
 #: Longer items are searched by segments of so many words; an item's score is its best segment's.
 SEGMENT = 256
-#: N-grams of one block of items. A block is broadcast (24 bytes an n-gram); a larger benchmark is searched block by block.
+#: Words of one block of items. A block is broadcast (some 60 bytes a word); a larger benchmark is searched block by block.
 BLOCK = 500_000
 #: Words of a document that are aligned at a time.
 STRETCH = 4096
@@ -46,27 +49,70 @@ def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 @dataclass
 class Block:
-    """Segments of items, and their n-grams sorted by hash: the seed's hash, its segment, its place in it."""
+    """Segments of items, and their pairs of words sorted by hash: the pair's hash and its segment.
+
+    near has a mark at the low bits of each hash. least and span: how many of a segment's pairs an alignment that reaches
+    the threshold has at least, and in how many words. alone: some segment is searched by single words.
+    """
 
     item_ids: list[int | None]
     segments: list[np.ndarray]
     hashes: np.ndarray
     segment: np.ndarray
-    place: np.ndarray
-
-
-def blocks(benchmark: DataFrame) -> Iterator[Block]:
+    near: np.ndarray
+    least: np.ndarray
+    span: np.ndarray
+    alone: bool
+
+
+def _pairs(h: np.ndarray, step: int) -> np.ndarray:
+    """Hashes of each word and the one step words on, the same for any step; of the words themselves for 0."""
+    if step == 0:
+        return h
+    with np.errstate(over="ignore"):
+        return textvec.mix(h[:-step] * textvec.U(0x9E3779B97F4A7C15) + h[step:])
+
+
+def _block(ids: list[int | None], segments: list[np.ndarray], threshold: float) -> Block:
+    sizes = np.array([len(s) for s in segments])
+    # What T m - 1 leaves without a pair (items of one or two words) is searched by words.
+    least = np.array([math.ceil(threshold * m - 1e-9) - 1 for m in sizes.tolist()])
+    alone = least < 1
+    parts = [[(0, s)] if one else [(1, _pairs(s, 1)), (2, _pairs(s, 2))] for s, one in zip(segments, alone.tolist(), strict=True)]
+    h = np.concatenate([g for part in parts for _, g in part])
+    place = np.concatenate([np.arange(len(g)) for part in parts for _, g in part])
+    segment = np.repeat(np.arange(len(segments)), [sum(len(g) for _, g in part) for part in parts])
+    # A pair at each place could be one of those counted: with r places left out, r less are sure.
+    _, which = np.unique(h, return_inverse=True)
+    held = np.bincount(np.unique(which * len(segments) + segment) // len(segments))[which]
+    base = np.cumsum(sizes) - sizes
+    most = np.zeros(int(sizes.sum()), np.int64)
+    np.maximum.at(most, base[segment] + place, held)
+    out = np.zeros(len(most), bool)
+    for i in np.unique(segment[(held > COMMON) & ~alone[segment]]).tolist():
+        own = most[base[i] : base[i] + sizes[i]]
+        worst = np.argsort(-own, kind="stable")[: least[i] - 1]
+        worst = worst[own[worst] > COMMON]
+        out[base[i] + worst] = True
+        least[i] -= len(worst)
+    kept = ~out[base[segment] + place]
+    h, segment = h[kept], segment[kept]
+    order = np.lexsort((segment, h))
+    h, segment = h[order], segment[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (segment[1:] != segment[:-1])
+    h, segment = h[new], segment[new]
+    near = np.zeros(1 << (16 * len(h)).bit_length(), bool)
+    near[(h & textvec.U(len(near) - 1)).astype(np.int64)] = True
+    span = np.floor(sizes * (3 - 2 * threshold) + 1e-9).astype(np.int64)
+    return Block(list(ids), list(segments), h, segment.astype(np.int32), near, np.maximum(least, 1), span, bool(alone.any()))
+
+
+def blocks(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Block]:
     """The benchmark in bounded blocks, read row by row. Items without a word are left out: nothing can hold them."""
     ids: list[int | None] = []
     segments: list[np.ndarray] = []
     size = 0
-
-    def make() -> Block:
-        grams = [textvec.ngrams(s, min(SEED, len(s)))[: max(len(s) - SEED + 1, 1)] for s in segments]
-        h = np.concatenate(grams)
-        order = np.argsort(h, kind="stable")
-        return Block(list(ids), list(segments), h[order], np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order], np.concatenate([np.arange(len(g)) for g in grams])[order])
-
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).toLocalIterator():
         for _, _, raw, offs in textvec.chunks(pa.array([row.text or ""])):
             h = words(raw, offs)[0]
@@ -75,30 +121,40 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
                 segments.append(h[at : at + SEGMENT])
                 size += len(segments[-1])
         if size >= BLOCK:
-            yield make()
+            yield _block(ids, segments, threshold)
             ids, segments, size = [], [], 0
     if segments:
-        yield make()
+        yield _block(ids, segments, threshold)
 
 
-def _hits(block: Block, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, entry of the block) wherever a document has one of its n-grams. Shorter items than SEED have their own length."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    lengths = np.array([min(len(s), SEED) for s in block.segments])
+def _windows(block: Block, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, segment, first word, word after the last) of all stretches that can hold an alignment, by segment and place."""
     end = np.repeat(bounds[1:], np.diff(bounds))
-    for n in np.unique(lengths).tolist():
-        grams = textvec.ngrams(h, n)
-        at = np.flatnonzero(np.arange(len(h)) + n <= end)
-        left = np.searchsorted(block.hashes, grams[at], "left")
-        hit = left < len(block.hashes)
-        hit[hit] = block.hashes[left[hit]] == grams[at[hit]]
-        at, left = at[hit], left[hit]
-        count = np.searchsorted(block.hashes, grams[at], "right") - left
+    keys: list[np.ndarray] = []
+    for step in (0, 1, 2) if block.alone else (1, 2):
+        pairs = _pairs(h, step)
+        at = np.flatnonzero(block.near[(pairs & textvec.U(len(block.near) - 1)).astype(np.int64)])
+        at = at[at + step < end[at]]
+        left = np.searchsorted(block.hashes, pairs[at], "left")
+        count = np.searchsorted(block.hashes, pairs[at], "right") - left
         entry = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        word = np.repeat(at, count)
-        own = lengths[block.segment[entry]] == n
-        found.append((word[own], entry[own]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        keys.append(block.segment[entry].astype(np.int64) * len(h) + np.repeat(at, count))
+    key = np.unique(np.concatenate(keys))
+    if not len(key):
+        return
+    segment, word = np.divmod(key, len(h))
+    last = np.arange(len(key)) + block.least[segment] - 1
+    first = np.flatnonzero(last < len(key))
+    last = last[first]
+    held = (segment[last] == segment[first]) & (word[last] - word[first] < block.span[segment[first]]) & (word[last] < end[word[first]])
+    first, last = first[held], last[held]
+    segment, row = segment[first], np.searchsorted(bounds, word[first], "right") - 1
+    lo = np.maximum(word[last] - block.span[segment] + 1, bounds[row])
+    hi = np.minimum(word[first] + block.span[segment], bounds[row + 1])
+    new = np.ones(len(first) + 1, bool)
+    new[1:-1] = (segment[1:] != segment[:-1]) | (row[1:] != row[:-1]) | (lo[1:] >= hi[:-1])
+    a, b = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
+    yield from zip(row[a].tolist(), segment[a].tolist(), lo[a].tolist(), hi[b].tolist(), strict=True)
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
@@ -125,77 +181,24 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
     return score, matched, int(j), end
 
 
-def _windows(at: np.ndarray, length: int, n: int) -> Iterator[tuple[int, int]]:
-    """Stretches of a document of n words in which an item that should begin at the places at can lie."""
-    slack = length // 2 + 8
-    lo = hi = -1
-    for start in np.unique(at).tolist():
-        a, b = max(0, start - slack), min(n, start + length + slack)
-        if lo >= 0 and a <= hi:
-            hi = max(hi, b)
-            continue
-        if lo >= 0:
-            yield lo, hi
-        lo, hi = a, b
-    if lo >= 0:
-        yield lo, hi
-
-
-def _search(block: Block, rare: np.ndarray, h: np.ndarray, bounds: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int, int]]:
+def _search(block: Block, h: np.ndarray, bounds: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int, int]]:
     """(row, segment, score, matched words, first word, word after the last) for each row and segment that reach the threshold."""
-    word, entry = _hits(block, h, bounds)
-    kept = rare[entry]
-    word, entry = word[kept], entry[kept]
-    row = np.searchsorted(bounds, word, "right") - 1
-    segment = block.segment[entry]
-    order = np.lexsort((word, segment, row))
-    row, segment, start = row[order], segment[order], (word - block.place[entry])[order]
-    cuts = np.flatnonzero(np.diff(row * len(block.segments) + segment)) + 1
-    for part in np.split(np.arange(len(row)), cuts) if len(row) else []:
-        r, s = int(row[part[0]]), int(segment[part[0]])
+    for (r, s), found in groupby(_windows(block, h, bounds), itemgetter(0, 1)):
         item, first = block.segments[s], int(bounds[r])
-        doc = h[first : bounds[r + 1]]
         best = (0, 0, 0, 0)
-        for lo, hi in _windows(start[part] - first, len(item), len(doc)):
+        for _, _, lo, hi in found:
             for a in range(lo, hi, STRETCH):
-                got = align(item, doc[a : min(hi, a + STRETCH + 3 * len(item))])
+                got = align(item, h[a : min(hi, a + STRETCH + 3 * len(item))])
                 if got[0] > best[0]:
-                    best = (got[0], got[1], got[2] + a, got[3] + a)
+                    best = (got[0], got[1], got[2] + a - first, got[3] + a - first)
         score = best[0] / (MATCH * len(item))
         if score >= threshold:
             yield r, s, score, best[1], best[2], best[3]
 
 
-def _prepared(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Broadcast, Broadcast]]:
-    """For each block of the benchmark the block and which of its n-grams are rare in docs (text, lower-cased)."""
-    spark = docs.sparkSession
-    for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
-
-        def count(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            distinct, which = np.unique(own.hashes, return_inverse=True)
-            n = np.zeros(len(distinct), np.int64)
-            for batch in batches:
-                for _, _, raw, offs in textvec.chunks(batch.column(0)):
-                    h, _, _, bounds = words(raw, offs)
-                    word, entry = _hits(own, h, bounds)
-                    row = np.searchsorted(bounds, word, "right") - 1
-                    n += np.bincount(np.unique(row * len(distinct) + which[entry]) % len(distinct), minlength=len(distinct))
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["seed", "n"])
-
-        # At most BLOCK n-grams and one item more have a count, whatever the corpus.
-        counts = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-        distinct, which = np.unique(block.hashes, return_inverse=True)
-        in_docs = np.zeros(len(distinct), np.int64)
-        for c in counts:
-            in_docs[c.seed] = c.n
-        each = in_docs[which]
-        order = np.lexsort((each, block.segment))
-        size = np.bincount(block.segment, minlength=len(block.segments))
-        median = each[order][np.cumsum(size) - size + (size - 1) // 2]
-        yield shared, spark.sparkContext.broadcast((each > 0) & (each <= np.maximum(RARE, RARE_TIMES * median[block.segment])))
+def _prepared(spark: SparkSession, benchmark: DataFrame, threshold: float) -> Iterator[Broadcast]:
+    for block in blocks(benchmark, threshold):
+        yield spark.sparkContext.broadcast(block)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -211,16 +214,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     base = texts(docs).withColumn("text", F.lower("text"))
     schema = "doc_id long, item_id long, score double, matched_words int, first_word int, end_word int"
     out = spark.createDataFrame([], schema)
-    for shared, rare in _prepared(base, benchmark):
+    for shared in _prepared(spark, benchmark, threshold):
 
-        def search(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared, rare: Broadcast = rare) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in batches:
                 ids, rows = batch.column(0).to_pylist(), []
                 for lo, _, raw, offs in textvec.chunks(batch.column(1)):
                     h, _, _, bounds = words(raw, offs)
                     best: dict[tuple[int, int | None], tuple] = {}
-                    for r, s, *rest in _search(own, rare.value, h, bounds, threshold):
+                    for r, s, *rest in _search(own, h, bounds, threshold):
                         key = (lo + r, own.item_ids[s])
                         if key not in best or rest[0] > best[key][0]:
                             best[key] = tuple(rest)
@@ -238,16 +241,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     name = "_lower"
     while name in docs.columns:
         name += "_"
-    base = texts(docs).withColumn("text", F.lower("text"))
     out = docs
-    for shared, rare in _prepared(base, benchmark):
+    for shared in _prepared(docs.sparkSession, benchmark, threshold):
 
-        def keep(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared, rare: Broadcast = rare) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 stays = np.ones(batch.num_rows, bool)
                 for lo, _, raw, offs in textvec.chunks(batch.column(batch.num_columns - 1)):
                     h, _, _, bounds = words(raw, offs)
-                    for r, *_ in _search(shared.value, rare.value, h, bounds, threshold):
+                    for r, *_ in _search(shared.value, h, bounds, threshold):
                         stays[lo + r] = False
                 rows = batch.filter(pa.array(stays))
                 yield pa.RecordBatch.from_arrays(rows.columns[:-1], rows.schema.names[:-1])

@@ -181,6 +181,34 @@ def test_edited_copies_and_blocks(spark, monkeypatch):
     assert decontam.contaminated(empty(spark), bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_edited_copies_in_many_documents(spark):
+    """No copy is exact, and all are edited in the same places, so that every n-gram that is left is in all of them."""
+    item = [f"i{k}" for k in range(40)]
+    fifth = ["changed" if k % 5 == 4 else w for k, w in enumerate(item)]
+    third = ["changed" if k % 3 == 2 else w for k, w in enumerate(item)]
+    apart = [x for w in item for x in (w, "and")]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for copy in (fifth, third, apart):
+        df = odd(spark, [(i, f"n{i} m{i} " + " ".join(copy) + f" o{i}", "en") for i in range(130)])
+        want = brute_contaminated([(r.doc_id, r.text) for r in df.collect()], [(1, " ".join(item))])
+        assert len(want) == 130 and Counter((r.doc_id, r.item_id, round(r.score, 6)) for r in decontam.contaminated(df, bench).collect()) == want
+        assert decontam.clean(df, bench).count() == 0
+
+
+def test_search_is_exact(monkeypatch):
+    rng = random.Random(5)
+    for common in (0, 1, 64) * 40:
+        monkeypatch.setattr(decontam, "COMMON", common)
+        threshold, size = rng.choice([0.3, 0.5, 0.7, 1.0]), rng.choice([4, 30])
+        some = lambda least, most: [rng.randrange(size) for _ in range(rng.randrange(least, most))]
+        items = [np.array(some(1, 30), np.uint64) for _ in range(3)]
+        docs = [np.array(some(0, 20) + [w for x in items[rng.randrange(3)].tolist() for w in rng.choice([[x], [x], [x], [], [size], [x, size]])] + some(0, 20), np.uint64) for _ in range(4)]
+        block, h = decontam._block([0, 1, 2], items, threshold), np.concatenate(docs)
+        got = {(r, s): score for r, s, score, *_ in decontam._search(block, h, np.cumsum([0, *map(len, docs)]), threshold)}
+        scores = {(r, s): decontam.align(item, doc)[0] / (decontam.MATCH * len(item)) for r, doc in enumerate(docs) if len(doc) for s, item in enumerate(items)}
+        assert got == {k: x for k, x in scores.items() if x >= threshold}
+
+
 # --- language model ---
 
 
