@@ -209,6 +209,30 @@ def test_search_is_exact(monkeypatch):
         assert got == {k: x for k, x in scores.items() if x >= threshold}
 
 
+def test_long_items_are_aligned_whole(spark):
+    item = [f"i{k}" for k in range(257)]
+    long = [f"l{k}" for k in range(900)]
+    third = ["changed" if k % 3 == 2 else w for k, w in enumerate(long)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long))], "item_id long, text string")
+    texts = ["just one word i256 of it", " ".join(item), " ".join(["a"] * 40 + third + ["b"] * 40), " ".join(long[:300]), " ".join(long[200:700])]
+    df = odd(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    want = brute_contaminated([(r.doc_id, r.text) for r in df.collect()], [(r.item_id, r.text) for r in bench.collect()])
+    assert set((d, i) for d, i, _ in want) == {(1, 1), (2, 2), (4, 2)}
+    assert Counter((r.doc_id, r.item_id, round(r.score, 6)) for r in decontam.contaminated(df, bench).collect()) == want
+    assert sorted(r.doc_id for r in decontam.clean(df, bench).collect()) == [0, 3]
+
+
+def test_alignment_by_parts(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(200):
+        item, doc = (np.array([rng.randrange(4) for _ in range(rng.randrange(1, 25))], np.uint64) for _ in range(2))
+        monkeypatch.setattr(decontam, "ROWS", 256)
+        whole = decontam.align(item, doc)
+        assert whole[0] == slow_score(item.tolist(), doc.tolist())
+        monkeypatch.setattr(decontam, "ROWS", rng.choice([1, 2, 5]))
+        assert decontam.align(item, doc) == whole
+
+
 # --- language model ---
 
 
