@@ -114,7 +114,8 @@ def _centred(members: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cid, set): sorted shingle hashes of the classes in wanted (cid, rep, set_id), one row of docs for each."""
+    """(cid, set): sorted shingle hashes of the classes in wanted (cid, rep, hash, set_id), one row of docs for each at least.
+    Where no row of a class has a doc_id, the rows of its text_hash are taken."""
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,6 +135,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     bound_batches(spark)
     joined = texts(docs).join(wanted.select(F.col("rep").alias("doc_id"), "cid", "set_id"), "doc_id").select("cid", "text", "set_id")
+    unnamed = texts(docs).filter("doc_id IS NULL").withColumn("hash", F.xxhash64("text"))
+    joined = joined.union(unnamed.join(wanted.filter("rep IS NULL").select("hash", "cid", "set_id"), "hash").select("cid", "text", "set_id"))
     return joined.mapInArrow(run, "cid long, set binary")
 
 
@@ -227,16 +230,16 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
 
 
 def _judged(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """near_duplicates() with text_hash."""
+    """near_duplicates() with text_hash, and first_hash, the least of the component's."""
     rows = written(features(docs, n), "features")
-    grouped = rows.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
+    grouped = rows.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("hash"), F.any_value("bands").alias("bands"))
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    labels = connected(links(docs, classes.filter(F.col("rep").isNotNull()), n, percent))
-    named = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("set_id", "rep", F.coalesce("label", "cid").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = named.join(least, "root").select("set_id", "component_id")
+    labels = connected(links(docs, classes, n, percent))
+    named = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("set_id", "rep", "hash", F.coalesce("label", "cid").alias("root"))
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("hash").alias("first_hash"))
+    of = named.join(least, "root").select("set_id", "component_id", "first_hash")
     component = F.coalesce("component_id", "doc_id")
-    return rows.drop("bands").join(of, "set_id", "left").select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True) & component.isNull()).alias("kept"))
+    return rows.drop("bands").join(of, "set_id", "left").select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True) & component.isNull()).alias("kept"), "first_hash")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -247,15 +250,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     or one without words, has no shingles and is linked with nothing. Repeated rows stay and belong to one component; a
     null doc_id is never a component_id where the component has another, and is kept where it has none.
     """
-    return _judged(docs, n, percent).drop("text_hash")
+    return _judged(docs, n, percent).drop("text_hash", "first_hash")
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, that stay: of each component the document of the least doc_id.
 
-    Rows that repeat a doc_id and text stay once. Documents without words stay, being linked with nothing.
+    Of a component without a doc_id the rows of one text stay, that of the least hash. Rows that repeat a doc_id and text stay once. Documents without words stay, being linked with nothing.
     """
-    stay = _judged(docs, n, percent).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    stay = _judged(docs, n, percent).filter("kept AND (component_id IS NOT NULL OR first_hash IS NULL OR text_hash = first_hash)").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     rows = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
     once = W.partitionBy("doc_id", "_text_hash").orderBy("doc_id")
     joined = rows.join(stay, rows["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (rows["_text_hash"] == stay["_hash"]), "left_semi")

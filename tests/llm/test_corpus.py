@@ -108,6 +108,17 @@ def test_components(spark):
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    w = [[f"{c}{k}" for k in range(60)] for c in "abc"]
+    text = lambda k, *more: " ".join([*w[k], *more])
+    docs = [(5, text(0)), (None, text(0, "x")), (None, text(0, "x", "y")), (None, text(1)), (None, text(1, "x")), (None, text(1, "x", "y")), (None, text(2))]
+    df = odd(spark, [(i, t, "en") for i, t in docs])
+    got = result(minhash.near_duplicates(df, 5, 80))
+    assert got == brute_components(docs, 5, 80) and sum(k[2] == 5 for k in got.elements()) == 3
+    left = [(r.doc_id, r.text.split()[0]) for r in minhash.deduplicated(df, 5, 80).collect()]
+    assert sorted(left, key=str) == [(5, "a0"), (None, "b0"), (None, "c0")]
+
+
 # --- decontamination ---
 
 
