@@ -37,6 +37,8 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source label br".split())
 NOISE = frozenset("nav footer aside form menu dialog head button fieldset datalist".split())
 NOISE_ROLES = frozenset("navigation banner complementary contentinfo search menu menubar dialog alert alertdialog form toolbar".split())
+#: Elements that hold the page or its text: the words of their class and id (has-sidebar, has-comments) don't make them noise.
+HOLDERS = frozenset("html body main article".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored sponsors promo promotion promotions cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments respond replies disqus related recommended pagination pager widget widgets skip alert".split()
 )
@@ -55,7 +57,7 @@ def _look(tag: str, attrs: str) -> tuple[str, bool]:
     names = f"{found.get('class', '')} {found.get('id', '')}"
     own = PARTS.findall(names)
     noise = tag in NOISE or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
-    noise = noise or any(w.lower() in NOISE_WORDS for w in own)
+    noise = noise or tag not in HOLDERS and any(w.lower() in NOISE_WORDS for w in own)
     return tag + "".join(f".{w}" for w in own), noise
 
 

@@ -210,6 +210,12 @@ def test_notation():
     assert sitetree.host_of("HTTPS://u:p@Ex.Ample.:80/p") == "ex.ample" and sitetree.host_of(None) == ""
 
 
+def test_classes_of_the_page_are_not_noise():
+    for page in ("<html class=has-menu><body class='single has-sidebar' id=page-comments>%s</body>", "<body><article class='post has-comments'>%s</article>", "<main class='related'>%s</main>"):
+        assert sitetree.main_text("http://h/", page % "<p>own</p><div class=sidebar>no</div><nav>no</nav>", set()) == "own"
+    assert sitetree.main_text("http://h/", "<body class=x><div class=has-sidebar><p>no</p></div>", set()) == ""
+
+
 def site(n, host):
     return [(i, f"http://{host}/{i}", f"<body><div class=top><p>Same words</p></div><div class=text><p>Own text {i} of {host}</p><p>More {i * 7}</p></div><div class=low><p>Same end</p></div></body>") for i in range(n)]
 
