@@ -143,8 +143,8 @@ def tokenize(source: str) -> list[dict]:
             row["modifiers"] = list(modifiers)
             if code == "T_CLASS" and before == "T_DOUBLE_COLON":
                 row["code"] = code = "T_STRING"
-            following = [r for r in rows[idx + 1 : idx + 40] if r["code"] not in EMPTY and r["content"] != "&"][:1]
-            named = following[0] if following and following[0]["code"] in ("T_STRING", "T_SELF", "T_NULL", "T_ARRAY", "T_STATIC", "T_CALLABLE", "T_PARENT", "T_TRUE", "T_FALSE") else None
+            following = next((rows[k] for k in range(idx + 1, len(rows)) if rows[k]["code"] not in EMPTY and rows[k]["content"] != "&"), None)
+            named = following if following and following["code"] in ("T_STRING", "T_SELF", "T_NULL", "T_ARRAY", "T_STATIC", "T_CALLABLE", "T_PARENT", "T_TRUE", "T_FALSE") else None
             if code == "T_FUNCTION" and named is None:
                 row["code"] = code = "T_CLOSURE"
             elif code == "T_CLASS" and (before == "T_NEW" or named is None or modifiers and before == "T_READONLY" and len(effective) > 1 and rows[effective[-2]]["code"] == "T_NEW"):

@@ -261,3 +261,9 @@ def test_spread_leaves_what_is_large(spark):
     assert spread(spark.range(100, numPartitions=1).toDF("id"), "id").rdd.getNumPartitions() == cores
     wide = spark.range(cores * SMALL, numPartitions=3).toDF("id")
     assert spread(wide, "id") is wide
+
+
+def test_names_behind_many_comments():
+    far = " /* x */\n" * 60
+    rows = php.tokenize(f"<?php class{far}A {{ function{far}f() {{}} }}")
+    assert [(r["code"], r.get("name")) for r in rows if r["code"] in ("T_CLASS", "T_FUNCTION", "T_ANON_CLASS", "T_CLOSURE")] == [("T_CLASS", "A"), ("T_FUNCTION", "f")]
