@@ -14,12 +14,11 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 
 from tessella.llm import textvec
@@ -32,6 +31,8 @@ L, N, O, S, WS, A1, A2, END = range(8)
 QL, QN, QO, QS, QW, C2, C1, CE = range(8)
 
 SURROGATES = range(0xD800, 0xE000)
+#: Bytes of a pre-token from which on its pairs are kept in a heap.
+HEAPED = 256
 
 
 @cache
@@ -141,23 +142,58 @@ def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a pre-token by merging, again and again, the pair of the lowest rank; of equal pairs the leftmost."""
     if piece in ranks:
         return [ranks[piece]]
+    if len(piece) > HEAPED:
+        return _merge_long(piece, ranks)
+    rank, none = ranks.get, len(ranks)
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-        if rank == 1 << 60:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    pairs = [rank(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (low := min(pairs)) < none:
+        i = pairs.index(low)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
     return [ranks[p] for p in parts]
 
 
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """merge_pairs() by a heap of pairs over a linked list of parts, for time in n log n."""
+    n = len(piece)
+    after, before, none = list(range(1, n + 1)), list(range(-1, n - 1)), len(ranks)
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2], none)) < none]
+    heapify(heap)
+
+    def push(i: int) -> None:
+        if i >= 0 and after[i] < n:
+            end = after[after[i]]
+            if (r := ranks.get(piece[i:end], none)) < none:
+                heappush(heap, (r, i, after[i], end))
+
+    while heap:
+        _, i, middle, end = heappop(heap)
+        # A part that is gone has after -1; one that has grown has another middle or end.
+        if after[i] != middle or after[middle] != end:
+            continue
+        after[i], after[middle] = end, -1
+        if end < n:
+            before[end] = i
+        push(before[i])
+        push(i)
+    out, at = [], 0
+    while at < n:
+        out.append(ranks[piece[at : after[at]]])
+        at = after[at]
+    return out
+
+
 class Bpe:
     """Encodes and decodes by a file of ranks. Ids of pre-tokens are kept in a bounded table, by a hash of their bytes."""
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-        core = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        self.merge = core._core_bpe.encode_single_piece
         pieces = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
             pieces[rank] = piece
@@ -166,6 +202,9 @@ class Bpe:
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.table = textvec.Table()
 
+    def merge(self, piece: bytes) -> list[int]:
+        return merge_pairs(piece, self.ranks)
+
     def encode_batch(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and where each row's begin (with the end). raw, offs: the texts' bytes and where each begins."""
         lead = np.flatnonzero((raw & 0xC0) != 0x80)
@@ -177,7 +216,7 @@ class Bpe:
         def make(which: np.ndarray) -> list[list[int]]:
             return [self.merge(whole[a:b]) for a, b in zip(starts[which].tolist(), ends[which].tolist())]
 
-        start, length = self.table.get(textvec.hash_spans(raw, starts, ends, lower=False), make)
+        start, length = self.table.get(textvec.hash_spans(raw, starts, ends, lower=False), raw, starts, ends, make)
         ids = textvec.gather(self.table.pool, start, length)
         return ids, np.concatenate([[0], np.cumsum(length)])[np.searchsorted(starts, offs)]
 
@@ -192,9 +231,9 @@ def codec(path: str) -> Bpe:
 
 
 def encode(docs: DataFrame, ranks_path: str, keep: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit; only where keep), ids_sha256, decoded_sha256.
+    """doc_id, n_tokens, ids, offsets (both binary, little-endian unsigned 32-bit; only where keep), ids_sha256, decoded_sha256.
 
-    Every whole text is encoded and its ids decoded again. A null or empty text has no ids, and the hashes are those of
+    offsets has the byte of the text at which each id begins. Every whole text is encoded and its ids decoded again. A null or empty text has no ids, and the hashes are those of
     no bytes. Rows are kept one to one: repeated rows and null doc_ids stay; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
@@ -203,13 +242,13 @@ def encode(docs: DataFrame, ranks_path: str, keep: bool = True) -> DataFrame:
         bpe = codec(ranks_path)
         sha = hashlib.sha256
         for batch in batches:
-            n_tokens, kept, ids_sha, decoded_sha = [], [], [], []
+            n_tokens, kept, places, ids_sha, decoded_sha = [], [], [], [], []
             for _, _, raw, offs in textvec.chunks(batch.column(1)):
                 every, at = bpe.encode_batch(raw, offs)
                 every, text = every.astype("<u4"), bpe.decode(every)
                 # A row's ids decode to its own bytes or to as many others: its part of the text is found by its ids' lengths.
-                cut = np.concatenate([[0], np.cumsum(bpe.lengths[every])])[at].tolist()
-                at = at.tolist()
+                begins = np.concatenate([[0], np.cumsum(bpe.lengths[every])])
+                cut, at = begins[at].tolist(), at.tolist()
                 for k in range(len(offs) - 1):
                     ids = every[at[k] : at[k + 1]].tobytes()
                     n_tokens.append(at[k + 1] - at[k])
@@ -217,20 +256,33 @@ def encode(docs: DataFrame, ranks_path: str, keep: bool = True) -> DataFrame:
                     decoded_sha.append(sha(text[cut[k] : cut[k + 1]]).hexdigest())
                     if keep:
                         kept.append(ids)
-            cols = [batch.column(0), pa.array(n_tokens, pa.int64()), *([pa.array(kept, pa.binary())] if keep else []), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", *(["ids"] if keep else []), "ids_sha256", "decoded_sha256"])
+                        places.append((begins[at[k] : at[k + 1]] - cut[k]).astype("<u4").tobytes())
+            cols = [batch.column(0), pa.array(n_tokens, pa.int64()), *([pa.array(kept, pa.binary()), pa.array(places, pa.binary())] if keep else []), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", *(["ids", "offsets"] if keep else []), "ids_sha256", "decoded_sha256"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long" + ", ids binary, offsets binary" * keep + ", ids_sha256 string, decoded_sha256 string")
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long" + ", ids binary" * keep + ", ids_sha256 string, decoded_sha256 string")
 
+def decode(encoded: DataFrame, ranks_path: str, first: int = 0, end: int | None = None) -> DataFrame:
+    """doc_id, text of rows doc_id, ids, offsets as encode() gives them; a null value of ids or offsets gives the empty text.
 
-def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, text of rows doc_id, ids as encode() gives them; a null ids column value gives the empty text."""
+    first, end: bytes of the text to decode (all where not given). Of ids that lie outside by their offsets none is
+    decoded; characters that the bounds cut become U+FFFD.
+    """
     bound_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path)
         for batch in batches:
-            out = [bpe.decode(np.frombuffer(x.as_py() or b"", "<u4")).decode("utf-8", "replace") for x in batch.column(1)]
+            out = []
+            for x, y in zip(batch.column(1), batch.column(2), strict=True):
+                ids, begins = (np.frombuffer(v.as_py() or b"", "<u4") for v in (x, y))
+                if len(ids) != len(begins):
+                    ids = begins = ids[:0]
+                a = max(int(np.searchsorted(begins, first, "right")) - 1, 0)
+                b = len(ids) if end is None else int(np.searchsorted(begins, end, "left"))
+                at = int(begins[a]) if a < b else first
+                out.append(bpe.decode(ids[a:b])[max(first - at, 0) : None if end is None else max(end - at, 0)].decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids", "offsets").mapInArrow(run, "doc_id long, text string")

@@ -16,14 +16,20 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.llm import textvec
 from tessella.llm.shared import bound_batches, texts
 
 #: Labelled rows that the model is fitted on, about: those of the smallest hashes.
 SAMPLE_ROWS = 20_000
-#: Entries of the model at most, for words and for each order of n-grams; the most frequent stay.
+#: Entries of the model at most, for words and for each order of n-grams: the most frequent, of equal ones those of the
+#: least hashes. None: all. The model is broadcast, so they are its bound: 32 bytes an entry and eight for each language.
 WORDS, GRAMS = 60_000, 20_000
+#: Counts that a task holds before it hands them on.
+HELD = 1 << 20
+#: Levels under which rows and occurrences in all are counted.
+TOTALS, DOCS = 100, 200
 ORDER = 4
 #: A word is known from so many occurrences on.
 KNOWN = 2
@@ -54,7 +60,7 @@ def _lower() -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words (runs of letters, lower-cased) of some rows: codepoints of all rows and where words begin and end."""
+    """Words (runs of letters, lower-cased) of some rows: codepoints of all rows as padded bytes, and where words begin and end."""
 
     codes: np.ndarray
     starts: np.ndarray
@@ -72,15 +78,11 @@ def words(raw: np.ndarray, offs: np.ndarray) -> Words:
     start[1:] &= ~letter[:-1] | first[1:-1]
     last[:-1] &= ~letter[1:] | first[1:-1]
     starts = np.flatnonzero(start)
-    return Words(_lower()[codes], starts, np.flatnonzero(last) + 1, np.searchsorted(starts, at))
+    return Words(textvec.padded(_lower()[codes].view(np.uint8)), starts, np.flatnonzero(last) + 1, np.searchsorted(starts, at))
 
 
 def _spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    p, inv = textvec.powers(len(codes) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * p[: len(codes)], out=sums[1:])
-        return textvec.mix((sums[ends] - sums[starts]) * inv[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+    return textvec.hash_padded(codes, 4 * starts, 4 * (ends - starts))
 
 
 def _grams(w: Words, n: int, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +124,7 @@ class Model:
                 todo = np.flatnonzero((step == 0) & (here + n <= stop))
                 if not len(todo):
                     continue
-                found = self.find(n, _spans_at(w, here[todo], n))
+                found = self.find(n, _spans(w.codes, here[todo], here[todo] + n))
                 hit = todo[found >= 0]
                 out[live[hit]] += self.logs[n][found[found >= 0]] + BACKOFF * (ORDER - n + 1)
                 step[hit] = n
@@ -133,7 +135,6 @@ class Model:
     def classify(self, raw: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and posterior of each row; no letter: undetermined, 0."""
         w = words(raw, offs)
-        w.sums = _prefix(w.codes)  # type: ignore[attr-defined]
         n_rows, k = len(offs) - 1, len(self.langs)
         h = _spans(w.codes, w.starts, w.ends)
         unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
@@ -154,106 +155,90 @@ class Model:
         return [self.langs[b] if n else UNDETERMINED for b, n in zip(best.tolist(), n_words.tolist())], score
 
 
-def _prefix(codes: np.ndarray) -> np.ndarray:
-    p, _ = textvec.powers(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * p[: len(codes)], out=sums[1:])
-    return sums
-
-
-def _spans_at(w: Words, at: np.ndarray, n: int) -> np.ndarray:
-    _, inv = textvec.powers(len(w.codes) + 1)
-    with np.errstate(over="ignore"):
-        return textvec.mix((w.sums[at + n] - w.sums[at]) * inv[at] ^ np.uint64(n << 40))  # type: ignore[attr-defined]
-
-
-def _top(h: np.ndarray, lang: np.ndarray, n: np.ndarray, k: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts by language of the most frequent hashes."""
-    keys, inverse = np.unique(h, return_inverse=True)
-    counts = np.zeros((len(keys), k))
-    np.add.at(counts, (inverse, lang), n)
-    total = counts.sum(1)
-    kept = np.flatnonzero(total >= least)
-    kept = np.sort(kept[np.argsort(-total[kept], kind="stable")[:most]])
-    return keys[kept], counts[kept]
-
-
 def _logs(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """log10 of smoothed frequencies: half an occurrence of everything in every language."""
     return np.log10((counts + 0.5) / (totals + 0.5 * (len(counts) + 1))) if len(counts) else counts
 
 
-def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on about sample_rows rows (doc_id, text, lang): all, or that share of them with the smallest hashes of doc_id and text.
+def _counts(rows: DataFrame) -> DataFrame:
+    """level, hash, lang, n of the rows (lang, text): occurrences, summed within a task as far as HELD entries go.
 
-    Rows with a null lang or text are left out. One task counts words and n-grams of the sample, a few Arrow batches at a
-    time; the model is made of its counts, cut to WORDS and GRAMS entries, on the driver. Without rows there are no languages, and
-    every text is undetermined.
+    Level 0 has words, 1 to ORDER n-grams. Under TOTALS + level a language's occurrences in all, under DOCS its rows, both with hash 0.
     """
-    spark = labelled.sparkSession
-    bound_batches(spark)
-    labelled = labelled.filter(F.col("lang").isNotNull())
-    n = labelled.count()
-    share = min(1.0, sample_rows / max(n, 1))
-    near = F.xxhash64("doc_id", "text").cast("double") < F.lit((2 * share - 1) * 2.0**63 if share < 1 else 2.0**64)
-    rows = labelled.filter(F.col("text").isNotNull() & near).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sample = rows.limit(2 * sample_rows)  # one partition; the bound bites only where thousands of equal rows share a hash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-        docs: dict[str, int] = {}
+        held: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+
+        def flush() -> pa.RecordBatch:
+            sizes = [len(h) for h, _ in held.values()]
+            every = list(held.values()) or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            levels, langs = np.repeat([k[1] for k in held], sizes).astype(np.int32), np.repeat(np.array([k[0] for k in held], object), sizes)
+            hashes, counts = (np.concatenate([p[i] for p in every]) for i in range(2))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(levels), pa.array(hashes.view(np.int64)), pa.array(langs, pa.string()), pa.array(counts)], ["level", "hash", "lang", "n"])
+
+        def add(lang: str, level: int, h: np.ndarray, n: np.ndarray) -> None:
+            if (lang, level) in held:
+                h, n = (np.concatenate([x, y]) for x, y in zip(held[lang, level], (h, n), strict=True))
+                h, inverse = np.unique(h, return_inverse=True)
+                n = np.bincount(inverse, n, len(h)).astype(np.int64)
+            held[lang, level] = (h, n)
+
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for lang in set(langs):
-                docs[lang] = docs.get(lang, 0) + langs.count(lang)
-                col = batch.column(1).filter(pa.array([x == lang for x in langs]))
-                for _, _, raw, offs in textvec.chunks(col):
+            for lang in sorted(set(langs)):
+                mine = [x == lang for x in langs]
+                add(lang, DOCS, np.zeros(1, np.uint64), np.array([sum(mine)]))
+                for _, _, raw, offs in textvec.chunks(batch.column(1).filter(pa.array(mine))):
                     w = words(raw, offs)
                     every = np.arange(len(w.starts))
                     for level in range(ORDER + 1):
                         h = _spans(w.codes, w.starts, w.ends) if level == 0 else _grams(w, level, every)[0]
-                        parts = held.setdefault((lang, level), [])
-                        parts.append(np.unique(h, return_counts=True))
-                        if len(parts) >= 16:
-                            held[lang, level] = [_merge(parts, 4 * WORDS)]
-        out = [(lang, level, _merge(parts, 4 * WORDS)) for (lang, level), parts in held.items()]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "lang": pa.array([x[0] for x in out], pa.string()),
-                "level": pa.array([x[1] for x in out], pa.int32()),
-                "docs": pa.array([docs[x[0]] for x in out], pa.int64()),
-                "total": pa.array([int(x[2][1].sum()) for x in out], pa.int64()),
-                "k": pa.array([x[2][0].tobytes() for x in out], pa.binary()),
-                "n": pa.array([x[2][1].astype(np.int64).tobytes() for x in out], pa.binary()),
-            }
-        )
-
-    got = sample.mapInArrow(run, "lang string, level int, docs long, total long, k binary, n binary").collect()
-    langs = sorted({r.lang for r in got})
-    docs = np.array([sum(r.docs for r in got if r.lang == x and r.level == 0) for x in langs], float)
+                        add(lang, level, *np.unique(h, return_counts=True))
+                        add(lang, TOTALS + level, np.zeros(1, np.uint64), np.array([len(h)]))
+            if sum(len(h) for h, _ in held.values()) > HELD:
+                yield flush()
+        yield flush()
+
+    return rows.mapInArrow(run, "level int, hash long, lang string, n long").groupBy("level", "hash", "lang").agg(F.sum("n").alias("n"))
+
+
+def train(labelled: DataFrame, sample_rows: int | None = SAMPLE_ROWS, most_words: int | None = WORDS, most_grams: int | None = GRAMS) -> Model:
+    """Fit on about sample_rows rows (doc_id, text, lang): all (also for None), or that share of them with the smallest hashes.
+
+    Rows with a null lang or text are left out. Words and n-grams are counted by partial aggregation and their counts are
+    exact; most_words and most_grams bound what the model keeps of them (None: all), no count or total. Without rows there
+    are no languages, and every text is undetermined.
+    """
+    spark = labelled.sparkSession
+    bound_batches(spark)
+    labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    if sample_rows is not None and (n := labelled.count()) > sample_rows:
+        labelled = labelled.filter(F.xxhash64("doc_id", "text").cast("double") < F.lit((2 * sample_rows / n - 1) * 2.0**63))
+    counts = _counts(labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
+    entries = counts.groupBy("level", "hash").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    within = lambda most: F.lit(True) if most is None else F.col("place") <= most
+    place = F.row_number().over(Window.partitionBy("level").orderBy(F.desc("total"), "hash"))
+    kept = entries.filter((F.col("level") != 0) | (F.col("total") >= KNOWN)).withColumn("place", place)
+    got = kept.filter((F.col("level") >= TOTALS) | ((F.col("level") == 0) & within(most_words)) | ((F.col("level") > 0) & within(most_grams))).select("level", "hash", "by").collect()
+    alone = {r.level: {x.lang: x.n for x in r.by} for r in got if r.level >= TOTALS}
+    langs = sorted(alone.get(DOCS, {}))
+    docs = np.array([alone[DOCS][x] for x in langs], float)
     keys, logs = [], []
     for level in range(ORDER + 1):
         mine = [r for r in got if r.level == level]
-        h = np.concatenate([np.frombuffer(bytes(r.k), np.uint64) for r in mine]) if mine else np.zeros(0, np.uint64)
-        n = np.concatenate([np.frombuffer(bytes(r.n), np.int64) for r in mine]) if mine else np.zeros(0, np.int64)
-        lang = np.concatenate([np.full(len(r.n) // 8, langs.index(r.lang)) for r in mine]) if mine else np.zeros(0, int)
-        k, counts = _top(h, lang, n, max(len(langs), 1), GRAMS if level else WORDS, 1 if level else KNOWN)
-        totals = np.array([sum(r.total for r in mine if r.lang == x) for x in langs], float) if langs else np.zeros(1)
-        keys.append(k)
-        logs.append(_logs(counts, totals))
+        h = np.array([r.hash for r in mine], np.int64).view(np.uint64)
+        order = np.argsort(h)
+        counts_ = np.zeros((len(mine), max(len(langs), 1)))
+        for i, r in enumerate(mine):
+            for x in r.by:
+                counts_[i, langs.index(x.lang)] = x.n
+        totals = np.array([alone.get(TOTALS + level, {}).get(x, 0) for x in langs] or [0], float)
+        keys.append(h[order])
+        logs.append(_logs(counts_[order], totals))
     return Model(langs, np.log10(docs / docs.sum()) if langs else np.zeros(0), keys, logs)
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
-    h, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    n = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(h)).astype(np.int64)
-    if len(h) > most:
-        kept = np.sort(np.argsort(-n, kind="stable")[:most])
-        h, n = h[kept], n[kept]
-    return h, n
-
-
 def identify(docs: DataFrame, model: Model, extra: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, the extra columns, lang_pred and score (the posterior, 0 to 1) for each row, from the whole text alone.
 

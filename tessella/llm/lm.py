@@ -118,7 +118,7 @@ class Tokens:
 def tokens(raw: np.ndarray, offs: np.ndarray, train: np.ndarray) -> Tokens:
     parts, sizes = [], []
     lo, n = 0, len(offs) - 1
-    while lo < n:  # hashing needs powers for all bytes at once: a megabyte at a time
+    while lo < n:  # a megabyte at a time bounds what hashing holds
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + textvec.CHUNK, "right")) - 1)
         h, _, _, bounds = textvec.words(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         parts.append(h)

@@ -1,8 +1,9 @@
 """Words of Arrow text columns as 64-bit hashes, by array operations over the UTF-8 bytes.
 
-A word is a run of bytes outside 0x20 and 0x09-0x0D; A-Z are lower-cased. Its hash is a polynomial in the bytes modulo
-2^64, read off one prefix sum as (P[end] - P[start]) * B^-start, then mixed with the length. Equal words have equal
-hashes; two given different words collide with a chance near 2^-64.
+A word is a run of bytes outside 0x20 and 0x09-0x0D; A-Z are lower-cased. Its hash takes eight bytes at a time, each
+mixed by a bijection without linear structure, from a state made of the length; long words are hashed by xxhash. Words
+of up to eight bytes and equal length never collide, other two different words with a chance near 2^-64. Where a wrong
+answer would come of a collision, Table compares the bytes.
 """
 
 from __future__ import annotations
@@ -11,34 +12,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-_B = 0x9E3779B97F4A7C15 | 1
-_BINV = pow(_B, -1, 1 << 64)
-_POW = [np.ones(1, U), np.ones(1, U)]
-#: Bytes of text that are hashed at a time; one longer text is taken whole.
+#: Bytes of text that are taken at a time; one longer text is taken whole.
 CHUNK = 1 << 20
+#: Bytes of a span from which on it is hashed and compared by itself.
+LONG = 128
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=U)
-_LOWER[65:91] += U(32)
-_LOWER += U(1)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B^i and B^-i for i < n at least. Those of up to four chunks are kept."""
-    if n <= len(_POW[0]):
-        return _POW[0], _POW[1]
-    size, made = max(n, CHUNK + 1), []
-    for b in (_B, _BINV):
-        out = np.full(size, b, U)
-        out[0] = 1
-        with np.errstate(over="ignore"):
-            made.append(np.multiply.accumulate(out))
-    if size <= 4 * CHUNK:
-        _POW[:] = made
-    return made[0], made[1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], U)
+_SEED = 0x243F6A8885A308D3
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -90,24 +77,52 @@ def spans(raw: np.ndarray, offs: np.ndarray, breaks: np.ndarray = _WS) -> tuple[
     return np.flatnonzero(start), np.flatnonzero(last) + 1
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash for each span of bytes, the spans in order. A long text is hashed a chunk at a time."""
-    n = len(raw)
-    if n > CHUNK and len(starts) > 1:
-        out, lo = np.empty(len(starts), U), 0
-        while lo < len(starts):
-            base = int(starts[lo])
-            hi = max(lo + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
-            out[lo:hi] = hash_spans(raw[base : ends[hi - 1]], starts[lo:hi] - base, ends[lo:hi] - base, lower)
-            lo = hi
-        return out
-    p, inv = powers(n + 1)
+def padded(raw: np.ndarray, lower: bool = False) -> np.ndarray:
+    """raw with eight more bytes, so that eight can be read from any place."""
+    out = np.zeros(len(raw) + 8, np.uint8)
+    if lower:
+        np.take(_LOWER, raw, out=out[: len(raw)])
+    else:
+        out[: len(raw)] = raw
+    return out
+
+
+def _eight(padded: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The bytes from each place on as one number: eight, or as many as are left."""
+    return np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))[at] & _MASK[np.minimum(left, 8)]
+
+
+def hash_padded(padded: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each span of padded bytes."""
     with np.errstate(over="ignore"):
-        sums = np.empty(n + 1, U)
-        sums[0] = 0
-        np.cumsum((_LOWER[raw] if lower else raw.astype(U) + U(1)) * p[:n], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * inv[starts]
-        return mix(h ^ ((ends - starts).astype(U) * U(0xD6E8FEB86659FD93)))
+        h = mix(size.astype(U) * U(0xD6E8FEB86659FD93) + U(_SEED))
+        h = mix((h ^ _eight(padded, starts, size)) * U(0x9E3779B97F4A7C15))
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(padded[starts[i] : starts[i] + size[i]], seed=_SEED)
+        rest, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(rest):
+            left = size[rest] - at
+            h[rest] = mix((h[rest] ^ _eight(padded, starts[rest] + at, left)) * U(0x9E3779B97F4A7C15))
+            rest, at = rest[left > 8], at + 8
+    return h
+
+
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash for each span of bytes."""
+    return hash_padded(padded(raw, lower), starts, ends - starts)
+
+
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes of a and b are equal from each pair of starts on. a and b are padded."""
+    out = _eight(a, a_starts, length) == _eight(b, b_starts, length)
+    for i in np.flatnonzero(out & (length > LONG)).tolist():
+        out[i] = np.array_equal(a[a_starts[i] : a_starts[i] + length[i]], b[b_starts[i] : b_starts[i] + length[i]])
+    rest, at = np.flatnonzero(out & (length > 8) & (length <= LONG)), 8
+    while len(rest):
+        left = length[rest] - at
+        out[rest] = _eight(a, a_starts[rest] + at, left) == _eight(b, b_starts[rest] + at, left)
+        rest, at = rest[out[rest] & (left > 8)], at + 8
+    return out
 
 
 def words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,43 +146,74 @@ def row_of(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
+class Pool:
+    """Values one after another in an array that grows by doubling."""
+
+    def __init__(self, dtype: type) -> None:
+        self.values, self.used = np.zeros(1 << 16, dtype), 0
+
+    def add(self, flat: np.ndarray) -> int:
+        """Append values; where they begin. Eight values more than used are always there."""
+        if self.used + len(flat) + 8 > len(self.values):
+            self.values = np.concatenate([self.values[: self.used], np.zeros(max(len(self.values), len(flat) + 8), self.values.dtype)])
+        self.values[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return self.used - len(flat)
+
+
 class Table:
-    """A direct-mapped cache from 64-bit hashes to runs of a pool of 32-bit values: bounded, and looked up by arrays."""
-
-    def __init__(self, bits: int = 19, pool: int = 1 << 23) -> None:
-        self.mask = U((1 << bits) - 1)
-        self.keys = np.zeros(1 << bits, U)
-        self.start = np.zeros(1 << bits, np.int64)
-        self.length = np.zeros(1 << bits, np.int64)
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used, self.limit = 0, pool
-
-    def put(self, values: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Append runs to the pool; their starts and lengths."""
+    """A direct-mapped cache from spans of bytes to runs of 32-bit values: bounded, and looked up by arrays.
+
+    Entries are found by a hash and then compared byte by byte, so that a collision costs time and no more.
+    """
+
+    def __init__(self, bits: int = 19, limit: int = 1 << 23) -> None:
+        self.bits, self.limit = bits, limit
+        self.clear()
+
+    def clear(self) -> None:
+        size = 1 << self.bits
+        self.keys, self.start, self.length, self.at, self.size = (np.zeros(size, t) for t in (U, np.int64, np.int64, np.int64, np.int64))
+        self.size[:] = -1
+        self.runs, self.spelt = Pool(np.uint32), Pool(np.uint8)
+
+    @property
+    def pool(self) -> np.ndarray:
+        return self.runs.values
+
+    def _put(self, values: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         length = np.fromiter(map(len, values), np.int64, len(values))
-        flat = np.fromiter((v for run in values for v in run), np.uint32, int(length.sum()))
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), len(flat)), np.uint32)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        start = self.used + np.cumsum(length) - length
-        self.used += len(flat)
-        return start, length
+        first = self.runs.add(np.fromiter((v for run in values for v in run), np.uint32, int(length.sum())))
+        return first + np.cumsum(length) - length, length
+
+    def get(self, h: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths in the pool for each span of raw, of hash h; make(indexes) gives the runs of those that aren't there.
 
-    def get(self, h: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and lengths in the pool for each hash; make(indexes) gives the runs of those that aren't there."""
-        if self.used > self.limit:
-            self.keys[:] = 0
-            self.used, self.pool = 0, np.zeros(1 << 16, np.uint32)
-        slot = (h & self.mask).astype(np.int64)
+        A hash may depend on more than the bytes, if spans of equal bytes with other hashes are to have runs of their own."""
+        if max(self.runs.used, self.spelt.used // 4) > self.limit:
+            self.clear()
+        room, size = padded(raw), ends - starts
+        slot = (h & U(len(self.keys) - 1)).astype(np.int64)
         start, length = self.start[slot], self.length[slot]
-        miss = np.flatnonzero(self.keys[slot] != h)
+        there = (self.keys[slot] == h) & (self.size[slot] == size)
+        seen = np.flatnonzero(there)
+        there[seen] = equal_spans(room, starts[seen], self.spelt.values, self.at[slot[seen]], size[seen])
+        miss = np.flatnonzero(~there)
         if len(miss):
             unique, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
-            at, n = self.put(make(miss[first]))
+            model = miss[first]
+            at, n = self._put(make(model))
             start[miss], length[miss] = at[inverse], n[inverse]
-            slot = (unique & self.mask).astype(np.int64)
-            self.keys[slot], self.start[slot], self.length[slot] = unique, at, n
-            # Where several new hashes share a slot, all three arrays keep the last one's values.
+            like = model[inverse]
+            same = size[miss] == size[like]
+            same[same] = equal_spans(room, starts[miss[same]], room, starts[like[same]], size[miss[same]])
+            odd = miss[~same]
+            if len(odd):  # spans that share a hash with another one of this call
+                start[odd], length[odd] = self._put(make(odd))
+            spelt = self.spelt.add(gather(raw, starts[model], size[model])) + np.cumsum(size[model]) - size[model]
+            slot = (unique & U(len(self.keys) - 1)).astype(np.int64)
+            # Where several new hashes share a slot, all arrays keep the last one's values.
+            self.keys[slot], self.start[slot], self.length[slot], self.at[slot], self.size[slot] = unique, at, n, spelt, size[model]
         return start, length
 
 

@@ -2,13 +2,14 @@
 
 No piece of such a model has the space mark after another character, so merges never cross from a pre-token (a run of
 marks and the characters after it) to the next, and a text's count is the sum over its pre-tokens. Counts are looked up
-in two tiers: a table of the most frequent pre-tokens that is broadcast, and each worker's cache, whose misses are
+in two tiers: a table of frequent pre-tokens (those of a sample of the first rows) that is broadcast, and each worker's cache, whose misses are
 encoded by the library.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 from tessella.llm import textvec
 from tessella.llm.shared import bound_batches, texts
 
-#: Entries of the broadcast table: 12 bytes each, 0.8 MB in all, whatever the corpus.
-FREQUENT = 1 << 16
-#: Rows from which the table is made. It affects speed alone: what it lacks is encoded where it occurs.
-WARM_ROWS = 1024
+#: Entries of the broadcast table and bytes of each at most: 92 bytes an entry, 6 MB in all, whatever the corpus.
+FREQUENT, LONGEST = 1 << 16, 64
+#: Rows, and characters of each at most, from which the table is made. They affect speed alone: what it lacks is encoded where it occurs.
+WARM_ROWS, WARM_CHARS = 1024, 20_000
 
 MARK = "▁".encode()
 
@@ -74,23 +75,49 @@ def keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, begins: np.ndarr
         return textvec.mix(textvec.hash_spans(raw, starts, ends, lower=False) + begins.astype(np.uint64))
 
 
-def frequent(docs: DataFrame, model_path: str, rows: int = WARM_ROWS, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of the most frequent pre-tokens of the first rows that Spark finds, most entries at most.
+@dataclass
+class Known:
+    """The broadcast tier: pre-tokens' sorted keys, their counts, and their bytes, by which they are compared."""
 
-    take() reads no more partitions than it needs, so that warming the table doesn't read the corpus once more.
+    keys: np.ndarray
+    counts: np.ndarray
+    spelt: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+
+    def find(self, k: np.ndarray, room: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The entry of each pre-token of padded bytes, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(k), -1)
+        at = np.searchsorted(self.keys, k)
+        at[at == len(self.keys)] = 0
+        there = (self.keys[at] == k) & (self.size[at] == size)
+        seen = np.flatnonzero(there)
+        there[seen] = textvec.equal_spans(room, starts[seen], self.spelt, self.at[at[seen]], size[seen])
+        return np.where(there, at, -1)
+
+
+def frequent(docs: DataFrame, model_path: str, rows: int = WARM_ROWS, most: int = FREQUENT) -> Known:
+    """The most frequent pre-tokens of the first rows that Spark finds, most entries at most, none over LONGEST bytes.
+
+    take() reads no more partitions than it needs, so that warming the table doesn't read the corpus once more. Texts
+    over WARM_CHARS characters are no part of the sample, which bounds what comes to the driver.
     """
     sp, seen = processor(model_path), {}
-    for row in texts(docs).take(rows) if rows else []:
+    sample = texts(docs).filter(F.length("text") <= WARM_CHARS)
+    for row in sample.take(rows) if rows else []:
         for _, _, raw, offs in textvec.chunks(pa.array([row.text or ""])):
             starts, ends, begins = split(raw, offs)
             whole = raw.tobytes()
-            for k, a, b, c in zip(keys(raw, starts, ends, begins).tolist(), starts.tolist(), ends.tolist(), begins.tolist()):
+            for k, a, b, c in zip(keys(raw, starts, ends, begins).tolist(), starts.tolist(), ends.tolist(), begins.tolist(), strict=True):
                 if k in seen:
                     seen[k][1] += 1
-                else:
-                    seen[k] = [count_piece(sp, whole[a:b], c), 1]
+                elif b - a <= LONGEST:
+                    seen[k] = [whole[a:b], 1, c]
     best = sorted(sorted(seen, key=lambda k: -seen[k][1])[:most])
-    return np.array(best, np.uint64), np.array([seen[k][0] for k in best], np.int32)
+    size = np.array([len(seen[k][0]) for k in best], np.int64)
+    spelt = textvec.padded(np.frombuffer(b"".join(seen[k][0] for k in best), np.uint8))
+    return Known(np.array(best, np.uint64), np.array([count_piece(sp, seen[k][0], seen[k][2]) for k in best], np.int32), spelt, np.cumsum(size) - size, size)
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, warm_rows: int = WARM_ROWS) -> DataFrame:
@@ -104,24 +131,22 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, warm_rows:
     table = spark.sparkContext.broadcast(frequent(docs, model_path, warm_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, own, (known, counts) = processor(model_path), cached(model_path), table.value
+        sp, own, known = processor(model_path), cached(model_path), table.value
         for batch in batches:
             n_tokens = []
             for _, _, raw, offs in textvec.chunks(batch.column(1)):
                 starts, ends, begins = split(raw, offs)
                 k = keys(raw, starts, ends, begins)
-                at = np.searchsorted(known, k)
-                at[at == len(known)] = 0
-                hit = known[at] == k if len(known) else np.zeros(len(k), bool)
+                at = known.find(k, textvec.padded(raw), starts, ends - starts)
                 n = np.zeros(len(k), np.int64)
-                n[hit] = counts[at[hit]]
-                rest, whole = np.flatnonzero(~hit), raw.tobytes()
+                n[at >= 0] = known.counts[at[at >= 0]]
+                rest, whole = np.flatnonzero(at < 0), raw.tobytes()
 
                 def make(which: np.ndarray) -> list[list[int]]:
                     which = rest[which]
                     return [[count_piece(sp, whole[a:b], c)] for a, b, c in zip(starts[which].tolist(), ends[which].tolist(), begins[which].tolist())]
 
-                start, _ = own.get(k[rest], make)
+                start, _ = own.get(k[rest], raw, starts[rest], ends[rest], make)
                 n[rest] = own.pool[start]
                 sums = np.concatenate([[0], np.cumsum(n)])
                 n_tokens.append(np.diff(sums[np.searchsorted(starts, offs)]))

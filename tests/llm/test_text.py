@@ -50,11 +50,56 @@ def test_long_texts_hash_alike(monkeypatch):
 
 
 def test_table_evicts_without_mixing():
-    t = textvec.Table(bits=4, pool=64)
-    for _ in range(50):
-        h = np.random.default_rng(_).integers(1, 400, 60).astype(np.uint64)
-        start, length = t.get(h, lambda which, h=h: [[int(x) % 7] * (int(x) % 3) for x in h[which]])
-        assert all(t.pool[a : a + n].tolist() == [int(x) % 7] * (int(x) % 3) for a, n, x in zip(start, length, h))
+    """Hashes of one bit, of a few and of all 64: spans of equal hashes keep runs of their own."""
+    t = textvec.Table(bits=4, limit=64)
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        raw, offs = textvec.buffers(pa.array([str(x) * (1 + x % 90) for x in rng.integers(1, 200, 60).tolist()]))
+        starts, ends = offs[:-1], offs[1:]
+        h = textvec.hash_spans(raw, starts, ends) & np.uint64((1, 15, (1 << 64) - 1)[seed % 3])
+        code = lambda i: [int(raw[starts[i] : ends[i]].sum()) * 1000 + int(ends[i] - starts[i])] * (int(raw[starts[i]]) % 3)  # noqa: B023, E731
+        start, length = t.get(h, raw, starts, ends, lambda which: [code(i) for i in which])  # noqa: B023
+        assert all(t.pool[a : a + n].tolist() == code(i) for i, (a, n) in enumerate(zip(start, length, strict=True)))
+
+
+def thue_morse(n, a="a", b="b"):
+    """Words of n letters in Thue-Morse order and its complement: polynomial hashes modulo 2^64 have them equal."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_long_words_of_a_structure():
+    sp, enc = tokcount.processor(MODEL), library()
+    for n in (1024, 2048, 4096, 8192):
+        for a, b in ("ab", "xq", "09"):
+            pair = list(thue_morse(n, a, b))
+            raw, offs = textvec.buffers(pa.array(pair))
+            h = textvec.words(raw, offs)[0]
+            assert h[0] != h[1]
+            assert encoded(pair) == [enc.encode_ordinary(t) for t in pair]
+            assert counted(pair) == [len(sp.encode(t)) for t in pair]
+
+
+def counted(texts, table=None):
+    """Token counts by the cache, one process, as token_counts() looks them up."""
+    sp, out, table = tokcount.processor(MODEL), [], table or textvec.Table()
+    for _, _, raw, offs in textvec.chunks(pa.array(texts, pa.string())):
+        starts, ends, begins = tokcount.split(raw, offs)
+        make = lambda which: [[tokcount.count_piece(sp, raw.tobytes()[starts[i] : ends[i]], bool(begins[i]))] for i in which]  # noqa: B023, E731
+        start, _ = table.get(tokcount.keys(raw, starts, ends, begins), raw, starts, ends, make)
+        sums = np.concatenate([[0], np.cumsum(table.pool[start])])
+        out += np.diff(sums[np.searchsorted(starts, offs)]).astype(int).tolist()
+    return out
+
+
+LONG_WORDS = st.lists(st.builds(lambda w, n, t: (w * n)[: len(w) * n - t % 7] + " " + w, st.text("ab é漢", min_size=1, max_size=9), st.integers(1, 120), st.integers(0, 99)), max_size=5)
+
+
+@settings(max_examples=60, deadline=None)
+@given(LONG_WORDS)
+def test_long_words_are_the_librarys(texts):
+    assert encoded(texts) == [library().encode_ordinary(t) for t in texts]
+    assert counted(texts) == [len(tokcount.processor(MODEL).encode(t)) for t in texts]
 
 
 # --- sharding ---
@@ -140,8 +185,11 @@ def test_classes_of_codepoints():
 def test_pretokens_and_merges():
     assert bpe.pretokens(["we'll  go\n x", "", "a'sb"]) == [["we", "'ll", " ", " go", "\n", " x"], [], ["a", "'s", "b"]]
     ranks = bpe.codec(RANKS).ranks
-    for piece in (b" tokenizer", "ünï".encode(), b"aaaaaaa", b"x"):
-        assert bpe.merge_pairs(piece, ranks) == bpe.codec(RANKS).merge(piece)
+    rng = np.random.default_rng(7)
+    for piece in (b" tokenizer", "ünï".encode(), b"aaaaaaa", b"x", *(rng.integers(97, 97 + k, n).astype(np.uint8).tobytes() for k in (1, 2, 26) for n in (5, 60, 255, 256, 257, 3000))):
+        want = library()._core_bpe.encode_single_piece(piece)
+        assert bpe.merge_pairs(piece, ranks) == want
+        assert len(piece) == 1 or piece in ranks or bpe._merge_long(piece, ranks) == want
 
 
 def test_scan_is_the_product_from_the_left():
@@ -164,6 +212,9 @@ def test_byte_bpe(spark, sf):
         assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()) == want
         back = Counter((r.doc_id, r.text) for r in bpe.decode(got, RANKS).collect())
         assert back == Counter((r.doc_id, r.text or "") for r in docs.collect())
+        for a, b in ((0, 10), (7, 50), (100, None), (5, 5)):
+            cut = Counter((r.doc_id, r.text) for r in bpe.decode(got, RANKS, a, b).collect())
+            assert cut == Counter((r.doc_id, (r.text or "").encode()[a:b].decode("utf-8", "replace")) for r in docs.collect())
 
 
 # --- language ID ---
@@ -185,7 +236,7 @@ def brute_language(model, text):
 
     def entry(level, s):
         c = np.array([ord(x) for x in s], np.uint32)
-        return int(model.find(level, langid._spans(c, np.array([0]), np.array([len(c)])))[0])
+        return int(model.find(level, langid._spans(textvec.padded(c.view(np.uint8)), np.array([0]), np.array([len(c)])))[0])
 
     total = model.prior.copy()
     found = regex.findall(r"\p{L}+", text or "")
@@ -220,6 +271,54 @@ def test_language_against_brute_force(spark, sf):
         assert lang == want and abs(score - p) < 1e-6
 
 
+def brute_train(rows, most_words, most_grams):
+    """(level, n-gram) → counts by language, the languages' totals by level and their rows."""
+    import regex
+
+    counts, totals, docs = [{} for _ in range(langid.ORDER + 1)], [Counter() for _ in range(langid.ORDER + 1)], Counter()
+    for text, lang in rows:
+        if text is None or lang is None:
+            continue
+        docs[lang] += 1
+        for w in regex.findall(r"\p{L}+", text):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in w)
+            for level in range(langid.ORDER + 1):
+                for s in [low] if level == 0 else [low[i : i + level] for i in range(len(low) - level + 1)]:
+                    counts[level].setdefault(s, Counter())[lang] += 1
+                    totals[level][lang] += 1
+    code = lambda s: int(langid._spans(textvec.padded(np.array([ord(x) for x in s], np.uint32).view(np.uint8)), np.array([0]), np.array([len(s)])).view(np.int64)[0])
+    kept = []
+    for level, of in enumerate(counts):
+        known = [(-sum(c.values()), code(s), c) for s, c in of.items() if level or sum(c.values()) >= langid.KNOWN]
+        most = most_grams if level else most_words
+        kept.append({h: c for _, h, c in sorted(known, key=lambda x: x[:2])[:most]})
+    return kept, totals, docs
+
+
+def test_training_against_brute_force(spark, sf):
+    """Ties at the bound go to the least hash; with no bound all entries are there."""
+    sample = documents(spark, sf).filter("doc_id < 60").union(odd(spark).select("doc_id", "text", "lang", "source", "n_chars"))
+    rows = [(r.text, r.lang) for r in sample.collect()]
+    for words, grams, held in ((None, None, 1 << 20), (50, 30, 1 << 20), (7, 1, 1)):
+        langid.HELD = held
+        model = langid.train(sample, None, words, grams)
+        kept, totals, docs = brute_train(rows, words, grams)
+        assert model.langs == sorted(docs)
+        assert np.allclose(model.prior, np.log10([docs[x] / sum(docs.values()) for x in model.langs]))
+        for level in range(langid.ORDER + 1):
+            assert set(model.keys[level].view(np.int64).tolist()) == set(kept[level])
+            of = np.array([[kept[level][h][x] for x in model.langs] for h in model.keys[level].view(np.int64).tolist()])
+            want = np.log10((of + 0.5) / (np.array([totals[level][x] for x in model.langs]) + 0.5 * (len(of) + 1)))
+            assert np.allclose(model.logs[level], want)
+    langid.HELD = 1 << 20
+
+
+def test_language_ties(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa bb", "x"), (2, "aa bb aa bb", "a"), (3, "cc", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, langid.train(docs)).collect()}
+    assert got == {1: ("a", 0.5), 2: ("a", 0.5), 3: ("a", 0.5)}
+
+
 def test_language_odd(spark):
     docs = odd(spark)
     got = langid.split_and_identify(docs).collect()
