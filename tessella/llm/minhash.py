@@ -2,11 +2,14 @@
 
 Each of 64 permutations of the shingles' hashes gives its least and its greatest value, so 128 signature values cost 64
 evaluations. Bands of two permutations (four values) are equal with a chance of about J^4: two texts at J = 0.8 agree in
-none of the 32 bands with a chance of 5e-8. Texts of equal sets are one class before anything is paired. In a bucket only
-the pairs with its centre are looked at; by the triangle inequality of the Jaccard distance, what is farther than twice
-the allowed distance from the centre has no link to those near it, and what is between is compared with them; the rest
-of the bucket is compared in one task if it is small, or goes on with a centre of its own. So no link between members
-of a bucket is lost, and a bucket of near copies costs as many pairs as it has members.
+none of the 32 bands with a chance of 5e-8. Texts of equal sets are one class before anything is paired.
+
+Buckets are settled in two steps, neither of which pairs all members of one. First every member is compared with its
+bucket's centre (the least class): a group of near copies is then one component, for as many pairs as it has members.
+What is in a bucket with another component is left: these classes meet by their rarest shingles. A set of n shingles
+shares one of its n - ceil(0.8 n) + 1 rarest with every set that it is linked to (prefix filter), whatever the order as
+long as it is one; pairs inside a component need no second look. Pages of one template share their frequent
+shingles and not the rare ones, so they make no pairs.
 """
 
 from __future__ import annotations
@@ -21,15 +24,13 @@ from pyspark.sql import Window as W
 
 from tessella.llm import textvec
 from tessella.llm.components import connected
-from tessella.llm.shared import bound_batches, texts, written
+from tessella.llm.shared import bitmap, bound_batches, in_bitmap, texts, written
 
 PERMUTATIONS, PER_BAND = 64, 2
 BANDS = PERMUTATIONS // PER_BAND
 #: Rows of one bucket, or pairs of one centre, that go to one part of a join; larger ones are spread.
 SALTS = 8
 PAIRS_PER_SALT = 1000
-#: Members that a centre's bucket leaves are compared in one task up to this number, beyond it with a centre of their own.
-LOCAL = 512
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -67,10 +68,20 @@ def signature(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _set_id(s: np.ndarray) -> bytes:
+    with np.errstate(over="ignore"):
+        return np.array([s.sum(), textvec.mix(s ^ np.uint64(0xA0761D6478BD642F)).sum()], np.uint64).tobytes()
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_hash and row, which rows share only if they repeat doc_id and text."""
+    return texts(docs).withColumn("text_hash", F.xxhash64("text")).withColumn("row", F.xxhash64("doc_id", "text_hash"))
+
+
 def features(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_id (16 bytes, equal for equal sets; null for an empty one), bands (binary, BANDS longs)."""
+    """doc_id, text_hash, row, n_shingles, set_id (16 bytes, equal for equal sets; null for an empty one), bands (binary, BANDS longs)."""
     bound_batches(docs.sparkSession)
-    names = ["doc_id", "text_hash", "n_shingles", "set_id", "bands"]
+    names = ["doc_id", "text_hash", "row", "n_shingles", "set_id", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,21 +89,15 @@ def features(docs: DataFrame, n: int) -> DataFrame:
             for _, _, raw, offs in textvec.chunks(batch.column(1)):
                 h, bounds = shingles(raw, offs, n)
                 rows = np.flatnonzero(np.diff(bounds))
-                sets = [np.unique(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                sizes += map(len, sets)
-                keys = signature(h, np.append(bounds[rows], len(h))) if len(rows) else np.zeros((0, BANDS), np.uint64)
-                whole = iter(keys)
-                with np.errstate(over="ignore"):
-                    for s in sets:
-                        if len(s):
-                            ids.append(np.array([s.sum(), textvec.mix(s ^ np.uint64(0xA0761D6478BD642F)).sum()], np.uint64).tobytes())
-                            bands.append(next(whole).tobytes())
-                        else:
-                            ids.append(None)
-                            bands.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.binary())], names)
-
-    return texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_id binary, bands binary")
+                keys = iter(signature(h, np.append(bounds[rows], len(h))) if len(rows) else ())
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    s = np.unique(h[a:b])
+                    sizes.append(len(s))
+                    ids.append(_set_id(s) if len(s) else None)
+                    bands.append(next(keys).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.binary())], names)
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, row long, n_shingles long, set_id binary, bands binary")
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -106,38 +111,34 @@ def _members(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "bands").mapInArrow(run, "key long, cid long")
 
 
-def _centred(members: DataFrame) -> DataFrame:
-    """(key, cid, centre) for buckets of two members and more: the least cid is the centre; it isn't a member of its own."""
-    buckets = members.groupBy("key").agg(F.min("cid").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    right = buckets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return members.withColumn("_salt", (F.pmod(F.xxhash64("cid"), F.lit(SALTS))).cast("int")).join(right, ["key", "_salt"]).filter("cid <> centre").select("key", "cid", "centre")
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(cid, set): sorted shingle hashes of the classes in wanted (cid, rep, hash, set_id), one row of docs for each at least.
-    Where no row of a class has a doc_id, the rows of its text_hash are taken."""
+    """(cid, set): sorted shingle hashes of the classes wanted (cid, row, set_id). Texts stay where they are: a bitmap
+    of the wanted rows tells almost all others, and only sets are moved."""
     spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(bitmap(wanted, "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: set[int] = set()
         for batch in batches:
+            rows = batch.column(1).to_numpy()
+            hit = in_bitmap(shared.value, rows)
+            hit[np.fromiter((x in last for x in rows.tolist()), bool, len(rows))] = False
+            first = np.zeros(len(rows), bool)
+            first[np.unique(rows, return_index=True)[1]] = True
+            hit &= first  # rows that repeat in this batch or the last one give their set once
+            last = set(rows.tolist())
             ids, sets = [], []
-            cids, set_ids = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for lo, _, raw, offs in textvec.chunks(batch.column(1)):
+            for _, _, raw, offs in textvec.chunks(batch.column(0).filter(pa.array(hit))):
                 h, bounds = shingles(raw, offs, n)
-                for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     s = np.unique(h[a:b])
-                    with np.errstate(over="ignore"):
-                        own = np.array([s.sum(), textvec.mix(s ^ np.uint64(0xA0761D6478BD642F)).sum()], np.uint64).tobytes()
-                    if own == set_ids[lo + k]:
-                        ids.append(cids[lo + k])
-                        sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "set"])
+                    ids.append(_set_id(s))
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows[hit]), pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], ["row", "set_id", "set"])
 
     bound_batches(spark)
-    joined = texts(docs).join(wanted.select(F.col("rep").alias("doc_id"), "cid", "set_id"), "doc_id").select("cid", "text", "set_id")
-    unnamed = texts(docs).filter("doc_id IS NULL").withColumn("hash", F.xxhash64("text"))
-    joined = joined.union(unnamed.join(wanted.filter("rep IS NULL").select("hash", "cid", "set_id"), "hash").select("cid", "text", "set_id"))
-    return joined.mapInArrow(run, "cid long, set binary")
+    found = _keyed(docs).select("text", "row").mapInArrow(run, "row long, set_id binary, set binary")
+    return found.join(wanted.select("row", "set_id", "cid"), ["row", "set_id"]).select("row", "set_id", "cid", "set").dropDuplicates(["row", "set_id"]).select("cid", "set")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -162,84 +163,73 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, shared long, united long")
 
 
-def _linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between the given sets that connect all that are linked. Sets that are connected already, or whose sizes rule
-    a link out, aren't compared."""
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    for x, i in enumerate(order):
-        for j in order[x + 1 :]:
-            small, large = len(sets[i]), len(sets[j])
-            if 100 * small < percent * large:
-                break
-            if find(i) == find(j):
-                continue
-            both = np.sort(np.concatenate([sets[i], sets[j]]))
-            same = int((both[1:] == both[:-1]).sum())
-            if 100 * same >= percent * (small + large - same):
-                root[find(j)] = find(i)
-                out.append((i, j))
-    return out
-
-
-def _local(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links within small buckets (key, cid). Bands often leave the same members; equal buckets are taken once."""
+def _rare(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, cid, n, place): each set's rarest shingles as far as a linked set must share one, without those of one set.
 
-    def run(group: pa.Table) -> pa.Table:
-        ids = group.column("cid").to_pylist()
-        found = _linked([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")], percent)
-        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+    n is the set's size, place the shingle's place in the order by frequency. Shingles of one set alone come first in it,
+    whatever their number, so that they need be counted and no more.
+    """
 
-    buckets = rest.groupBy("key").agg(F.sort_array(F.collect_list("cid")).alias("cids")).select("cids").distinct()
-    rows = buckets.withColumn("bucket", F.xxhash64("cids")).select("bucket", F.explode("cids").alias("cid")).distinct()
-    return rows.join(sets, "cid").groupBy("bucket").applyInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = textvec.buffers(batch.column(1))
+            size = np.diff(offs) // 8
+            yield pa.RecordBatch.from_arrays([pa.array(raw.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.repeat(size, size))], ["token", "cid", "n"])
+
+    tokens = sets.select("cid", "set").mapInArrow(run, "token long, cid long, n long")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    of = W.partitionBy("cid")
+    least = F.expr(f"n - ceil({percent} * n / 100D - 1e-9) + 1")
+    placed = tokens.join(shared, "token").withColumn("place", F.col("n") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("held", "token")))
+    return placed.filter(F.col("place") <= least).select("token", "cid", "n", "place")
+
+
+def _left(crowd: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of classes in different components so far (labels) that may be linked, of those that share a bucket
+    of crowd (key, cid) with another component. In a group by shingle, only members outside its largest component look
+    for partners."""
+    labelled = crowd.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    open_ = written(labelled.join(mixed, "key", "left_semi").select("cid", "label").distinct(), "open")
+    rare = written(_rare(sets.join(open_, "cid", "left_semi"), percent).join(open_, "cid"), "rare")
+    kinds = rare.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("kinds"))
+    groups = kinds.filter("kinds > 1").select("token", F.col("m.label").alias("main"))
+    ours = rare.join(groups, "token")
+    x, y = ours.filter("label <> main").alias("x"), ours.alias("y")
+    # The sets' sizes, and what can still be shared from these places on, must allow a link.
+    may = f"x.label <> y.label AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * (1 + least(x.n - x.place, y.n - y.place)) >= {percent} * (x.n + y.n)"
+    pairs = x.join(y, F.expr(f"x.token = y.token AND {may}"))
+    return pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b) of classes whose sets have 100 * shared >= percent * united, enough of them to connect all that are linked."""
     near = F.expr(f"100 * shared >= {percent} * united")
-    far = 1 - percent / 100
-    members = written(_centred(_members(classes)), "members")
-    ids = members.select("cid").union(members.select(F.col("centre").alias("cid"))).distinct()
-    sets = written(_sets(docs, classes.join(ids, "cid", "left_semi"), n).dropDuplicates(["cid"]), "sets")
-    found: DataFrame | None = None
-    while True:
-        pairs = written(_verified(members.select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct(), sets), "pairs")
-        new = pairs.filter(near).select("a", "b")
-        found = new if found is None else found.union(new)
-        judged = members.join(pairs, (F.col("centre") == F.col("a")) & (F.col("cid") == F.col("b"))).select("key", "cid", near.alias("near"), (1 - F.col("shared") / F.col("united")).alias("d"))
-        rest = judged.filter("NOT near")
-        between = rest.filter(F.col("d") <= 2 * far + 1e-9).select("key", F.col("cid").alias("b"), F.col("d").alias("_d"))
-        grey = judged.filter("near").join(between, "key").filter(F.col("d") >= F.col("_d") - F.lit(far + 1e-9)).select(F.col("cid").alias("a"), "b").distinct()
-        found = found.union(written(_verified(grey, sets).filter(near).select("a", "b"), "grey"))
-        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        left = written(rest.select("key", "cid").join(sizes, "key").filter("n > 1"), "left")
-        found = found.union(written(_local(left.filter(F.col("n") <= LOCAL).select("key", "cid"), sets, percent), "local"))
-        large = left.filter(F.col("n") > LOCAL).select("key", "cid")
-        if not large.limit(1).count():
-            return found
-        members = written(_centred(large), "members")
+    members = _members(classes)
+    buckets = written(members.groupBy("key").agg(F.min("cid").alias("centre"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
+    # Buckets of two are a pair already; members of larger ones are looked up.
+    larger = buckets.filter("k > 2").select("key", "centre", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    crowd = written(members.withColumn("_salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(larger, ["key", "_salt"]).select("key", "cid", "centre"), "crowd")
+    two = buckets.filter("k = 2").select(F.col("centre").alias("a"), F.col("last").alias("b"))
+    pairs = written(two.union(crowd.filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b"))).distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    sets = written(_sets(docs, written(classes.select("cid", "row", "set_id").join(ids, "cid", "left_semi"), "wanted"), n), "sets")
+    found = written(_verified(pairs, sets).filter(near).select("a", "b"), "found")
+    rest = written(_left(crowd.select("key", "cid"), sets, connected(found), percent), "rest")
+    return found.union(written(_verified(rest, sets).filter(near).select("a", "b"), "more"))
 
 
 def _judged(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """near_duplicates() with text_hash, and first_hash, the least of the component's."""
+    """near_duplicates() with text_hash and row, and first_hash, the least of the component's."""
     rows = written(features(docs, n), "features")
-    grouped = rows.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("hash"), F.any_value("bands").alias("bands"))
+    grouped = rows.filter(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("hash"), F.min("row").alias("row"), F.any_value("bands").alias("bands"))
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     labels = connected(links(docs, classes, n, percent))
     named = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("set_id", "rep", "hash", F.coalesce("label", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("hash").alias("first_hash"))
     of = named.join(least, "root").select("set_id", "component_id", "first_hash")
     component = F.coalesce("component_id", "doc_id")
-    return rows.drop("bands").join(of, "set_id", "left").select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True) & component.isNull()).alias("kept"), "first_hash")
+    return rows.drop("bands").join(of, "set_id", "left").select("doc_id", "text_hash", "row", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True) & component.isNull()).alias("kept"), "first_hash")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -250,7 +240,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     or one without words, has no shingles and is linked with nothing. Repeated rows stay and belong to one component; a
     null doc_id is never a component_id where the component has another, and is kept where it has none.
     """
-    return _judged(docs, n, percent).drop("text_hash", "first_hash")
+    return _judged(docs, n, percent).drop("text_hash", "row", "first_hash")
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -258,11 +248,25 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Of a component without a doc_id the rows of one text stay, that of the least hash. Rows that repeat a doc_id and text stay once. Documents without words stay, being linked with nothing.
     """
-    stay = _judged(docs, n, percent).filter("kept AND (component_id IS NOT NULL OR first_hash IS NULL OR text_hash = first_hash)").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
-    once = W.partitionBy("doc_id", "_text_hash").orderBy("doc_id")
-    joined = rows.join(stay, rows["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (rows["_text_hash"] == stay["_hash"]), "left_semi")
-    return joined.withColumn("_row", F.row_number().over(once)).filter("_row = 1").select(*docs.columns)
+    stays = F.expr("kept AND (component_id IS NOT NULL OR first_hash IS NULL OR text_hash = first_hash)")
+    judged = _judged(docs, n, percent).groupBy("row", "text_hash", F.col("doc_id").alias("_id")).agg(F.max(stays).alias("_stays"), F.count(F.lit(1)).alias("_times"))
+    special = written(judged.filter("NOT _stays OR _times > 1").select("row", F.col("text_hash").alias("_hash"), "_id", "_stays"), "special")
+    words = bitmap(special, "row")
+    spark = docs.sparkSession
+    parts = spark.createDataFrame(enumerate(p.tolist() for p in words.view("<i8").reshape(-1, 512)), "_part int, _words array<long>")
+    hash_ = F.xxhash64(F.col("text").cast("string"))
+    place = F.xxhash64(F.col("doc_id").cast("long"), hash_).bitwiseAND(F.lit(8 * len(words) - 1))
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    told = docs.select(row, place.alias("_place"), F.floor(place / 32768).cast("int").alias("_part")).join(F.broadcast(parts), "_part")
+    hit = F.getbit(F.get("_words", F.floor(F.col("_place") % 32768 / 64).cast("int")), (F.col("_place") % 64).cast("int")) == 1
+    free = told.filter(~hit).select("_row.*")
+    # The rest, with what the bitmap let pass by chance, is joined; rows that repeat doc_id and text stay once.
+    id_, text = F.col("_row")["doc_id"].cast("long"), F.xxhash64(F.col("_row")["text"].cast("string"))
+    held = told.filter(hit).select("_row", id_.alias("_own"), text.alias("_text"), F.xxhash64(id_, text).alias("row"))
+    joined = held.join(special, (held["row"] == special["row"]) & held["_own"].eqNullSafe(special["_id"]) & (held["_text"] == special["_hash"]), "left").filter("_stays IS NULL OR _stays")
+    once = W.partitionBy("_own", "_text").orderBy("_own")
+    repeated = joined.withColumn("_times", F.when(F.col("_stays"), F.row_number().over(once)).otherwise(1))
+    return free.union(repeated.filter("_times = 1").select("_row.*"))
 
 
 def oracle(n: int = 4, percent: int = 80) -> str:

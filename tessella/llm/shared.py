@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +37,14 @@ def release(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one that all executors share (spark.checkpoint.dir); a local one only where that is unset."""
+    """A new folder under the one that all executors share (spark.checkpoint.dir); in local mode a local one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         there = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = there.get() if there.isDefined() else None
     if base is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(base)
         atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
@@ -57,6 +60,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a bitmap at most (16 MB), and for each row that it stands for.
+MOST_BITS, BITS_PER_ROW = 1 << 27, 16
+_PART = 1 << 15
+
+
+def bitmap(rows: DataFrame, key: str) -> np.ndarray:
+    """A bitmap, 16 MB at most whatever the rows, with the lower bits of every row's key (long) set; use it by in_bitmap().
+
+    It tells most rows without a match before they are moved; what it lets pass is joined. Beyond some 10^8 rows it lets
+    more and more pass, and never loses one.
+    """
+    bits = _PART
+    many = rows.count()
+    while bits < MOST_BITS and bits < many * BITS_PER_ROW:
+        bits *= 2
+    place = F.col(key).bitwiseAND(F.lit(bits - 1))
+    parts = rows.groupBy(F.floor(place / _PART).cast("int").alias("part")).agg(F.bitmap_construct_agg((place % _PART).cast("long")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.collect():
+        out[r.part * (_PART // 8) : (r.part + 1) * (_PART // 8)] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be one of the bitmap's."""
+    place = keys.astype(np.int64) & (8 * len(bits) - 1)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, doc_id and text, whatever else docs has."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -80,14 +80,38 @@ def family(seed, n_docs, n_words, edits):
     return out
 
 
-def test_chains_and_crowded_buckets(spark, monkeypatch):
+def test_chains_and_crowded_buckets(spark):
     texts = family(1, 60, 60, 4) + family(2, 60, 40, 6) + family(3, 40, 200, 30) + [f"alone {i} " * 5 for i in range(20)]
     rows = list(enumerate(texts))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_components(rows, 4, 80)
     assert result(minhash.near_duplicates(docs, 4)) == want
-    monkeypatch.setattr(minhash, "LOCAL", 3)
-    assert result(minhash.near_duplicates(docs, 4)) == want
+
+
+def test_pages_of_one_template(spark):
+    """700 texts that share 80 of 105 words are crowded into buckets, and only the pairs of them planted here are linked."""
+    shared = " ".join(f"t{k}" for k in range(80))
+    texts = [shared + " " + " ".join(f"p{i}w{k}" for k in range(25)) for i in range(700)]
+    texts += [t + " more" for t in texts[:40]] + [t.replace("t7 ", "u7 ") for t in texts[20:60]]
+    rows = list(enumerate(texts))
+    want = brute_components(rows, 4, 80)
+    assert result(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4)) == want
+    assert sum(not k[3] for k in want) == 80
+
+
+def test_rarest_shingles_hold_every_link(spark):
+    """The second step by itself: with no component known yet, all linked pairs of what is left are among its pairs."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 200, np.uint64)
+    sets = []
+    for i in range(60):
+        own = base[: rng.integers(1, 200)] if i % 4 else rng.integers(0, 40, rng.integers(1, 30)).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([own[rng.random(len(own)) > 0.05], rng.integers(0, 1 << 63, rng.integers(1, 8), np.uint64)])))
+    df = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "cid long, set binary")
+    crowd = spark.range(60).selectExpr("1L AS key", "id AS cid")
+    got = {(r.a, r.b) for r in minhash._left(crowd, df, spark.createDataFrame([], "id long, label long"), 80).collect()}
+    linked = {(i, j) for j in range(60) for i in range(j) if 100 * len(both_ := np.intersect1d(sets[i], sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - len(both_))}
+    assert len(linked) > 20 and linked <= got
 
 
 def test_bands_find_what_is_similar():
