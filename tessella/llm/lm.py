@@ -6,10 +6,12 @@ with what the state leaves to it. The weights interpolate the orders (Jelinek-Me
 context counts, estimated by leaving one out: a context of count c has a new successor as often as those of count c + 1
 have one that occurs once. The unigrams give the unknown word the share of tokens that occur once (Good-Turing).
 
-The automaton grows with the corpus, so no worker holds it. Texts are packed into blocks; each block asks for the counts
-of its own distinct n-grams, in sorted, compressed arrays by ranges of their hashes; each range adds up all blocks' training
-counts and answers in the order asked. From the answers a block has the part of the automaton that its texts can reach,
-and walks it once from left to right. A frequent n-gram is one entry of a block, however often it occurs.
+The automaton grows with the corpus, so no worker holds it. Texts are packed into blocks, which are written once; each
+block asks for the counts of its own distinct n-grams, in sorted, compressed arrays by ranges of their hashes; each range
+adds up all blocks' training counts and answers in the order asked. An answer also tells which n-grams no other block
+has: longer ones that hold one of these are known to the block itself, and are neither asked for nor moved. From the
+answers a block has the part of the automaton that its texts can reach, and walks it once from left to right. Blocks have
+a bounded size and ranges grow in number with the blocks, so that no task grows with the corpus.
 """
 
 from __future__ import annotations
@@ -27,17 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textvec
-from tessella.llm.shared import bound_batches
+from tessella.llm.shared import bound_batches, written
 from tessella.llm.textvec import U
 
 ORDER = 3
-#: Bytes of text in a block, a longer text by itself.
-BLOCK_BYTES = 12 << 20
+#: Bytes of text in a block, a longer text by itself, and of text for each range of hashes.
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 #: Context counts up to EXACT have buckets of their own, larger ones by powers of two.
 EXACT, BUCKETS = 8, 64
-#: Bits of the hashes of bigrams and longer n-grams; words have 64. Two of D different n-grams share a hash with a chance
-#: of D / 2^60 for each (9e-11 for the 10^8 of half a GB), and are then counted as one.
-GRAM_BITS = 60
 #: Bounds of an interpolation weight.
 LEAST_WEIGHT, MOST_WEIGHT = 1e-4, 0.999
 
@@ -72,20 +71,23 @@ def _unplanes(data: bytes, dtype: type) -> np.ndarray:
     return out.reshape(-1).view(dtype)
 
 
-def shift(level: int) -> int:
-    """Lower bits that keys of a level do without."""
-    return 0 if level == 1 else 64 - GRAM_BITS
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as compressed differences."""
+    with np.errstate(over="ignore"):
+        return _planes(np.diff(keys, prepend=U(0)))
 
 
-def pack_keys(keys: np.ndarray, low: int = 0) -> bytes:
-    """Sorted 64-bit keys, their low lower bits 0, as compressed differences."""
+def unpack_keys(data: bytes) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return _planes(np.diff(keys, prepend=U(0)) >> U(low))
+        return np.cumsum(_unplanes(data, np.uint64), dtype=np.uint64)
 
 
-def unpack_keys(data: bytes, low: int = 0) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumsum(_unplanes(data, np.uint64) << U(low), dtype=np.uint64)
+def _bits(mask: np.ndarray) -> bytes:
+    return zstandard.compress(np.packbits(mask).tobytes(), 1)
+
+
+def _unbits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.decompress(data), np.uint8), count=n).astype(bool)
 
 
 def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -110,10 +112,14 @@ class Tokens:
         h = self.hashes
         first = np.repeat(self.bounds[:-1].astype(np.int32), np.diff(self.bounds))
         last = np.flatnonzero(np.arange(len(h), dtype=np.int32) - first >= max(n - 1, 1)).astype(np.int32)
-        grams = textvec.ngrams(h, n)[last - (n - 1)] >> U(shift(n)) << U(shift(n))
+        grams = textvec.ngrams(h, n)[last - (n - 1)]
         keys, which = np.unique(grams, return_inverse=True)
         return keys, last, which.astype(np.int32)
 
+    def own(self, last: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+        """Occurrences in the block's training texts of the n-grams of level()."""
+        return np.bincount(which, np.repeat(self.train, np.diff(self.bounds))[last], n).astype(np.int64)
+
 
 def tokens(raw: np.ndarray, offs: np.ndarray, train: np.ndarray) -> Tokens:
     parts, sizes = [], []
@@ -138,8 +144,8 @@ def tokens(raw: np.ndarray, offs: np.ndarray, train: np.ndarray) -> Tokens:
 # --- blocks ------------------------------------------------------------------------------------------------------------
 
 BLOCK = "block long, ids binary, nulls binary, train binary, lengths binary, text binary"
-REQUEST = "part int, block long, level int, keys binary, counts binary, buckets binary"
-ANSWER = "block long, level int, part int, counts binary, stats binary"
+REQUEST = "part int, block long, level int, keys binary, counts binary, buckets binary, stats binary, local binary"
+ANSWER = "block long, level int, part int, counts binary, stats binary, local binary"
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -184,47 +190,57 @@ def _open(block: pa.Table) -> tuple[int, np.ndarray, np.ndarray, Tokens]:
     return row["block"], np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], np.uint8) > 0, tokens(raw, offs, np.frombuffer(row["train"], np.uint8) > 0)
 
 
-def _request(number: int, t: Tokens, level: int, context: np.ndarray | None, parts: int) -> pa.RecordBatch:
-    """One row for each part: the block's n-grams in it, their counts in its training texts, their contexts' buckets."""
+def _stats(counts: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """By the bucket of the n-grams' contexts: occurrences, n-grams that occur once, n-grams that occur."""
+    return np.array([np.bincount(buckets, counts, BUCKETS), np.bincount(buckets[counts == 1], minlength=BUCKETS), np.bincount(buckets[counts > 0], minlength=BUCKETS)], float)
+
+
+def _request(number: int, t: Tokens, level: int, before: Level | None, parts: int) -> pa.RecordBatch:
+    """One row for each part: the block's n-grams in it, their counts in its training texts, their contexts' buckets.
+
+    before: what is known of the (n-1)-grams. Of n-grams that no other block can have, only their statistics are sent, and
+    which they are, both with part 0."""
     keys, last, which = t.level(level)
-    train = np.repeat(t.train, np.diff(t.bounds))[last]
-    counts = np.bincount(which, train, len(keys)).astype(np.uint32)
-    buckets = np.zeros(len(keys), np.uint8)
-    if context is not None:
-        buckets[which] = bucket(context[last])
+    counts = t.own(last, which, len(keys))
+    buckets, local = np.zeros(len(keys), np.uint8), np.zeros(len(keys), bool)
+    if before is not None:
+        buckets[which] = bucket(_contexts(t, before, level)[last])
+        local[which] = before.alone[last] | before.alone[last - 1]
+    told = _stats(counts[local], buckets[local])
+    keys, counts, buckets = keys[~local], counts[~local].astype(np.uint32), buckets[~local]
     cut = ranges(keys, parts).tolist()
-    pieces = [(pack_keys(keys[a:b], shift(level)), _planes(counts[a:b]), zstandard.compress(buckets[a:b].tobytes(), 1)) for a, b in zip(cut, cut[1:])]
+    pieces = [(pack_keys(keys[a:b]), _planes(counts[a:b]), zstandard.compress(buckets[a:b].tobytes(), 1), told.tobytes() if k == 0 else None, _bits(local) if k == 0 else None) for k, (a, b) in enumerate(zip(cut, cut[1:]))]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, number)), pa.array(np.full(parts, level, np.int32)), *[pa.array([p[i] for p in pieces], pa.binary()) for i in range(3)]],
+        [pa.array(np.arange(parts, dtype=np.int32)), pa.array(np.full(parts, number)), pa.array(np.full(parts, level, np.int32)), *[pa.array([p[i] for p in pieces], pa.binary()) for i in range(5)]],
         [c.split()[0] for c in REQUEST.split(", ")],
     )
 
 
 def _answer(group: pa.Table) -> pa.Table:
-    """Add up one part of one level, and answer every block in the order that it asked."""
-    rows = group.select(["block", "level", "part", "keys", "counts", "buckets"]).to_pylist()
-    keys = [unpack_keys(r["keys"], shift(r["level"])) for r in rows]
-    counts = np.concatenate([_unplanes(r["counts"], np.uint32) for r in rows]).astype(np.int64)
+    """Add up one part of one level, and answer every block in the order that it asked: twice the count, plus 1 for an
+    n-gram that no other block has asked for."""
+    rows = group.select(["block", "level", "part", "keys", "counts", "buckets", "stats", "local"]).to_pylist()
+    keys = [unpack_keys(r["keys"]) for r in rows]
+    counts = np.concatenate([_unplanes(r["counts"], np.uint32) for r in rows])
     buckets = np.concatenate([np.frombuffer(zstandard.decompress(r["buckets"]), np.uint8) for r in rows])
-    distinct, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    ends = np.cumsum([len(k) for k in keys])
+    distinct, first, which, asked = np.unique(np.concatenate(keys), return_index=True, return_inverse=True, return_counts=True)
     total = np.bincount(which, counts, len(distinct)).astype(np.int64)
-    of = buckets[first]
-    stats = np.zeros((3, BUCKETS))
-    stats[0] = np.bincount(of, total, BUCKETS)
-    stats[1] = np.bincount(of[total == 1], minlength=BUCKETS)
-    stats[2] = np.bincount(of[total > 0], minlength=BUCKETS)
+    stats = _stats(total, buckets[first]) + sum(np.frombuffer(r["stats"], float).reshape(3, BUCKETS) for r in rows if r["stats"] is not None)
     packed = zstandard.compress(stats.tobytes(), 1)
-    ends = np.cumsum([len(k) for k in keys])
-    out = [_planes(total[which[b - len(k) : b]].astype(np.uint64)) for k, b in zip(keys, ends.tolist())]
-    return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "level": pa.array([r["level"] for r in rows], pa.int32()), "part": pa.array([r["part"] for r in rows], pa.int32()), "counts": pa.array(out, pa.binary()), "stats": pa.array([packed] * len(rows), pa.binary())})
+    told = (total << 1 | (asked == 1)).astype(np.uint64)
+    out = [_planes(told[which[b - len(k) : b]]) for k, b in zip(keys, ends.tolist())]
+    return pa.table({"block": pa.array([r["block"] for r in rows], pa.int64()), "level": pa.array([r["level"] for r in rows], pa.int32()), "part": pa.array([r["part"] for r in rows], pa.int32()), "counts": pa.array(out, pa.binary()), "stats": pa.array([packed] * len(rows), pa.binary()), "local": pa.array([r["local"] for r in rows], pa.binary())})
 
 
 @dataclass
 class Level:
-    """Of a block's places at one order: training count of the n-gram that ends there (0 where none), and all stats."""
+    """Of a block's places at one order: training count of the n-gram that ends there (0 where none), whether no other
+    block has it, and all stats."""
 
     counts: np.ndarray
     stats: np.ndarray
+    alone: np.ndarray
 
     def weights(self) -> np.ndarray:
         """What a context of each bucket leaves to its failure arc."""
@@ -245,23 +261,25 @@ def _levels(t: Tokens, answers: pa.Table, parts: int) -> dict[int, Level]:
         if [r["part"] for r in mine] != list(range(parts)):
             raise ValueError("a block's requests and answers don't match")
         keys, last, which = t.level(level)
-        total = np.concatenate([_unplanes(r["counts"], np.uint64) for r in mine]).astype(np.int64)
-        if len(total) != len(keys):
+        local = _unbits(mine[0]["local"], len(keys))
+        told = np.concatenate([_unplanes(r["counts"], np.uint64) for r in mine]).astype(np.int64)
+        if len(told) != len(keys) - int(local.sum()):
             raise ValueError("a block's requests and answers don't match")
-        counts = np.zeros(len(t.hashes), np.int64)
-        counts[last] = total[which]
-        out[level] = Level(counts, sum(np.frombuffer(zstandard.decompress(r["stats"]), np.float64).reshape(3, BUCKETS) for r in mine))
+        total, lone = t.own(last, which, len(keys)), local.copy()
+        total[~local], lone[~local] = told >> 1, told & 1
+        counts, alone = np.zeros(len(t.hashes), np.int64), np.zeros(len(t.hashes), bool)
+        counts[last], alone[last] = total[which], lone[which]
+        out[level] = Level(counts, sum(np.frombuffer(zstandard.decompress(r["stats"]), np.float64).reshape(3, BUCKETS) for r in mine), alone)
     return out
 
 
-def _contexts(t: Tokens, levels: dict[int, Level], level: int) -> np.ndarray:
+def _contexts(t: Tokens, before: Level, level: int) -> np.ndarray:
     """For each place the count of the context before it, of level - 1 tokens. All training texts have the begin mark."""
-    before = levels[level - 1].counts.copy()
+    counts = before.counts.copy()
     if level == 2:
-        ends = levels[1].counts[t.bounds[1:] - 1]
-        before[t.bounds[:-1]] = ends
-    out = np.zeros(len(before), np.int64)
-    out[1:] = before[:-1]
+        counts[t.bounds[:-1]] = before.counts[t.bounds[1:] - 1]
+    out = np.zeros(len(counts), np.int64)
+    out[1:] = counts[:-1]
     return out
 
 
@@ -279,7 +297,7 @@ def walk(t: Tokens, levels: dict[int, Level]) -> tuple[np.ndarray, np.ndarray, i
     p = np.where(one.counts > 0, (1 - unknown) * one.counts / max(total, 1), unknown)
     score = np.log10(p)
     for n in range(2, max(levels) + 1):
-        context = _contexts(t, levels, n)
+        context = _contexts(t, levels[n - 1], n)
         state = context > 0
         left = levels[n].weights()[bucket(context)]
         arc = state & (levels[n].counts > 0)
@@ -318,13 +336,13 @@ def score(docs: DataFrame, held_out, order: int = ORDER, parts: int | None = Non
     empty text has the end alone. base_score adds log10((c + 0.5) / (N + 0.5 * (V + 1))) over the tokens; score is the
     automaton's log10 probability. Without training rows every token is unknown, and score is 0 (probability 1 of the
     only token there is). Repeated rows and null doc_ids stay; an empty table gives no rows. parts: ranges of hashes that
-    are counted apart (the session's shuffle partitions where not given), each in one task.
+    are counted apart, each in one task; where not given, one for each RANGE_BYTES of text.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
-    blocks = _blocks(base)
+    blocks = written(_blocks(base), "blocks")
+    parts = parts or max(8, -(-blocks.count() * BLOCK_BYTES // RANGE_BYTES))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,7 +356,7 @@ def score(docs: DataFrame, held_out, order: int = ORDER, parts: int | None = Non
     def asker(level: int):
         def ask_more(block: pa.Table, given: pa.Table) -> pa.Table:
             number, _, _, t = _open(block)
-            return pa.Table.from_batches([_request(number, t, level, _contexts(t, _levels(t, given, parts), level), parts)])
+            return pa.Table.from_batches([_request(number, t, level, _levels(t, given, parts)[level - 1], parts)])
 
         return ask_more
 

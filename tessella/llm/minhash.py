@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 
 from tessella.llm import textvec
 from tessella.llm.components import connected
-from tessella.llm.shared import bitmap, bound_batches, in_bitmap, texts, written
+from tessella.llm.shared import bitmap, bound_batches, in_bitmap, mark, release, texts, written
 
 PERMUTATIONS, PER_BAND = 64, 2
 BANDS = PERMUTATIONS // PER_BAND
@@ -100,13 +100,18 @@ def features(docs: DataFrame, n: int) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, row long, n_shingles long, set_id binary, bands binary")
 
 
-def _members(classes: DataFrame) -> DataFrame:
-    """(key, cid) for every band of every class."""
+def _members(classes: DataFrame, keys: np.ndarray | None = None) -> DataFrame:
+    """(key, cid) for every band of every class; of bands whose keys are in a bitmap, where there is one."""
+    shared = None if keys is None else classes.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, _ = textvec.buffers(batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(raw.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "cid"])
+            key, cid = raw.view(np.int64), np.repeat(batch.column(0).to_numpy(), BANDS)
+            if shared is not None:
+                kept = in_bitmap(shared.value, key)
+                key, cid = key[kept], cid[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid)], ["key", "cid"])
 
     return classes.select("cid", "bands").mapInArrow(run, "key long, cid long")
 
@@ -205,18 +210,21 @@ def _left(crowd: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) ->
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b) of classes whose sets have 100 * shared >= percent * united, enough of them to connect all that are linked."""
     near = F.expr(f"100 * shared >= {percent} * united")
-    members = _members(classes)
-    buckets = written(members.groupBy("key").agg(F.min("cid").alias("centre"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
+    begun = mark()
+    buckets = written(_members(classes).groupBy("key").agg(F.min("cid").alias("centre"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("k")).filter("k > 1"), "buckets")
     # Buckets of two are a pair already; members of larger ones are looked up.
-    larger = buckets.filter("k > 2").select("key", "centre", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    crowd = written(members.withColumn("_salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(larger, ["key", "_salt"]).select("key", "cid", "centre"), "crowd")
+    large = buckets.filter("k > 2").select("key", "centre")
+    larger = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    crowd = written(_members(classes, bitmap(large, "key")).withColumn("_salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(larger, ["key", "_salt"]).select("key", "cid", "centre"), "crowd")
     two = buckets.filter("k = 2").select(F.col("centre").alias("a"), F.col("last").alias("b"))
     pairs = written(two.union(crowd.filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b"))).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
     sets = written(_sets(docs, written(classes.select("cid", "row", "set_id").join(ids, "cid", "left_semi"), "wanted"), n), "sets")
     found = written(_verified(pairs, sets).filter(near).select("a", "b"), "found")
     rest = written(_left(crowd.select("key", "cid"), sets, connected(found), percent), "rest")
-    return found.union(written(_verified(rest, sets).filter(near).select("a", "b"), "more"))
+    out = written(found.union(_verified(rest, sets).filter(near).select("a", "b")), "linked")
+    release(docs.sparkSession, begun, keep=1)
+    return out
 
 
 def _judged(docs: DataFrame, n: int, percent: int) -> DataFrame:

@@ -28,11 +28,21 @@ def bound_batches(spark: SparkSession) -> None:
 _made: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what operators have written into the shared folder. Call it once their results are read or kept elsewhere."""
+def mark() -> int:
+    """Where what is written from now on begins, for release()."""
+    return len(_made)
+
+
+def release(spark: SparkSession, begun: int = 0, keep: int = 0) -> None:
+    """Delete what operators have written into the shared folder: all, or since mark() gave begun, but for the last keep tables.
+
+    An operator deletes its own steps once its last table is written. What it returns reads that table: release() the rest
+    once results are read or kept elsewhere."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    gone = _made[begun : len(_made) - keep]
+    del _made[begun : len(_made) - keep]
+    for folder in gone:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 
 

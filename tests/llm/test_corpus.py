@@ -7,12 +7,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessella.llm import bpe, components, decontam, langid, lm, minhash, queries
+from tessella.llm import bpe, components, decontam, langid, lm, minhash, queries, textvec
 from tests.llm.data import documents, empty, odd, words
 from tests.oracle import both
 
@@ -290,7 +292,7 @@ def brute_lm(rows, order):
         stats = np.zeros((3, lm.BUCKETS))
         for g, c in counts[n].items():
             stats[:2, bucket(context(g[:-1]))] += c, c == 1
-        weights[n] = lm.Level(np.zeros(0), stats).weights()
+        weights[n] = lm.Level(np.zeros(0), stats, np.zeros(0)).weights()
     unknown = min(max(sum(c == 1 for c in counts[1].values()) / total, lm.LEAST_WEIGHT), 0.5) if total else 1.0
 
     def p(gram):
@@ -322,9 +324,10 @@ def close(a, b):
 
 
 def test_scores(spark, sf):
-    for docs in (documents(spark, sf), odd(spark)):
+    """In one block and in several, of which each knows its own n-grams."""
+    for docs, orders in ((documents(spark, sf), (1, 3)), (documents(spark, sf).repartition(7, "doc_id"), (2, 3)), (odd(spark), (1, 2, 3))):
         rows = [(r.doc_id, r.text) for r in docs.collect()]
-        for order in (1, 2, 3):
+        for order in orders:
             assert close(scored(lm.score(docs, lm.split(docs), order, 3)), brute_lm(rows, order))
     none = empty(spark)
     assert lm.score(none, lm.split(none)).count() == 0
@@ -346,27 +349,77 @@ def test_scores_without_training(spark):
 def test_packed_keys(keys, parts):
     a = np.sort(np.array(keys, np.uint64))
     assert lm.unpack_keys(lm.pack_keys(a)).tolist() == a.tolist()
-    b = np.unique(a >> np.uint64(4) << np.uint64(4))
-    assert lm.unpack_keys(lm.pack_keys(b, 4), 4).tolist() == b.tolist()
     cut = lm.ranges(a, parts)
     assert len(cut) == parts + 1 and (np.diff(cut) >= 0).all() and cut[-1] == len(a)
 
 
-def test_probabilities_add_up(spark, sf):
-    """Over the known words and the unknown one, after any context."""
-    docs = documents(spark, sf).limit(30)
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    vocabulary = sorted({w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in words(t)})[:400]
-    small = spark.createDataFrame([(i, " ".join(w for w in words(t) if w in set(vocabulary[:60]))[:400]) for i, t in rows], "doc_id long, text string")
-    trained = small.filter(~lm.split(small))
-    known = sorted({w for r in trained.collect() for w in words(r.text)})
-    first = words(trained.filter("length(text) > 30").head().text)[0]
-    probes = spark.createDataFrame([(10_000 + k, w) for k, w in enumerate([f"{first} {w}" for w in [*known, "unseen!"]] + [first])], "doc_id long, text string")
-    both_ = trained.union(probes)
-    rows = {r.doc_id: r for r in lm.score(both_, F.col("doc_id") >= 10_000, 2).collect() if r.doc_id >= 10_000}
-    # P(first w end) / P(first ...) summed over w needs P(end | w), which is left out by scoring each w's end apart.
-    ends = {r.doc_id: r.score for r in lm.score(trained.union(probes), F.col("doc_id") >= 10_000, 1).collect() if r.doc_id >= 10_000}
-    assert len(rows) == len(ends) == len(known) + 2
+def blocks_of(texts, train, n):
+    """Tokens of n blocks, text by text in turn."""
+    out = []
+    for k in range(n):
+        raw, offs = textvec.buffers(pa.array(texts[k::n], pa.string()))
+        out.append(lm.tokens(raw, offs, np.array(train[k::n], bool)))
+    return out
+
+
+def levels_of(blocks, order, parts=3):
+    """Each block's levels, by its requests and the ranges' answers, without Spark."""
+    answers = [[] for _ in blocks]
+    for level in range(1, order + 1):
+        asked = []
+        for k, t in enumerate(blocks):
+            before = lm._levels(t, pa.concat_tables(answers[k]), parts)[level - 1] if level > 1 else None
+            asked.append(pa.Table.from_batches([lm._request(k, t, level, before, parts)]))
+        asked = pa.concat_tables(asked)
+        for part in range(parts):
+            told = lm._answer(asked.filter(pc.equal(asked["part"], part)))
+            for k in range(len(blocks)):
+                answers[k].append(told.filter(pc.equal(told["block"], k)))
+    return [lm._levels(t, pa.concat_tables(a), parts) for t, a in zip(blocks, answers, strict=True)]
+
+
+def test_blocks_know_what_one_block_would():
+    """Counts, statistics and scores are the same however the texts are packed, with words that one, two or all blocks have."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice([f"w{rng.randrange(9)}", f"v{rng.randrange(300)}", f"u{i}x{rng.randrange(4)}"]) for _ in range(rng.randrange(30))) for i in range(90)]
+    train = [i % 3 != 1 for i in range(90)]
+    whole = blocks_of(texts, train, 1)
+    one = levels_of(whole, 3)[0]
+    want = lm.walk(whole[0], one)
+    for n in (2, 5):
+        blocks = blocks_of(texts, train, n)
+        for k, (t, levels) in enumerate(zip(blocks, levels_of(blocks, 3), strict=True)):
+            for level in (1, 2, 3):
+                assert np.array_equal(levels[level].stats, one[level].stats)
+            got = lm.walk(t, levels)
+            assert got[2] == want[2]
+            for j, i in enumerate(range(k, 90, n)):
+                a, b = slice(*t.bounds[j : j + 2]), slice(*whole[0].bounds[i : i + 2])
+                assert all(np.array_equal(levels[level].counts[a], one[level].counts[b]) for level in (1, 2, 3))
+                assert np.allclose(got[1][a], want[1][b])
+
+
+def test_probabilities_add_up():
+    """Over the known words, the end and the unknown word, after contexts that occur and others, in every order."""
+    rng = random.Random(2)
+    texts = [" ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(1, 25))) for _ in range(120)]
+    known = sorted({w for t in texts for w in t.split()})
+    contexts = ["", "w0", "w1 w0", "w3 w3", "never", "never w2", " ".join(texts[0].split()[:2])]
+    probes = [f"{c} {w}" for c in contexts for w in [*known, "unseen!"]] + [c or "w0" for c in contexts[1:]]
+    for order in (1, 2, 3):
+        t = blocks_of(texts + probes, [True] * len(texts) + [False] * len(probes), 1)[0]
+        _, score, _ = lm.walk(t, levels_of([t], order)[0])
+        after = {}
+        for k, probe in enumerate(probes, len(texts)):
+            a, b = t.bounds[k], t.bounds[k + 1]
+            ws = probe.split()
+            after.setdefault(" ".join(ws[:-1]), {})[ws[-1]] = 10 ** score[b - 2]
+            after.setdefault(" ".join(ws), {})[">"] = 10 ** score[b - 1]
+        # An empty text has the end alone: its place is that of the first word of others.
+        empty_ = blocks_of([*texts, ""], [True] * len(texts) + [False], 1)[0]
+        after[""][">"] = 10 ** lm.walk(empty_, levels_of([empty_], order)[0])[1][-1]
+        for c in contexts:
+            assert abs(sum(after[c][w] for w in [*known, "unseen!", ">"]) - 1) < 1e-9
 
 
 # --- pipeline ---

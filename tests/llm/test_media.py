@@ -1,12 +1,15 @@
 """WARC archives, GIF columns and main text of pages."""
 
 import base64
+import functools
 import hashlib
 import html as H
 import io
+import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -207,7 +210,12 @@ def test_notation():
     for text in ("", "<", "<p", "</", "<a href='x", "<!--", "<script>", "a<b", "</p></p></div>", "<p>" * 3000, "<div" * 300):
         sitetree.main_text(None, text, set())
     assert sitetree.main_text(None, None, set()) == ""
-    assert sitetree.host_of("HTTPS://u:p@Ex.Ample.:80/p") == "ex.ample" and sitetree.host_of(None) == ""
+
+
+def test_hosts(spark):
+    urls = [("HTTPS://u:p@Ex.Ample.:80/p", "ex.ample"), (" //a.b/c", "a.b"), ("a.b/c", ""), ("", ""), (None, "")]
+    df = spark.createDataFrame(urls, "url string, want string")
+    assert [r.got for r in df.select(sitetree.host(df.url).alias("got")).collect()] == [w for _, w in urls]
 
 
 def test_classes_of_the_page_are_not_noise():
@@ -232,7 +240,59 @@ def test_style_tree_removes_what_repeats(spark):
     assert sitetree.extract(page_rows(spark, [])).count() == 0
 
 
-def test_entropy(spark):
-    low = sitetree.low_nodes(page_rows(spark, site(6, "a.x")))
-    assert low.count() == 2
-    assert np.isclose(sitetree.LOW, 0.3)
+PARTS = {"top": "div.top", "menu": "div.m", "text": "div.t", "ad": "div.x", "end": "div.end"}
+
+
+def unlabelled(n, host, pool=3):
+    """Pages without an article, whose menu, advert and end are plain divs with classes that say nothing."""
+    out = []
+    for i in range(n):
+        text = "".join(f"<p>Own text {i} {k} of {host}</p>" for k in range(1 + i % 3))
+        out.append((i, f"http://{host}/{i}", f"<body><div class=m><span>Home and away</span></div><div class=x><p>Buy {i % pool}</p></div><div class=t>{text}</div><div class=end>Since 1999</div></body>"))
+    return out
+
+
+def test_the_tree_decides_where_nothing_is_labelled(spark):
+    pages = page_rows(spark, unlabelled(30, "u.x", 2))
+    want = {i: "\n".join(f"Own text {i} {k} of u.x" for k in range(1 + i % 3)) for i in range(30)}
+    assert {r.page_id: r.text for r in sitetree.extract(pages).collect()} == want
+    without = {i: sitetree.main_text("u.x", html, frozenset()) for i, _, html in unlabelled(30, "u.x", 2)}
+    assert all(without[i] == f"Home and away\nBuy {i % 2}\n{want[i]}\nSince 1999" for i in want)
+    # Copies of one page say nothing about its paths, and two pages are too few.
+    for rows in ([unlabelled(1, "u.x")[0]] * 30, unlabelled(2, "u.x")):
+        got = sitetree.extract(page_rows(spark, rows)).collect()
+        assert len(got) == len(rows) and all("Home and away" in r.text and "Since 1999" in r.text for r in got)
+
+
+def test_importances_against_a_tree(spark):
+    """Entropies by their definition, over dictionaries, on pages written from paths and texts."""
+    pages = unlabelled(17, "a.x") + unlabelled(5, "b.x", 1) + site(6, "c.x") + [unlabelled(17, "a.x")[3]]
+    tree = {}
+    for url, html in {(u.split("/")[2], h) for _, u, h in pages}:
+        blocks, styles = sitetree.parse(html, url)
+        of = dict(styles)
+        for b in blocks:
+            tree.setdefault(b.node, ({}, []))[1].append(b.text)
+            tree[b.node][0][html] = of[b.node]
+
+    def entropy(values):
+        total = len(values)
+        return 1.0 if total < 2 else -sum(n / total * math.log(n / total) for n in Counter(values).values()) / math.log(total)
+
+    want = {node: (len(looks), 0.1 * entropy(list(looks.values())) + 0.9 * entropy(texts)) for node, (looks, texts) in tree.items()}
+    got = {r.node: (r.pages, r.importance) for r in sitetree.importances(page_rows(spark, pages)).collect()}
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    node = lambda *parts: functools.reduce(sitetree._hash, parts, sitetree._hash("a.x"))
+    assert {node("body", "div.m"), node("body", "div.x", "p"), node("body", "div.t", "p"), node("body", "div.end")} <= set(got)
+    assert got[node("body", "div.m")][1] == 0 and got[node("body", "div.t", "p")][1] > 0.89
+    low = {r.node for r in sitetree.low_nodes(page_rows(spark, pages)).collect()}
+    assert low == {k for k, (n, x) in want.items() if n >= sitetree.LEAST_PAGES and x < sitetree.LOW}
+
+
+def test_deep_markup_takes_memory_in_proportion():
+    deep = "<div>" * 90_000 + "text" + "</p></i></li>" * 30_000 + "<b>" * 30_000 + "<p>x</p>" * 20_000
+    tracemalloc.start()
+    blocks, styles = sitetree.parse(deep, "h")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(deep) > 1_000_000 and len(blocks) == 20_001 and len(styles) == 110_000 and peak < 200e6
