@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella import fixtures as X
+from tessella import generated as G
 from tessella.functions import names as N
 from tessella.functions import scalars as S
 from tessella.operators import criteria as C
@@ -20,8 +21,9 @@ from tessella.operators import doc_rules as D
 from tessella.operators import edges as E
 from tessella.operators import report as R
 from tessella.operators import rules as P
+from tessella.operators import tokens as K
 from tessella.plans.layers import CATALOG, RULESET
-from tessella.sources.php import units
+from tessella.sources.php import tokens, units
 from tessella.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,18 +64,18 @@ def _pick_sql(col: str, k: int, items: list[str]) -> str:
     return f"([{', '.join(map(_q, items))}])[({_PICKS[col].format(k=k, n=len(items))}) + 1]"
 
 
-_PARTS = [("l_orderkey", 0, X.ROOTS), ("l_partkey", 1, X.MODULES), ("l_suppkey", 2, X.LAYERS), ("l_partkey", 3, X.PATHS)]
-_PARTS_B = [("l_suppkey", 5, X.ROOTS), ("l_orderkey", 4, X.MODULES), ("l_orderkey", 1, X.LAYERS), ("l_suppkey", 0, X.PATHS)]
+_PARTS = [("l_orderkey", 0, G.ROOTS), ("l_partkey", 1, G.MODULES), ("l_suppkey", 2, G.LAYERS), ("l_partkey", 3, G.PATHS)]
+_PARTS_B = [("l_suppkey", 5, G.ROOTS), ("l_orderkey", 4, G.MODULES), ("l_orderkey", 1, G.LAYERS), ("l_suppkey", 0, G.PATHS)]
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey")
     name = lambda parts: F.concat(*[_pick_spark(*p) for p in parts])
-    return t.select("l_orderkey", "l_linenumber", name(_PARTS).alias("depender"), name(_PARTS_B).alias("dependent"), _pick_spark("l_partkey", 0, X.KINDS).alias("dep_type"))
+    return t.select("l_orderkey", "l_linenumber", name(_PARTS).alias("depender"), name(_PARTS_B).alias("dependent"), _pick_spark("l_partkey", 0, G.KINDS).alias("dep_type"))
 
 
 EDGES = f"""(SELECT l_orderkey, l_linenumber, {' || '.join(_pick_sql(*p) for p in _PARTS)} AS depender,
-  {' || '.join(_pick_sql(*p) for p in _PARTS_B)} AS dependent, {_pick_sql('l_partkey', 0, X.KINDS)} AS dep_type FROM lineitem)"""
+  {' || '.join(_pick_sql(*p) for p in _PARTS_B)} AS dependent, {_pick_sql('l_partkey', 0, G.KINDS)} AS dep_type FROM lineitem)"""
 
 _MODULE = N.MODULE_CLASS
 PARSED = f"""SELECT *, regexp_extract(depender, '{_MODULE}', ['m', 'l', 'p']) AS a, regexp_extract(dependent, '{_MODULE}', ['m', 'l', 'p']) AS b,
@@ -89,12 +91,12 @@ CONTRACT = r"""dep_type <> 'USE' AND ib AND starts_with(b.p, 'Service\') AND (NO
 
 @query(f"SELECT l_orderkey, l_linenumber, depender, dependent, dep_type FROM ({PARSED} {EDGES}) WHERE {CROSS}")
 def edge_cross_module(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).filter(E.cross_module(*[F.col(c) for c in ("depender", "dependent", "dep_type")]))
+    return E.violating(edges(spark, sf_dir), "CrossModule")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, depender, dependent, dep_type FROM ({PARSED} {EDGES}) WHERE {CONTRACT}")
 def edge_service_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).filter(E.service_contract(*[F.col(c) for c in ("depender", "dependent", "dep_type")]))
+    return E.violating(edges(spark, sf_dir), "ServiceContract")
 
 
 @query(
@@ -109,8 +111,9 @@ def edge_all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT dep_type, a.l AS from_layer, b.l AS to_layer, count(*) AS n FROM ({PARSED} {EDGES}) WHERE ia AND ib GROUP BY ALL")
 def edge_layer_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir).select("dep_type", N.parse_class(F.col("depender")).alias("a"), N.parse_class(F.col("dependent")).alias("b"))
-    return e.filter("a IS NOT NULL AND b IS NOT NULL").groupBy("dep_type", F.col("a.layer").alias("from_layer"), F.col("b.layer").alias("to_layer")).agg(F.count(F.lit(1)).alias("n"))
+    a, b = N.of_parts(F.col("_a")), N.of_parts(F.col("_b"))
+    inside = E.with_parts(edges(spark, sf_dir)).filter(a["inside"] & b["inside"])
+    return inside.groupBy("dep_type", a["layer"].alias("from_layer"), b["layer"].alias("to_layer")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _in_layer(column: str, layer: str) -> str:
@@ -162,37 +165,52 @@ def layer_ruleset_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- documents -----------------------------------------------------------------------------------------------------------
 
 
-def docs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(X.DOCS, "path string, content string")
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document for each customer."""
+    return G.documents(spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey"), "c_custkey")
 
 
-def entries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(X.ENTRIES, "path string, is_dir boolean, basename string, extension string")
+DOC_ERRORS = G.doc_errors_sql("customer", "c_custkey")
 
 
-@query("SELECT * FROM " + values(X.FRONT_MATTER_ERRORS, "path, detail"))
+@query(f"SELECT path, detail FROM {DOC_ERRORS} WHERE \"check\" = 'front-matter'")
 def docs_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.front_matter_errors(docs(spark))
+    return D.front_matter_errors(docs(spark, sf_dir))
 
 
-@query("SELECT * FROM " + values(X.NAMING_ERRORS, "path, detail"))
+@query(f"SELECT path, detail FROM {DOC_ERRORS} WHERE \"check\" = 'naming'")
 def docs_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.naming_errors(entries(spark))
+    return D.naming_errors(G.entries(docs(spark, sf_dir)))
 
 
-@query("SELECT * FROM " + values(X.BROKEN_LINKS, "path, line, target"))
+@query(f"SELECT path, line, detail AS target FROM {DOC_ERRORS} WHERE \"check\" = 'link'")
 def docs_links_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.broken_links(docs(spark), entries(spark))
+    d = docs(spark, sf_dir)
+    return D.broken_links(d, G.entries(d))
 
 
-@query("SELECT * FROM " + values(X.MISSING_SECTIONS, "path, detail"))
+@query(f"SELECT path, detail FROM {DOC_ERRORS} WHERE \"check\" = 'section'")
 def docs_sections_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.missing_sections(docs(spark))
+    return D.missing_sections(docs(spark, sf_dir))
 
 
-@query("SELECT * FROM " + values([("front-matter", len(X.FRONT_MATTER_ERRORS)), ("naming", len(X.NAMING_ERRORS)), ("link", len(X.BROKEN_LINKS)), ("section", len(X.MISSING_SECTIONS)), ("total", sum(map(len, (X.FRONT_MATTER_ERRORS, X.NAMING_ERRORS, X.BROKEN_LINKS, X.MISSING_SECTIONS))))], '"check", n'))
+@query(f"SELECT row_number() OVER (PARTITION BY path ORDER BY \"check\", line NULLS FIRST, detail) AS nth, * FROM {DOC_ERRORS}")
+def docs_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks, each document's errors in the order in which they are said."""
+    d = docs(spark, sf_dir)
+    return R.by_file(D.all_errors(d, G.entries(d)), "check", "line", "detail")
+
+
+@query(f"SELECT c.\"check\", count(e.path) AS n FROM {values([('front-matter',), ('naming',), ('link',), ('section',)], '\"check\"')} c LEFT JOIN {DOC_ERRORS} e ON e.\"check\" = c.\"check\" GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM {DOC_ERRORS}")
 def docs_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.totals(D.all_errors(docs(spark), entries(spark)))
+    d = docs(spark, sf_dir)
+    return D.totals(D.all_errors(d, G.entries(d)))
+
+
+@query(f"SELECT count(*) AS errors, (count(*) > 0)::INT AS exit_code FROM {DOC_ERRORS}")
+def docs_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir)
+    return R.verdict(D.all_errors(d, G.entries(d)))
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages")
@@ -201,7 +219,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target"))
 
 
-@query("SELECT doc_id, i AS line, length(string_split(text, chr(10))[i]) AS n_chars FROM documents, range(1, 20000) r(i) WHERE i <= len(string_split(text, chr(10))) AND string_split(text, chr(10))[i] LIKE 'Released%'")
+@query("SELECT doc_id, i AS line, length(l) AS n_chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE l LIKE 'Released%'")
 def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents by their beginning, counted from 1: the read of headings, for other lines."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
@@ -211,54 +229,92 @@ def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rules over sources --------------------------------------------------------------------------------------------------
 
 
-def files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, c) for p, (c, _) in X.SOURCES.items()], "path string, content string")
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source for each part."""
+    return G.sources(spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey"), "p_partkey")
 
 
-def _expected(rule: str) -> str:
-    rows = [(p, line, code) for p, (_, found) in X.SOURCES.items() for line, r, code in found if r == rule]
-    return "SELECT * FROM " + values(rows, "path, line, code")
+def _found(*rules: str) -> str:
+    return G.found_sql("part", "p_partkey", rules)
 
 
 def _sniff(name: str, rule: str, does: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return P.violations(units(files(spark)), [rule]).select("path", "line", "code")
+        return P.violations(units(files(spark, sf_dir)), [rule]).select("path", "line", "code", "message", "fixable")
 
     run.__name__, run.__doc__ = name, does
-    query(_expected(rule))(run)
+    query(f"SELECT path, line, code, message, fixable FROM {_found(rule)}")(run)
 
 
 for _name, _rule in (("sniff_dto", "DtoStructure"), ("sniff_message", "MessageStructure"), ("sniff_handler", "HandlerStructure"), ("sniff_enum", "EnumStructure"), ("sniff_naming", "UseCaseNaming"), ("sniff_calls", "GlobalCalls")):
     _sniff(_name, _rule, P.RULES[_rule].__doc__)
 
 
-@query("SELECT * FROM " + values([(p, c) for p, c in X.FIXED.items()], "path, content"))
+@query(f"SELECT path, row_number() OVER (PARTITION BY path ORDER BY line, place, rule, code) AS nth, line, rule, code, message, fixable FROM {_found()}")
+def sniff_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of all rules in the order of each file's tokens."""
+    return R.by_file(P.violations(units(files(spark, sf_dir)))).select("path", "nth", "line", "rule", "code", "message", "fixable")
+
+
+@query(f"SELECT * FROM {G.fixed_sql('part', 'p_partkey')}")
 def fix_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.fixed(units(files(spark).filter(F.col("path").isin(*X.FIXED))))
+    return P.fixed(units(files(spark, sf_dir)))
 
 
-_COUNTS = f"(SELECT path, line, count(*)::INT AS n FROM {values([(p, line, c) for p, (_, f) in X.SOURCES.items() for line, _, c in f], 'path, line, code')} GROUP BY ALL)"
+_COUNTS = f"(SELECT path, line, count(*)::INT AS n FROM {_found()} GROUP BY ALL)"
 
 
 @query(f"SELECT * FROM {_COUNTS}")
 def report_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.line_counts(P.violations(units(files(spark))))
+    return R.line_counts(P.violations(units(files(spark, sf_dir))))
 
 
-@query("SELECT path, line, 0 AS expected, n AS actual FROM " + _COUNTS + " WHERE n > 1 UNION ALL SELECT 'none.php', 1, 1, 0")
+@query(f"SELECT path, line, 0 AS expected, n AS actual FROM {_COUNTS} WHERE n > 1 UNION ALL SELECT 'none.php', 1, 1, 0")
 def report_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actual counts against expected ones that lack every line with several messages, and name one that isn't there."""
-    actual = R.line_counts(P.violations(units(files(spark))))
+    actual = R.line_counts(P.violations(units(files(spark, sf_dir))))
     expected = actual.filter("n = 1").union(spark.createDataFrame([("none.php", 1, 1)], "path string, line int, n int"))
     return R.differences(expected, actual, "path")
 
 
-@query("SELECT 5 AS copied, 0 AS updated, 2 AS skipped, false AS force UNION ALL SELECT 5, 1, 1, true")
+@query(f"SELECT path, list(line ORDER BY line) AS lines, sum(n)::BIGINT AS messages FROM {_COUNTS} GROUP BY 1")
+def report_message_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's lines with messages, of a map from line to messages."""
+    found = R.message_map(P.violations(units(files(spark, sf_dir))))
+    return found.select("path", F.map_keys("messages").alias("lines"), F.aggregate(F.map_values("messages"), F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias("messages"))
+
+
+_CLASSES = f"(SELECT {G._sql(G.FAMILIES[0].path)} AS path, v FROM {G.numbered('part', 'p_partkey', len(G.FAMILIES))} WHERE f = 0)"
+
+
+@query(f"SELECT path, ((v & 3) > 0)::BIGINT + ((v & 2) = 2)::BIGINT AS methods, ((v & 3) > 0)::BIGINT + 2 * ((v & 2) = 2)::BIGINT AS functions FROM {_CLASSES} WHERE (v & 3) > 0")
+def token_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of classes with a method: those that are theirs, and all functions in their scope, by joins of token rows."""
+    rows = tokens(files(spark, sf_dir).filter("path LIKE '%Dto.php'"))
+    owners = rows.filter("code = 'T_CLASS'")
+    own = K.direct_children(owners, rows).filter("code = 'T_FUNCTION'").groupBy("path").agg(F.count(F.lit(1)).alias("methods"))
+    every = K.within_scope(owners, rows).filter("code = 'T_FUNCTION'").groupBy("path").agg(F.count(F.lit(1)).alias("functions"))
+    return own.join(every, "path")
+
+
+_ENUMS = f"(SELECT {G._sql(G.FAMILIES[3].path)} AS path, k, v FROM {G.numbered('part', 'p_partkey', len(G.FAMILIES))} WHERE f = 3)"
+
+
+@query(f"SELECT path, 'goodName' || k AS name, 'T_STRING' AS next_code FROM {_ENUMS} UNION ALL SELECT path, 'Upper', 'T_STRING' FROM {_ENUMS} WHERE (v & 8) > 0 UNION ALL SELECT path, 'under_score', 'T_STRING' FROM {_ENUMS} WHERE (v & 16) > 0")
+def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of enums with their names and the kind of the next token, by windows over token rows."""
+    rows = tokens(files(spark, sf_dir).filter("path LIKE '%Kind%'")).withColumn("name", K.next_of(("T_STRING",), F.col("content")))
+    return K.neighbours(rows).filter("code = 'T_ENUM_CASE'").select("path", "name", "next_code")
+
+
+@query("""SELECT count(*) FILTER (s_suppkey % 3 <> 0)::BIGINT AS copied, 0::BIGINT AS updated, count(*) FILTER (s_suppkey % 3 = 0)::BIGINT AS skipped, false AS force FROM supplier
+UNION ALL SELECT count(*) FILTER (s_suppkey % 3 <> 0), count(*) FILTER (s_suppkey % 3 = 0 AND s_suppkey <> 3), count(*) FILTER (s_suppkey = 3), true FROM supplier""")
 def init_copy_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an initialisation would copy, update and skip; a file in keep is never overwritten."""
-    source = spark.createDataFrame([(f"docs/{i}.md",) for i in range(6)] + [("depfile.yaml",)], "path string")
-    target = spark.createDataFrame([("docs/0.md",), ("depfile.yaml",)], "path string")
-    one = lambda force: R.plan_counts(R.copy_plan(source, target, force, ("depfile.yaml",))).withColumn("force", F.lit(force))
+    s = table(spark, sf_dir, "supplier").filter("s_suppkey IS NOT NULL")
+    path = F.concat(F.lit("docs/"), F.col("s_suppkey").cast("string"), F.lit(".md")).alias("path")
+    source, target = s.select(path), s.filter("s_suppkey % 3 = 0").select(path)
+    one = lambda force: R.plan_counts(R.copy_plan(source, target, force, ("docs/3.md",))).withColumn("force", F.lit(force))
     return one(False).union(one(True))
 
 
@@ -368,6 +424,60 @@ def enum_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.allowed_values(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", ("click", "view"))
 
 
+@query("SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_mktsegment = 'BUILDING' AND c_nationkey >= 5")
+def criteria_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two filters of one relation, which is joined once; the other relation has none and isn't joined."""
+    relations = {"customer": C.Relation(table(spark, sf_dir, "customer"), "o_custkey", "c_custkey"), "lines": C.Relation(table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey")}
+    asked = C.Criteria(equal={"o_orderstatus": "F", "customer.c_mktsegment": "BUILDING"}, at_least={"customer.c_nationkey": 5})
+    return C.matching(table(spark, sf_dir, "orders"), asked, relations).select("o_orderkey")
+
+
+@query("SELECT r_regionkey AS key, r_name AS value FROM region UNION ALL SELECT n_nationkey + 100, n_name FROM nation")
+def maps_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key-value rows of two maps, in which no key may be twice."""
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("key"), F.col("r_name").alias("value"))
+    n = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("key"), F.col("n_name").alias("value"))
+    return C.merged_strict(r, n, "key")
+
+
+@query("SELECT status, text FROM " + values([("O", "open"), ("F", "filled"), ("P", "partial")], "status, text"))
+def list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.listed(spark, {"O": "open", "F": "filled", "P": "partial"}, "status", "text")
+
+
+@query("SELECT ((row_number() OVER (ORDER BY s_suppkey)) - 1) // 40 AS batch, s_suppkey FROM supplier")
+def batch_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with the number of the batch of forty, by key, that they come in."""
+    found = C.batches(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", 40)
+    none = spark.createDataFrame([], "batch long, s_suppkey long")
+    return reduce(DataFrame.union, (rows.select(F.lit(i).cast("long").alias("batch"), F.col("s_suppkey").cast("long")) for i, (_, rows) in enumerate(found)), none)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 3 THEN NULL ELSE 'user.' || c_custkey || '@shop.example' END AS email FROM customer")
+def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses trimmed and lower-cased; what is none is null."""
+    name = F.concat(F.lit("User."), F.col("c_custkey").cast("string"))
+    given = F.expr("c_custkey % 4")
+    text = F.when(given == 0, name).when(given == 1, F.concat(F.lit("  "), name, F.lit("@Shop.Example "))).when(given == 2, F.concat(name, F.lit("@shop.example"))).otherwise(F.concat(name, F.lit("@@shop")))
+    return table(spark, sf_dir, "customer").select("c_custkey", S.email(text).alias("email"))
+
+
+@query("SELECT p_partkey, 'file' || p_partkey || '.tar' AS bare, printf('%.10f', p_partkey / 8.0) AS ten FROM part")
+def texts_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A name without its last extension, and a number with ten decimals."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", N.strip_extension(F.concat(F.lit("file"), key.cast("string"), F.lit(".tar.gz"))).alias("bare"), S.fixed10(key / 8).alias("ten"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE regexp_replace(regexp_replace(printf('%.2f', round(n_chars / 1024.0, 2)), '0+$', ''), '\\.$', '') || ' KB' END AS size_text, 'd' || doc_id AS bare FROM documents")
+def sql_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library's filters as SQL functions."""
+    from tessella.functions.sql import register
+
+    register(spark)
+    return spark.sql("SELECT doc_id, size_text(n_chars) AS size_text, strip_extension(concat('d', doc_id, '.md')) AS bare FROM {docs}", docs=table(spark, sf_dir, "documents"))
+
+
 # --- scalars -------------------------------------------------------------------------------------------------------------
 
 

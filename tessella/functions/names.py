@@ -16,11 +16,21 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def parse_class(name: Column) -> Column:
-    """struct(module, layer, path), or null for a class outside the modules. One match gives all three."""
+def class_parts(name: Column) -> Column:
+    """array('', module, layer, path), or null or an array of another size for a class outside the modules. One match gives all."""
     parts = F.split(F.regexp_replace(name, MODULE_CLASS, "\u0001$1\u0001$2\u0001$3"), "\u0001")
-    inside = name.contains("Common\\Module\\")
-    return bound(F.when(inside, parts), lambda x: F.when(F.size(x) == 4, F.struct(x[1].alias("module"), x[2].alias("layer"), x[3].alias("path"))))
+    return F.when(name.contains("Common\\Module\\"), parts)
+
+
+def of_parts(parts: Column) -> dict[str, Column]:
+    """module, layer and path of class_parts(), null for a class outside the modules; inside: whether it isn't."""
+    inside = is_true(F.size(parts) == 4)
+    return {"inside": inside, **{name: F.when(inside, F.get(parts, i)) for i, name in ((1, "module"), (2, "layer"), (3, "path"))}}
+
+
+def parse_class(name: Column) -> Column:
+    """struct(module, layer, path), or null for a class outside the modules."""
+    return bound(class_parts(name), lambda x: F.when(F.size(x) == 4, F.struct(x[1].alias("module"), x[2].alias("layer"), x[3].alias("path"))))
 
 
 def is_true(condition: Column) -> Column:

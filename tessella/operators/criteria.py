@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
+from datetime import datetime
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-class NotFound(LookupError):
-    """No row has the key that was asked for."""
-
-
 class NoKey(ValueError):
     """A look-up was given no key."""
 
@@ -61,15 +58,45 @@ class Specification:
         return rows.filter(self.satisfied())
 
 
-def matching(rows: DataFrame, criteria: Criteria) -> DataFrame:
-    """The rows that meet every given filter. A criteria of another type is an error."""
+@dataclass(frozen=True)
+class Relation:
+    """Rows that filters refer to as name.field: a row matches if one with right = its left does."""
+
+    rows: DataFrame
+    left: str
+    right: str
+
+
+def _conditions(criteria: Criteria) -> list[tuple[str, Callable[[Column], Column]]]:
+    """(field, condition) of every filter that is given."""
+    out = [(k, lambda c, v=v: c == F.lit(v)) for k, v in criteria.equal.items() if v is not None]
+    out += [(k, lambda c, v=v: c >= F.lit(v)) for k, v in criteria.at_least.items() if v is not None]
+    out += [(k, lambda c, v=v: c < F.lit(v)) for k, v in criteria.before.items() if v is not None]
+    return out + [(k, lambda c, v=v: F.contains(F.lower(c), F.lit(v.lower()))) for k, v in criteria.like.items() if v is not None]
+
+
+def matching(rows: DataFrame, criteria: Criteria, relations: Mapping[str, Relation] | None = None, foreign: str = "error") -> DataFrame:
+    """The rows that meet every given filter. A relation is joined once if any filter refers to it, and else not at all.
+
+    A criteria of another type is an error, or matches everything where foreign is 'all', as in memory."""
     if not isinstance(criteria, Criteria):
+        if foreign == "all":
+            return rows
         raise TypeError(f"no mapping for {type(criteria).__name__}")
-    parts = [F.col(k) == F.lit(v) for k, v in criteria.equal.items() if v is not None]
-    parts += [F.col(k) >= F.lit(v) for k, v in criteria.at_least.items() if v is not None]
-    parts += [F.col(k) < F.lit(v) for k, v in criteria.before.items() if v is not None]
-    parts += [F.contains(F.lower(F.col(k)), F.lit(v.lower())) for k, v in criteria.like.items() if v is not None]
-    return rows.filter(reduce(lambda a, b: a & b, parts)) if parts else rows
+    own: list[Column] = []
+    by: dict[str, list[Column]] = {}
+    for name, condition in _conditions(criteria):
+        relation, dot, field_ = name.partition(".")
+        if dot and relation in (relations or {}):
+            by.setdefault(relation, []).append(condition(F.col(field_)))
+        else:
+            own.append(condition(F.col(name)))
+    out = rows.filter(reduce(lambda a, b: a & b, own)) if own else rows
+    for relation, parts in by.items():
+        r = (relations or {})[relation]
+        keys = r.rows.filter(reduce(lambda a, b: a & b, parts)).select(F.col(r.right).alias("_right"))
+        out = out.join(keys, F.col(r.left) == F.col("_right"), "left_semi")
+    return out
 
 
 def ordered(rows: DataFrame, sort: tuple[str, ...], allowed: tuple[str, ...], default: tuple[str, ...] = (), tie: tuple[str, ...] = ()) -> DataFrame:
@@ -107,13 +134,15 @@ def page(rows: DataFrame, criteria: Criteria, **order: Any) -> tuple[DataFrame,
 
 
 def get_by_id(rows: DataFrame, id_: Any = None, uuid: str | None = None, id_col: str = "id", uuid_col: str = "uuid") -> DataFrame:
-    """The one row of an id or, without one, of a uuid. No key is an error; so is no row, once the result is read."""
+    """The one row of an id or, without one, of a uuid. No key is an error; so is no row, once the result is read, by which
+    the rows are read no more than once."""
     if id_ is None and uuid is None:
         raise NoKey("an id or a uuid")
-    found = rows.filter(F.col(id_col) == F.lit(id_) if id_ is not None else F.col(uuid_col) == F.lit(uuid)).limit(1)
-    if not found.head(1):
-        raise NotFound(f"{id_col}={id_}" if id_ is not None else f"{uuid_col}={uuid}")
-    return found
+    key = F.col(id_col) == F.lit(id_) if id_ is not None else F.col(uuid_col) == F.lit(uuid)
+    said = f"not found: {id_col}={id_}" if id_ is not None else f"not found: {uuid_col}={uuid}"
+    one = rows.filter(key).limit(1).agg(F.first(F.struct(*rows.columns)).alias("r"))
+    kind = rows.schema.simpleString()
+    return one.select(F.when(F.col("r").isNull(), F.raise_error(F.lit(said)).cast(kind)).otherwise(F.col("r")).alias("r")).select("r.*")
 
 
 def one_or_none(rows: DataFrame, criteria: Criteria, **order: Any) -> DataFrame:
@@ -153,6 +182,22 @@ def merged(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return a.join(right, key, "full_outer").select(key, F.when(F.col("_in"), F.col("_b")).otherwise(F.col(value)).alias(value))
 
 
+def merged_strict(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The rows of both; a key that is there twice is an error when read."""
+    both = a.unionByName(b)
+    values = [c for c in both.columns if c != key]
+    said = F.raise_error(F.concat(F.lit("there twice: "), F.col(key).cast("string")))
+    one = both.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*values)).alias("_r"))
+    return one.withColumn("_r", F.when(F.col("_n") > 1, said.cast(both.select(*values).schema.simpleString())).otherwise(F.col("_r"))).select(key, "_r.*")
+
+
+def listed(spark: SparkSession, values: Mapping[Any, str] | Iterable[Any], column: str = "value", text: str = "text") -> DataFrame:
+    """All values of an enumeration as rows, in their order; with their texts where there is a map."""
+    if isinstance(values, Mapping):
+        return spark.createDataFrame(list(values.items()), [column, text])
+    return spark.createDataFrame([(v,) for v in values], [column])
+
+
 def translated(rows: DataFrame, column: str, table: Mapping[Any, str], to: str = "text") -> DataFrame:
     """rows with a column's value looked up in a map of constants; a value that isn't there is an error when read."""
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
@@ -177,26 +222,70 @@ def allowed_values(rows: DataFrame, column: str, values: tuple[Any, ...]) -> Dat
     return rows.filter(~F.coalesce(F.col(column).isin(*values), F.lit(False)))
 
 
-def batches(rows: DataFrame, key: str, size: int) -> Iterator[DataFrame]:
-    """Batches by ranges of a key, none by offset: each reads on from the last key of the one before."""
-    last = None
+def batches(rows: DataFrame, key: str, size: int, after: Any = None) -> Iterator[tuple[Any, DataFrame]]:
+    """(last key, batch) by ranges of a key, none by offset: each reads on from the last key of the one before.
+
+    Rows of equal keys are in one batch, which may then be longer; rows without a key are the last batch, of the key None.
+    after: the key to go on from."""
+    last = after
     while True:
-        part = (rows if last is None else rows.filter(F.col(key) > F.lit(last))).orderBy(key).limit(size)
-        edge = part.agg(F.max(key)).head()[0]
+        rest = rows.filter(F.col(key).isNotNull() if last is None else F.col(key) > F.lit(last))
+        edge = rest.select(key).orderBy(key).limit(size).agg(F.max(key)).head()[0]
         if edge is None:
-            return
-        yield rows.filter((F.col(key) <= F.lit(edge)) & (F.lit(True) if last is None else F.col(key) > F.lit(last)))
+            break
+        yield edge, rest.filter(F.col(key) <= F.lit(edge))
         last = edge
+    unkeyed = rows.filter(F.col(key).isNull())
+    if unkeyed.limit(1).count():
+        yield None, unkeyed
+
+
+def backup(rows: DataFrame, root: str, fix: str, prefix: str, headers: tuple[str, ...], now: datetime | None = None) -> str:
+    """Keep rows, to the columns in headers, as CSV under root/fix/prefix-date-time.csv; that path."""
+    path = f"{root.rstrip('/')}/{fix}/{prefix}-{(now or datetime.now()).strftime('%Y%m%d-%H%M%S')}.csv"
+    rows.select(*headers).write.option("header", True).csv(path)
+    return path
 
 
-def data_fix(rows: DataFrame, condition: Column, changes: Mapping[str, Column], execute: bool, backup: str | None = None, write: Callable[[DataFrame], None] | None = None) -> DataFrame:
-    """One row (matched, changed): a fix is dry unless told to execute; then the rows it changes are first kept as CSV."""
+#: Rows that one transaction of a fix may have.
+LEAST_BATCH, MOST_BATCH = 1_000, 10_000
+
+
+def data_fix(rows: DataFrame, condition: Column, changes: Mapping[str, Column], execute: bool, backup: Callable[[DataFrame], Any] | None = None, write: Callable[[DataFrame, int], None] | None = None, key: str | None = None, size: int = LEAST_BATCH, progress: str | None = None) -> DataFrame:
+    """One row (matched, changed): a fix is dry unless told to execute.
+
+    Then the rows it changes are first given to backup(), and written in batches of size rows by key, one transaction each,
+    or at once without a key. progress: a folder that keeps the last key written, from which a fix that broke off goes on."""
+    if not LEAST_BATCH <= size <= MOST_BATCH:
+        raise ValueError(f"a transaction has {LEAST_BATCH} to {MOST_BATCH} rows")
     hit = rows.filter(condition)
-    new = hit.withColumns(dict(changes))
     differs = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(v) for c, v in changes.items()])
-    if execute:
-        if backup is not None:
-            hit.write.option("header", True).csv(backup)
-        if write is not None:
-            write(new)
-    return hit.agg(F.count(F.lit(1)).alias("matched"), F.coalesce(F.sum(differs.cast("long")), F.lit(0)).alias("changed"))
+    out = hit.agg(F.count(F.lit(1)).alias("matched"), F.coalesce(F.sum(differs.cast("long")), F.lit(0)).alias("changed"))
+    if not execute:
+        return out
+    new = hit.withColumns(dict(changes))
+    first, done = 0, None
+    if progress is not None and (kept := _kept(rows.sparkSession, progress)) is not None:
+        first, done = kept
+    elif backup is not None:
+        backup(hit)
+    if write is not None and key is None:
+        write(new, 0)
+    elif write is not None:
+        for number, (edge, _) in enumerate(batches(hit, key, size, done), first):
+            past = F.lit(True) if done is None else F.col(key) > F.lit(done)
+            part = hit.filter(F.col(key).isNull() if edge is None else past & (F.col(key) <= F.lit(edge)))
+            write(part.withColumns(dict(changes)), number)
+            done = edge
+            if progress is not None and edge is not None:
+                rows.sparkSession.createDataFrame([(number, edge)], ["batch", "last"]).write.mode("append").parquet(progress)
+    return out
+
+
+def _kept(spark: SparkSession, progress: str) -> tuple[int, Any] | None:
+    """(number of the next batch, last key) of a fix that has begun, by what it kept."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(progress)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    row = spark.read.parquet(progress).agg(F.max(F.struct("batch", "last")).alias("m")).head()
+    return (row.m.batch + 1, row.m.last) if row.m is not None else None

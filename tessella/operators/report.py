@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -17,12 +18,18 @@ def message_map(messages: DataFrame) -> DataFrame:
     return by_line.groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("line", "all")))).alias("messages"))
 
 
+def by_file(messages: DataFrame, *order: str) -> DataFrame:
+    """messages with nth, their place among their file's: in the order of tokens, rules and codes, or that given, nulls first."""
+    keys = [F.col(c).asc_nulls_first() for c in order or ("line", "idx", "rule", "code")]
+    return messages.withColumn("nth", F.row_number().over(W.partitionBy("path").orderBy(*keys)).cast("long"))
+
+
 def differences(expected: DataFrame, actual: DataFrame, *keys: str) -> DataFrame:
-    """(keys, line, expected, actual) where the counts n of two tables differ; a missing one is 0."""
+    """(keys, line, expected, actual), in the order of keys and lines, where the counts n of two tables differ; a missing one is 0."""
     on = [*keys, "line"]
     a, b = expected.select(*on, F.col("n").alias("expected")), actual.select(*on, F.col("n").alias("actual"))
     both = a.join(b, on, "full_outer").select(*on, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("actual", F.lit(0)).alias("actual"))
-    return both.filter("expected <> actual")
+    return both.filter("expected <> actual").orderBy(*on)
 
 
 def verdict(errors: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ its row, so there is no shuffle, whatever the number of files. Token rows are ta
 
 from __future__ import annotations
 
+import os
+import runpy
 from collections.abc import Callable
 from functools import reduce
 
@@ -229,6 +231,17 @@ def register_rule(name: str, rule: Rule) -> None:
     RULES[name] = rule
 
 
+def register_directory(folder: str) -> list[str]:
+    """Register the rules of every Python file of a directory, in the order of their names: each has a dict RULES. The rules' names."""
+    names = []
+    for file in sorted(os.listdir(folder)):
+        if file.endswith(".py") and not file.startswith("_"):
+            for name, rule in runpy.run_path(os.path.join(folder, file)).get("RULES", {}).items():
+                register_rule(name, rule)
+                names.append(name)
+    return names
+
+
 def violations(source: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """All that the rules find in files (units, or token rows). One place may have several violations."""
     files = grouped(source)

@@ -70,6 +70,17 @@ RULESET: dict[str, list[str]] = {
 SERVICE_LAYERS = {"Domain": ["Domain"], **{x: ["Domain", x] for x in ("Application", "Infrastructure", "Integration")}}
 
 
+def closure(ruleset: dict[str, list[str]]) -> set[tuple[str, str]]:
+    """(layer, target) with every +X replaced by X and all that X may depend on; layers may expand each other in a cycle."""
+    out = {(layer, t.lstrip("+")) for layer, targets in ruleset.items() for t in targets}
+    expands = {(layer, t[1:]) for layer, targets in ruleset.items() for t in targets if t.startswith("+")}
+    while True:
+        deeper = {(layer, far) for layer, near in expands for at, far in expands if at == near} - expands
+        if not deeper:
+            return out | {(layer, target) for layer, near in expands for at, target in out if at == near}
+        expands |= deeper
+
+
 def merged(base: dict, override: dict) -> dict:
     """A configuration with an importing one laid over it: maps are merged, lists joined, other values replaced."""
     out = dict(base)

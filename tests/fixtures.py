@@ -1,17 +1,7 @@
-"""Constants that the library's own queries run on, with what they must give."""
+"""Documents and sources that were written by hand, with what is wrong with them."""
 
 from __future__ import annotations
 
-ROOTS = ["Shop\\Common\\Module\\", "Common\\Module\\", "Shop\\Web\\Module\\", "Shop2\\Common\\Module\\"]
-MODULES = ["Cart\\", "Stock\\", "Ledger\\", "Mail9\\", "Cart\\"]
-LAYERS = ["Domain\\", "Application\\", "Infrastructure\\", "Integration\\", "Domain\\", "Other\\"]
-PATHS = [
-    "Entity\\Basket", "Service\\Price\\QuoteServiceInterface", "ValueObject\\AmountVo", "Enum\\State", "Dto\\BasketDto", "UseCase\\Command\\Pay\\PayCommandHandler", "Repository\\BasketRepositoryInterface",
-    "Service\\Price\\QuoteService", "UseCase\\Command\\Pay\\PayCommand", "UseCase\\Query\\Show\\ShowQuery", "UseCase\\Query\\Show\\ShowQueryHandler", "Listener\\OnPaid", "Component\\Pdf\\PdfComponent",
-    "Component\\Pdf\\Page", "Model\\Row", "Entity\\ValueObject\\SumVo", "Service\\Integration\\PortInterface", "Enum\\KindDto",
-]
-KINDS = ["USE", "PARAMETER", "INHERIT", "PARAMETER", "STATIC_METHOD"]
-
 _RULE = "---\nname: {n}\ntype: rule\ndescription: about {n}\n---\n"
 _ALL = "# T\n## Общие правила\n## расположение.\n## Чек-лист ревью\n"
 

@@ -1,5 +1,5 @@
 from tessella import cli
-from tessella import fixtures as X
+from tests import fixtures as X
 
 
 def test_docs(spark, tmp_path, capsys):

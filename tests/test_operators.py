@@ -6,7 +6,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessella import fixtures as X
 from tessella.functions import markdown as M
 from tessella.functions import names as N
 from tessella.functions import scalars as S
@@ -19,6 +18,7 @@ from tessella.operators import tokens as K
 from tessella.plans.layers import CATALOG, RULESET, merged
 from tessella.sources import files, php
 from tessella.streaming import events
+from tests import fixtures as X
 
 A, B = "App\\Common\\Module\\One\\", "App\\Common\\Module\\Two\\"
 #: (depender, dependent, type, crosses modules, breaks a service contract)
@@ -55,6 +55,24 @@ def test_edge_rules(spark):
     triple = [F.col(c) for c in ("depender", "dependent", "dep_type")]
     got = {r.i: (int(r.a), int(r.b)) for r in df.select("i", E.cross_module(*triple).alias("a"), E.service_contract(*triple).alias("b")).collect()}
     assert got == {i: e[3:] for i, e in enumerate(EDGES)}
+    for k, rule in ((3, "CrossModule"), (4, "ServiceContract")):
+        broken = E.violating(df, rule)
+        assert broken.columns == df.columns and sorted(r.i for r in broken.collect()) == [i for i, e in enumerate(EDGES) if e[k]]
+        assert sorted(r.i for r in E.edge_violations(df, [rule]).collect()) == [i for i, e in enumerate(EDGES) if e[k]]
+    # A name is matched once, whatever is asked of its parts.
+    assert E.violating(df, "CrossModule")._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+
+
+def test_registered_edge_rules(spark):
+    E.register_edge_rule("Self", lambda a, b, kind: a == b, lambda b: F.lit("none"))
+    try:
+        df = spark.createDataFrame([("X", "X", "USE"), ("X", "Y", "USE")], "depender string, dependent string, dep_type string")
+        assert [tuple(r) for r in E.edge_violations(df).collect()] == [("X", "X", "USE", "Self", "none")]
+        assert E.violating(df, "Self").count() == 1
+        with pytest.raises(ValueError):
+            E.register_edge_rule("Self", E.cross_module, lambda b: b)
+    finally:
+        E.EDGE_RULES.pop("Self")
 
 
 def test_violation_names_first_layer(spark):
@@ -84,6 +102,12 @@ def test_closure_expands_plus(spark):
     assert ("Application", "ApplicationDto") in rows and ("Application", "ApplicationCommand") in rows and ("DomainVo", "DomainDto") not in rows
 
 
+def test_closure_of_a_cycle(spark):
+    got = {(r.layer, r.target) for r in E.allowed_layers(spark, {"a": ["+b", "x"], "b": ["+c"], "c": ["+a", "y"], "d": ["+a"], "e": ["a"]}).collect()}
+    every = {"a", "b", "c", "x", "y"}
+    assert got == {(layer, t) for layer in "abcd" for t in every} | {("e", "a")}
+
+
 def test_merged_configuration():
     assert merged({"a": [1], "b": {"c": 1}}, {"a": [1, 2], "b": {"d": 2}, "e": 3}) == {"a": [1, 2], "b": {"c": 1, "d": 2}, "e": 3}
 
@@ -139,6 +163,17 @@ def test_rule_registration(spark):
         P.RULES.pop("None")
 
 
+def test_rules_of_a_directory(spark, tmp_path):
+    (tmp_path / "a.py").write_text("from pyspark.sql import functions as F\nfrom tessella.operators import rules as P\nRULES = {'Own': lambda tokens, path: F.transform(F.slice(tokens, 1, 1), lambda t: P._at(t, 'First', 'the first token'))}\n")
+    (tmp_path / "_b.py").write_text("1 / 0")
+    assert P.register_directory(str(tmp_path)) == ["Own"]
+    try:
+        files_ = spark.createDataFrame([("a.php", "<?php\n")], "path string, content string")
+        assert [(r.rule, r.message) for r in P.violations(php.units(files_)).collect()] == [("Own", "the first token")]
+    finally:
+        P.RULES.pop("Own")
+
+
 def test_message_map(spark):
     t = php.tokens(spark.createDataFrame([("lib/calls.php", X.SOURCES["lib/calls.php"][0])], "path string, content string"))
     (row,) = R.message_map(P.violations(t, ["GlobalCalls"])).collect()
@@ -188,8 +223,14 @@ def test_criteria_errors(spark):
     df = spark.createDataFrame([(1, "u1", "x"), (2, "u2", None)], "id int, uuid string, v string")
     with pytest.raises(C.NoKey):
         C.get_by_id(df)
-    with pytest.raises(C.NotFound):
-        C.get_by_id(df, 9)
+    with pytest.raises(Exception, match="not found: id=9"):
+        C.get_by_id(df, 9).collect()
+    with pytest.raises(Exception, match="not found: uuid=u9"):
+        C.get_by_id(df, None, "u9").collect()
+    assert C.matching(df, object(), foreign="all").count() == 2
+    with pytest.raises(Exception, match="there twice: 2"):
+        C.merged_strict(df, df.filter("id = 2"), "id").collect()
+    assert [r.value for r in C.listed(spark, ["b", "a"]).collect()] == ["b", "a"]
     assert C.get_by_id(df, 1, "u2").head().uuid == "u1" and C.get_by_id(df, None, "u2").head().id == 2
     with pytest.raises(TypeError):
         C.matching(df, object())
@@ -204,10 +245,49 @@ def test_criteria_errors(spark):
 
 def test_batches_and_fix(spark, tmp_path):
     df = spark.range(10).toDF("id")
-    assert [[r.id for r in b.orderBy("id").collect()] for b in C.batches(df, "id", 4)] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
-    done = []
-    got = C.data_fix(df, F.col("id") < 3, {"id": F.lit(0)}, True, str(tmp_path / "csv"), lambda d: done.append(d.count()))
-    assert tuple(got.head()) == (3, 2) and done == [3] and spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
+    ids = lambda b: sorted(r.id for r in b.collect())
+    assert [(k, ids(b)) for k, b in C.batches(df, "id", 4)] == [(3, [0, 1, 2, 3]), (7, [4, 5, 6, 7]), (9, [8, 9])]
+    odd = spark.createDataFrame([(1,), (1,), (1,), (2,), (None,), (3,)], "id long")
+    assert [(k, b.count()) for k, b in C.batches(odd, "id", 2)] == [(1, 3), (3, 2), (None, 1)]
+    assert [k for k, _ in C.batches(odd, "id", 2, 2)] == [3, None] and list(C.batches(df.limit(0), "id", 2)) == []
+    big = spark.range(2500).toDF("id").withColumn("state", F.lit("old"))
+    done, kept = [], []
+    where, change, root = F.col("id") >= 100, {"state": F.lit("new")}, str(tmp_path)
+
+    def write(rows, number):
+        if number == 1 and len(done) == 1:
+            done.append("broken")
+            raise OSError("connection lost")
+        done.append((number, rows.filter("state = 'new'").count(), rows.agg(F.min("id")).head()[0]))
+
+    args = (big, where, change, True, lambda hit: kept.append(C.backup(hit, root, "StateFix", "orders", ("id",), datetime(2024, 5, 6, 7, 8, 9))), write, "id", 1000, str(tmp_path / "progress"))
+    with pytest.raises(OSError):
+        C.data_fix(*args)
+    assert tuple(C.data_fix(*args).head()) == (2400, 2400)
+    assert done == [(0, 1000, 100), "broken", (1, 1000, 1100), (2, 400, 2100)]
+    assert kept == [f"{root}/StateFix/orders-20240506-070809.csv"] and spark.read.option("header", True).csv(kept[0]).count() == 2400
+    assert tuple(C.data_fix(big, where, change, False).head()) == (2400, 2400) and len(done) == 4
+    with pytest.raises(ValueError):
+        C.data_fix(big, where, change, False, size=10)
+
+
+def test_relations_are_joined_on_demand(spark):
+    rows = spark.createDataFrame([(1, 10), (2, 20), (3, None)], "id int, owner int")
+    owners = spark.createDataFrame([(10, "a", 5), (20, "b", 9), (10, "a", 7)], "key int, name string, age int")
+    related = {"owner": C.Relation(owners, "owner", "key"), "other": C.Relation(owners, "id", "key")}
+    plan = lambda asked: C.matching(rows, asked, related)._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    both = C.Criteria(equal={"owner.name": "a", "id": 1}, at_least={"owner.age": 5}, like={"owner.name": "A"})
+    assert [r.id for r in C.matching(rows, both, related).collect()] == [1] and plan(both) == 1
+    assert plan(C.Criteria(equal={"id": 1, "owner.name": None})) == 0
+
+
+def test_sql_functions(spark):
+    from tessella.functions.sql import register
+
+    register(spark)
+    register(spark)
+    row = spark.sql("SELECT size_text(1024) a, size_text(0) b, size_text(1536) c, strip_extension('x.tar.gz') d, base_name('a/b/c.md') e, normal_email(' A@B.co ') f, normal_email('a@b') g").head()
+    assert tuple(row) == ("1 KB", "0 B", "1.5 KB", "x.tar", "c.md", "a@b.co", None)
 
 
 def test_sources(spark, tmp_path):
@@ -228,9 +308,32 @@ def test_sources(spark, tmp_path):
         files.decoded(spark.createDataFrame([("{",)], "body string"), "a int").collect()
 
 
+def test_external_service(spark):
+    asked = spark.createDataFrame([(1, "hello"), (2, "you")], "id int, prompt string")
+
+    def echo(body):
+        given = __import__("json").loads(body)
+        return '{"text": "%s!", "tokens": %d}' % (given["prompt"], given["id"])
+
+    got = files.external(asked, echo, "text string, tokens int").collect()
+    assert [(r.id, r.response.text, r.response.tokens) for r in got] == [(1, "hello!", 1), (2, "you!", 2)]
+    for broken in (lambda body: "no json", lambda body: 1 / 0, files.post("http://127.0.0.1:9/", 0.2)):
+        with pytest.raises(Exception, match="ExternalError"):
+            files.external(asked, broken, "text string").collect()
+
+
 def test_all_document_checks(spark):
     docs = spark.createDataFrame(X.DOCS, "path string, content string")
+    there = spark.createDataFrame(X.ENTRIES, "path string, is_dir boolean, basename string, extension string")
     assert D.internal_links(docs).filter("path = 'docs/a.md'").count() == 4
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(D.front_matter_errors(docs)) == sorted(X.FRONT_MATTER_ERRORS) and rows(D.naming_errors(there)) == sorted(X.NAMING_ERRORS)
+    assert rows(D.broken_links(docs, there)) == sorted(X.BROKEN_LINKS) and rows(D.missing_sections(docs)) == sorted(X.MISSING_SECTIONS)
+
+
+def test_fixes_of_sources(spark):
+    sources = spark.createDataFrame([(p, X.SOURCES[p][0]) for p in X.FIXED], "path string, content string")
+    assert {r.path: r.content for r in P.fixed(php.units(sources)).collect()} == X.FIXED
 
 
 def test_dispatch_after_commit(spark, tmp_path):
@@ -248,10 +351,23 @@ def test_dispatch_after_commit(spark, tmp_path):
     q = events.after_commit(commands, lambda b, n: log.append(("commit", b.count())), events.with_outbox(refuse, outbox), str(tmp_path / "cp"))
     q.awaitTermination()
     assert log == [("commit", 1), ("dispatch", 0)]
-    pending = spark.read.parquet(outbox)
-    assert pending.head().attempts == 1
-    assert events.relay(pending, lambda d: None).count() == 0
-    assert events.relay(pending, lambda d: 1 / 0).head().attempts == 2
+    assert spark.read.parquet(outbox).head().attempts == 1
+    assert events.relay(spark, lambda d: 1 / 0, outbox) == (0, 1)
+    assert [(r.event_id, r.attempts, r.reason) for r in spark.read.parquet(outbox).collect()] == [(1, 2, "division by zero")]
+    sent = []
+    assert events.relay(spark, lambda d: sent.append([r.event_id for r in d.collect()]), outbox) == (1, 0)
+    # What is published isn't published again.
+    assert events.relay(spark, lambda d: sent.append(d.count()), outbox) == (0, 0) and sent == [[1]]
+
+
+def test_failures_are_logged(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = spark.range(3)
+    events.with_failure_log(lambda b, n: None, log)(rows, 1)
+    with pytest.raises(OSError):
+        events.with_failure_log(lambda b, n: (_ for _ in ()).throw(OSError("no disk")), log)(rows, 7)
+    (row,) = spark.read.parquet(log).collect()
+    assert (row.batch, row.error) == (7, "OSError: no disk") and row["at"] is not None
 
 
 def test_spread_leaves_what_is_large(spark):
