@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textvec
-from tessella.llm.shared import bound_batches, written
+from tessella.llm.shared import bound_batches, written_by
 from tessella.llm.textvec import U
 
 ORDER = 3
@@ -341,7 +341,8 @@ def score(docs: DataFrame, held_out, order: int = ORDER, parts: int | None = Non
     spark = docs.sparkSession
     bound_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
-    blocks = written(_blocks(base), "blocks")
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = written_by(_blocks(base), "blocks", "block", shuffled)
     parts = parts or max(8, -(-blocks.count() * BLOCK_BYTES // RANGE_BYTES))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +352,8 @@ def score(docs: DataFrame, held_out, order: int = ORDER, parts: int | None = Non
                 yield _request(number, t, 1, None, parts)
 
     def counted(requests: DataFrame) -> DataFrame:
-        return requests.groupBy("part").applyInArrow(_answer, ANSWER)
+        # In as many parts as the blocks: all that is asked of answers then shares one shuffle.
+        return requests.groupBy("part").applyInArrow(_answer, ANSWER).repartition(shuffled, "block")
 
     def asker(level: int):
         def ask_more(block: pa.Table, given: pa.Table) -> pa.Table:

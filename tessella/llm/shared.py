@@ -70,6 +70,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """written(), in parts by a hash of key: groups and joins by key with as many parts then read it without a shuffle."""
+    spark = df.sparkSession
+    table_ = f"tessella_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, key).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(table_)
+    out = spark.table(table_)
+    spark.sql(f"DROP TABLE {table_}")  # its name alone: the files stay
+    return out
+
+
 #: Bits of a bitmap at most (16 MB), and for each row that it stands for.
 MOST_BITS, BITS_PER_ROW = 1 << 27, 16
 _PART = 1 << 15
