@@ -37,7 +37,8 @@ def shard(docs: DataFrame, n_shards: int = 40, weights: Sequence[float] | None =
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     weights: one for each shard (all 1 where not given). slot numbers a shard's rows from 0 without gaps, by the part
-    (a hash of the key) and doc_id; repeated rows get slots of their own. grown_shard is the shard once one more shard of
+    (a hash of the key and the text's CRC, so that the rows of one key don't meet in one part) and doc_id; repeated rows get
+    slots of their own. grown_shard is the shard once one more shard of
     new_weight is added. A null text has size 16 and CRC 0; a null doc_id counts as one key; an empty table gives no
     rows. Only the row count of each of n_shards * parts parts is broadcast, which doesn't grow with the data.
     """
@@ -55,8 +56,8 @@ def shard(docs: DataFrame, n_shards: int = 40, weights: Sequence[float] | None =
             F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
             (-F.col("_best")["minus"]).cast("int").alias("shard"),
             F.when(new > F.col("_best")["score"], F.lit(n_shards)).otherwise(-F.col("_best")["minus"]).cast("int").alias("grown_shard"),
-            (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % parts).cast("int").alias("_part"),
         )
+        .withColumn("_part", (F.conv(F.substring(F.md5(F.concat_ws(":", key, F.col("text_crc32").cast("string"))), 1, 8), 16, 10).cast("long") % parts).cast("int"))
     )
     before = W.partitionBy("shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = ids.groupBy("shard", "_part").count().select("shard", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
@@ -86,8 +87,9 @@ a AS (SELECT rid, arg_max(i, score) FILTER (i < {n_shards}) AS shard, arg_max(i,
 r AS (
   SELECT doc_id, octet_length(encode(text))::BIGINT + {OVERHEAD} AS size,
     xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c & 255, b) + 1)::INT]))) AS text_crc32,
-    shard::INT AS shard, grown::INT AS grown_shard, ('0x' || substr(md5(key), 1, 8))::BIGINT % {parts} AS part
+    shard::INT AS shard, grown::INT AS grown_shard, key
   FROM d JOIN a USING (rid), t)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, text_crc32, size) - 1 AS slot, grown_shard
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(key || ':' || text_crc32), 1, 8))::BIGINT % {parts}, doc_id, text_crc32, size) - 1 AS slot
 FROM r
 """

@@ -123,6 +123,12 @@ def test_sharding_odd(spark):
     assert sharding.shard(empty(spark), 5).count() == 0
 
 
+def test_rows_of_one_key_are_numbered_in_parts(spark):
+    docs = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('t', id) AS text")
+    rows = sharding.shard(docs, 4).collect()
+    assert len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(3000))
+
+
 def test_sharding_weights_and_growth(spark):
     docs = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text")
     got = Counter(r.shard for r in sharding.shard(docs, 3, [1, 2, 1]).collect())
