@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, decontam, langid, minhash
-from tessella.llm.shared import documents, written
+from tessella.llm.shared import documents, mark, release, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every document left."""
+    """doc_id, n_tokens, ids, offsets, ids_sha256, decoded_sha256 of every document left."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
@@ -36,7 +36,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The rows of the last stage over the documents of sf_dir.
+
+    Every other stage is written to the shared folder and read again, and what it and the stages before it have written
+    is deleted then. Documents are kept or dropped whole; null ids and repeated rows are each stage's affair; an empty
+    table gives no rows.
+    """
+    docs, begun = documents(spark, sf_dir), mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, begun, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

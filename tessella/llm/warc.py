@@ -194,7 +194,8 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
     """Write archives below path and return their list (archive, records, bytes), itself written in the shared folder.
 
     Each attempt of a task writes files of its own names, and only those of attempts that ended are in the list, so that
-    a lost executor leaves no wrong archive in it. A null html is an empty payload; a null url has no target header.
+    a lost executor leaves no wrong archive in it. A null html is an empty payload; a null url has no target header; a null
+    page_id is an empty number in the record's id.
     """
     bound_batches(pages.sparkSession)
 
@@ -230,7 +231,9 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
 
 
 def read(archives: DataFrame, path: str, payload: bool = True) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload) of every record of listed archives."""
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload) of every record of listed archives.
+
+    An empty number in a record's id is a null page_id; a record without a target header has a null url."""
     spark = archives.sparkSession
     bound_batches(spark)
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if payload else [])]

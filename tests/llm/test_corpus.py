@@ -449,3 +449,41 @@ def test_stages_keep_columns_and_odd_rows(spark, sf):
         assert out.columns == docs.columns
         assert stage(spark, empty(spark), sf).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_pipeline_over_an_empty_table(spark, sf, tmp_path):
+    documents(spark, sf).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids", "offsets", "ids_sha256", "decoded_sha256"] and out.count() == 0
+    # Without a benchmark nothing is contaminated.
+    documents(spark, sf).limit(5).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/benchmark.parquet").limit(0).write.mode("overwrite").parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_decontamination_ties(spark):
+    """Items of one text each have a row, and so does each of several equally good places' document."""
+    text = " ".join(f"w{k}" for k in range(20))
+    bench = spark.createDataFrame([(1, text), (2, text), (2, text)], "item_id long, text string")
+    df = odd(spark, [(1, f"{text} and {text}", "en"), (1, f"{text} and {text}", "en"), (2, "other", "en")])
+    got = sorted(map(tuple, decontam.contaminated(df, bench).select("doc_id", "item_id", "score", "first_word").collect()))
+    assert got == [(1, 1, 1.0, 0), (1, 1, 1.0, 0), (1, 2, 1.0, 0), (1, 2, 1.0, 0)]
+
+
+def test_many_edited_copies_and_item_lengths(spark):
+    """1, 100, 101 and 1,000 copies of an edited item are all found; items of 255 to 1,000 words flag no clean document."""
+    rng = random.Random(9)
+    item = [f"i{k}" for k in range(40)]
+    copy = ["changed" if k % 5 == 4 else w for k, w in enumerate(item)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for n in (1, 100, 101, 1000):
+        df = spark.createDataFrame([(i, f"a{i} " + " ".join(copy) + f" b{i}") for i in range(n)], "doc_id long, text string")
+        assert decontam.contaminated(df, bench).count() == n
+    words_ = [f"v{k}" for k in range(3000)]
+    clean = spark.createDataFrame([(i, " ".join(rng.choice(words_) for _ in range(120))) for i in range(300)], "doc_id long, text string")
+    items = [(n, " ".join(rng.choice(words_) for _ in range(n))) for n in (255, 256, 257, 300, 1000)]
+    long = spark.createDataFrame(items, "item_id long, text string")
+    assert decontam.contaminated(clean, long).count() == 0 and decontam.clean(clean, long).count() == 300
+    held = spark.createDataFrame([(n, "x y z " + t) for n, t in items], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(held, long).collect()} == {(n, n) for n, _ in items}

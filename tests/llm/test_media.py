@@ -183,6 +183,30 @@ def test_gif_store(spark, sf):
         assert all(r.error is None and r.media_sha256 == hashlib.sha256(r.media).hexdigest() and sum(sum(f.red) for f in r.frames) >= r.payload_bytes for r in rows)
 
 
+def drawn(payload):
+    """By brute force: each frame's histogram of the screen, over which frames of 64 rows are drawn from the top."""
+    chunks = [payload[i : i + 576 * 64] for i in range(0, len(payload), 576 * 64)]
+    screen, out = list(chunks[0]), []
+    for c in chunks:
+        screen[: len(c)] = c
+        out.append([sum(v // 32 == k for v in screen) for k in range(8)])
+    return out
+
+
+def test_gif_histograms_and_feature(spark, sf):
+    docs = documents(spark, sf).orderBy(F.desc("n_chars")).limit(3).union(documents(spark, sf).limit(20))
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, "q" * (576 * 64)), (-2, "r" * (576 * 64 + 1)), (-3, ""), (-4, None)], "doc_id long, text string"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    want = {i: drawn(t + b"\xff" * (max(1, -(-len(t) // 576)) * 576 - len(t))) for i, t in texts.items()}
+    for r in gif.read(gif.store(docs)).collect():
+        assert [f.red for f in r.frames] == [f.green for f in r.frames] == [f.blue for f in r.frames] == want[r.doc_id]
+        assert [(f.frame, f.start_ms, f.delay_ms) for f in r.frames] == [(k, k * 10 * gif.DELAY_CS, 10 * gif.DELAY_CS) for k in range(len(want[r.doc_id]))]
+    assert max(map(len, want.values())) > 1
+    features = {r.doc_id: r.feature for r in queries.op6_gif(spark, sf).filter(F.col("doc_id").isin([i for i in texts if i >= 0])).collect()}
+    red = lambda frames: ",".join(str(sum(f[k] for f in frames)) for k in range(8))
+    assert features == {i: f"frames={len(f)};red={red(f)}" for i, f in want.items() if i >= 0}
+
+
 # --- HTML ---
 
 
