@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 
 from tessella.llm import textvec
 from tessella.llm.components import connected
-from tessella.llm.shared import bitmap, bound_batches, in_bitmap, mark, release, texts, written
+from tessella.llm.shared import bitmap, bound_batches, in_bitmap, mark, release, texts, written, written_by
 
 PERMUTATIONS, PER_BAND = 64, 2
 BANDS = PERMUTATIONS // PER_BAND
@@ -143,16 +143,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     bound_batches(spark)
     found = _keyed(docs).select("text", "row").mapInArrow(run, "row long, set_id binary, set binary")
-    return found.join(wanted.select("row", "set_id", "cid"), ["row", "set_id"]).select("row", "set_id", "cid", "set").dropDuplicates(["row", "set_id"]).select("cid", "set")
+    return found.join(wanted.select("row", "set_id", "cid").hint("merge"), ["row", "set_id"]).select("row", "set_id", "cid", "set").dropDuplicates(["row", "set_id"]).select("cid", "set")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, shared, united): sizes of the intersection and union for every pair (a, b). A set that many pairs want is
     given to several parts, each with its share of them."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PAIRS_PER_SALT))).cast("int").alias("_parts"))
-    first = sets.join(parts, F.col("cid") == F.col("a")).select("a", "_parts", F.col("set").alias("set_a"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"))
+    first = sets.hint("merge").join(parts, F.col("cid") == F.col("a")).select("a", "_parts", F.col("set").alias("set_a"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"))
     spread = pairs.join(parts, "a").withColumn("_salt", F.pmod(F.xxhash64("b"), F.col("_parts").cast("long")).cast("int")).drop("_parts")
-    joined = spread.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b").join(first.drop("_parts"), ["a", "_salt"]).select("a", "b", "set_a", "set_b")
+    # Sets are never broadcast, at any size: the plan of a small table is that of a large one.
+    other = sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")).hint("merge")
+    joined = spread.join(other, "b").join(first.drop("_parts").hint("merge"), ["a", "_salt"]).select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +198,7 @@ def _left(crowd: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) ->
     labelled = crowd.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
     open_ = written(labelled.join(mixed, "key", "left_semi").select("cid", "label").distinct(), "open")
-    rare = written(_rare(sets.join(open_, "cid", "left_semi"), percent).join(open_, "cid"), "rare")
+    rare = written(_rare(sets.hint("merge").join(open_, "cid", "left_semi"), percent).join(open_, "cid"), "rare")
     kinds = rare.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("kinds"))
     groups = kinds.filter("kinds > 1").select("token", F.col("m.label").alias("main"))
     ours = rare.join(groups, "token")
@@ -219,7 +221,9 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     two = buckets.filter("k = 2").select(F.col("centre").alias("a"), F.col("last").alias("b"))
     pairs = written(two.union(crowd.filter("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b"))).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = written(_sets(docs, written(classes.select("cid", "row", "set_id").join(ids, "cid", "left_semi"), "wanted"), n), "sets")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = written(classes.select("cid", "row", "set_id").join(ids, "cid", "left_semi"), "wanted")
+    sets = written_by(_sets(docs, wanted, n).repartition(parts, "cid"), "sets", "cid", parts)
     found = written(_verified(pairs, sets).filter(near).select("a", "b"), "found")
     rest = written(_left(crowd.select("key", "cid"), sets, connected(found), percent), "rest")
     out = written(found.union(_verified(rest, sets).filter(near).select("a", "b")), "linked")
