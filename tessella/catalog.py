@@ -137,8 +137,7 @@ CLASSES = f"(SELECT DISTINCT depender AS name FROM {EDGES})"
 
 @query(f"SELECT name, unnest({_layers_sql('name')}) AS layer FROM {CLASSES}")
 def layer_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = edges(spark, sf_dir).select(F.col("depender").alias("name")).distinct()
-    return names.select("name", F.explode(E.layers_of(F.col("name"))).alias("layer"))
+    return E.classified(edges(spark, sf_dir).select(F.col("depender").alias("name")))
 
 
 RULES_SQL = values([(a, t.lstrip("+"), int(t.startswith("+"))) for a, ts in RULESET.items() for t in ts], "layer, target, expand")

@@ -79,10 +79,19 @@ def _matches(name: Column, pattern: str) -> Column:
 
 def layers_of(name: Column) -> Column:
     """array of the layers that a class is in, by name."""
-    of = [F.when(reduce(lambda x, y: x & y, [_matches(name, p) for p in must] + [~_matches(name, p) for p in must_not]), F.lit(layer)) for layer, (must, must_not) in sorted(CATALOG.items())]
+    # What mustn't match is one pattern: planning time grows with the number of expressions.
+    none_of = lambda patterns: [~name.rlike("|".join(f"(?:{p})" for p in patterns))] if patterns else []
+    of = [F.when(reduce(lambda x, y: x & y, [_matches(name, p) for p in must] + none_of(must_not)), F.lit(layer)) for layer, (must, must_not) in sorted(CATALOG.items())]
     return F.filter(F.array(*of), lambda x: x.isNotNull())  # some hundred patterns are too much for generated code
 
 
+def classified(names: DataFrame) -> DataFrame:
+    """(name, layer) of each distinct name and each layer that it is in."""
+    # An outer explode: from an inner one a filter on the layers is inferred, and moved to before the names are distinct.
+    every = names.select("name").distinct().select("name", F.explode_outer(layers_of(F.col("name"))).alias("layer"))
+    return every.filter(F.col("layer").isNotNull())
+
+
 def allowed_layers(spark, ruleset: dict[str, list[str]] = RULESET) -> DataFrame:
     """(layer, target): the ruleset with +X expanded. A ruleset is a configuration; its closure is made from constants."""
     return spark.createDataFrame(sorted(closure(ruleset)), "layer string, target string")
@@ -95,8 +104,8 @@ def ruleset_violations(edges: DataFrame, ruleset: dict[str, list[str]] = RULESET
     once each, not once an edge. The closure has at most the square of the catalog's layers as rows, which bounds what is
     broadcast."""
     own = edges.filter("depender <> dependent")
-    names = own.select(F.col("depender").alias("name")).union(own.select("dependent")).distinct().select("name", layers_of(F.col("name")).alias("layers")).filter(F.size("layers") > 0)
-    of = lambda column, layer: names.select(F.col("name").alias(column), F.explode("layers").alias(layer))
+    names = classified(own.select(F.col("depender").alias("name")).union(own.select("dependent")))
+    of = lambda column, layer: names.select(F.col("name").alias(column), F.col("layer").alias(layer))
     pairs = own.join(of("depender", "depender_layer_name"), "depender").join(of("dependent", "dependent_layer_name"), "dependent")
     allowed = allowed_layers(edges.sparkSession, ruleset).select(F.col("layer").alias("depender_layer_name"), F.col("target").alias("dependent_layer_name"))
     left = pairs.join(F.broadcast(allowed), ["depender_layer_name", "dependent_layer_name"], "left_anti")
