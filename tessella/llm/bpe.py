@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tessella.llm import textvec
-from tessella.llm.shared import bound_batches, texts
+from tessella.llm.shared import bound_batches, returning, texts
 
 # Codepoint classes: letter, number, other, the space, other white space, an apostrophe that begins a contraction of one or two letters,
 # the end of a text.
@@ -200,11 +200,54 @@ class Bpe:
         self.lengths = np.array([len(p) for p in pieces], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pair_keys, self.pair_ids = self._pairs()
         self.table = textvec.Table()
 
     def merge(self, piece: bytes) -> list[int]:
         return merge_pairs(piece, self.ranks)
 
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted pairs of ids (two in one number) that merge, and the ids that they merge to."""
+        ranks = self.ranks
+        found = {}
+        for piece, rank in ranks.items():
+            for i in range(1, len(piece)):
+                if (a := ranks.get(piece[:i])) is not None and (b := ranks.get(piece[i:])) is not None:
+                    found[a << 32 | b] = rank
+        keys = np.array(sorted(found), np.int64)
+        return keys, np.array([found[k] for k in keys.tolist()], np.int64)
+
+    def merge_many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of all pieces: ids one after another, and how many of each. All pieces take a merge at a time, each its
+        own pair of the lowest rank; long ones are merged by themselves."""
+        whole = [self.ranks.get(p) for p in pieces]
+        alone = {i: [r] if r is not None else merge_pairs(p, self.ranks) for i, (r, p) in enumerate(zip(whole, pieces, strict=True)) if r is not None or len(p) > HEAPED}
+        rest = [i for i in range(len(pieces)) if i not in alone]
+        owner = np.repeat(np.array(rest, np.int64), [len(pieces[i]) for i in rest])
+        ids = self.single[np.frombuffer(b"".join(pieces[i] for i in rest), np.uint8)]
+        done = [(np.array([i for i, run in alone.items() for _ in run], np.int64), np.array([x for run in alone.values() for x in run], np.int64))]
+        while len(ids):
+            key = ids[:-1] << 32 | ids[1:]
+            at = np.searchsorted(self.pair_keys, key)
+            at[at == len(self.pair_keys)] = 0
+            pos = np.flatnonzero((owner[1:] == owner[:-1]) & (self.pair_keys[at] == key))
+            mine = owner[pos]
+            first = np.flatnonzero(np.diff(mine, prepend=-1))
+            live = np.zeros(len(pieces), bool)
+            live[mine] = True
+            kept = live[owner]
+            done.append((owner[~kept], ids[~kept]))
+            if not len(pos):
+                break
+            best = np.minimum.reduceat(self.pair_ids[at[pos]] << 32 | pos, first)
+            place = best & 0xFFFFFFFF
+            ids[place] = best >> 32
+            kept[place + 1] = False
+            owner, ids = owner[kept], ids[kept]
+        owner, ids = (np.concatenate([d[k] for d in done]) for k in range(2))
+        return ids[np.argsort(owner, kind="stable")].astype(np.uint32), np.bincount(owner, minlength=len(pieces))
+
     def encode_batch(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and where each row's begin (with the end). raw, offs: the texts' bytes and where each begins."""
         lead = np.flatnonzero((raw & 0xC0) != 0x80)
@@ -213,8 +256,8 @@ class Bpe:
         ends = np.append(starts[1:], len(raw))[: len(starts)]
         whole = raw.tobytes()
 
-        def make(which: np.ndarray) -> list[list[int]]:
-            return [self.merge(whole[a:b]) for a, b in zip(starts[which].tolist(), ends[which].tolist())]
+        def make(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return self.merge_many([whole[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)])
 
         start, length = self.table.get(textvec.hash_spans(raw, starts, ends, lower=False), raw, starts, ends, make)
         ids = textvec.gather(self.table.pool, start, length)
@@ -260,7 +303,7 @@ def encode(docs: DataFrame, ranks_path: str, keep: bool = True) -> DataFrame:
             cols = [batch.column(0), pa.array(n_tokens, pa.int64()), *([pa.array(kept, pa.binary()), pa.array(places, pa.binary())] if keep else []), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", *(["ids", "offsets"] if keep else []), "ids_sha256", "decoded_sha256"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long" + ", ids binary, offsets binary" * keep + ", ids_sha256 string, decoded_sha256 string")
+    return texts(docs).mapInArrow(returning(run), "doc_id long, n_tokens long" + ", ids binary, offsets binary" * keep + ", ids_sha256 string, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, ranks_path: str, first: int = 0, end: int | None = None) -> DataFrame:
@@ -285,4 +328,4 @@ def decode(encoded: DataFrame, ranks_path: str, first: int = 0, end: int | None
                 out.append(bpe.decode(ids[a:b])[max(first - at, 0) : None if end is None else max(end - at, 0)].decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids", "offsets").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids", "offsets").mapInArrow(returning(run), "doc_id long, text string")

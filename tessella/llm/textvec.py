@@ -167,13 +167,13 @@ class Table:
     Entries are found by a hash and then compared byte by byte, so that a collision costs time and no more.
     """
 
-    def __init__(self, bits: int = 19, limit: int = 1 << 23) -> None:
+    def __init__(self, bits: int = 19, limit: int = 1 << 21) -> None:
         self.bits, self.limit = bits, limit
         self.clear()
 
     def clear(self) -> None:
         size = 1 << self.bits
-        self.keys, self.start, self.length, self.at, self.size = (np.zeros(size, t) for t in (U, np.int64, np.int64, np.int64, np.int64))
+        self.keys, self.start, self.length, self.at, self.size = (np.zeros(size, t) for t in (U, *[np.int32] * 4))
         self.size[:] = -1
         self.runs, self.spelt = Pool(np.uint32), Pool(np.uint8)
 
@@ -181,35 +181,34 @@ class Table:
     def pool(self) -> np.ndarray:
         return self.runs.values
 
-    def _put(self, values: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        length = np.fromiter(map(len, values), np.int64, len(values))
-        first = self.runs.add(np.fromiter((v for run in values for v in run), np.uint32, int(length.sum())))
-        return first + np.cumsum(length) - length, length
+    def _put(self, flat: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.runs.add(flat) + np.cumsum(length) - length, length
 
     def get(self, h: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and lengths in the pool for each span of raw, of hash h; make(indexes) gives the runs of those that aren't there.
+        """Starts and lengths in the pool for each span of raw, of hash h; make(indexes) gives the runs of those that aren't
+        there, one after another, and their lengths.
 
         A hash may depend on more than the bytes, if spans of equal bytes with other hashes are to have runs of their own."""
         if max(self.runs.used, self.spelt.used // 4) > self.limit:
             self.clear()
         room, size = padded(raw), ends - starts
         slot = (h & U(len(self.keys) - 1)).astype(np.int64)
-        start, length = self.start[slot], self.length[slot]
+        start, length = self.start[slot].astype(np.int64), self.length[slot].astype(np.int64)
         there = (self.keys[slot] == h) & (self.size[slot] == size)
         seen = np.flatnonzero(there)
-        there[seen] = equal_spans(room, starts[seen], self.spelt.values, self.at[slot[seen]], size[seen])
+        there[seen] = equal_spans(room, starts[seen], self.spelt.values, self.at[slot[seen]].astype(np.int64), size[seen])
         miss = np.flatnonzero(~there)
         if len(miss):
             unique, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
             model = miss[first]
-            at, n = self._put(make(model))
+            at, n = self._put(*make(model))
             start[miss], length[miss] = at[inverse], n[inverse]
             like = model[inverse]
             same = size[miss] == size[like]
             same[same] = equal_spans(room, starts[miss[same]], room, starts[like[same]], size[miss[same]])
             odd = miss[~same]
             if len(odd):  # spans that share a hash with another one of this call
-                start[odd], length[odd] = self._put(make(odd))
+                start[odd], length[odd] = self._put(*make(odd))
             spelt = self.spelt.add(gather(raw, starts[model], size[model])) + np.cumsum(size[model]) - size[model]
             slot = (unique & U(len(self.keys) - 1)).astype(np.int64)
             # Where several new hashes share a slot, all arrays keep the last one's values.

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textvec
-from tessella.llm.shared import bound_batches, texts
+from tessella.llm.shared import bound_batches, returning, texts
 
 #: Entries of the broadcast table and bytes of each at most: 92 bytes an entry, 6 MB in all, whatever the corpus.
 FREQUENT, LONGEST = 1 << 16, 64
@@ -142,9 +142,10 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, warm_rows:
                 n[at >= 0] = known.counts[at[at >= 0]]
                 rest, whole = np.flatnonzero(at < 0), raw.tobytes()
 
-                def make(which: np.ndarray) -> list[list[int]]:
+                def make(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     which = rest[which]
-                    return [[count_piece(sp, whole[a:b], c)] for a, b, c in zip(starts[which].tolist(), ends[which].tolist(), begins[which].tolist())]
+                    counts = [count_piece(sp, whole[a:b], c) for a, b, c in zip(starts[which].tolist(), ends[which].tolist(), begins[which].tolist(), strict=True)]
+                    return np.array(counts, np.uint32), np.ones(len(counts), np.int64)
 
                 start, _ = own.get(k[rest], raw, starts[rest], ends[rest], make)
                 n[rest] = own.pool[start]
@@ -154,4 +155,4 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, warm_rows:
             _, offs = textvec.buffers(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(total)], ["doc_id", "n_bytes", "n_tokens"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
+    return texts(docs).mapInArrow(returning(run), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

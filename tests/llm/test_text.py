@@ -58,7 +58,8 @@ def test_table_evicts_without_mixing():
         starts, ends = offs[:-1], offs[1:]
         h = textvec.hash_spans(raw, starts, ends) & np.uint64((1, 15, (1 << 64) - 1)[seed % 3])
         code = lambda i: [int(raw[starts[i] : ends[i]].sum()) * 1000 + int(ends[i] - starts[i])] * (int(raw[starts[i]]) % 3)  # noqa: B023, E731
-        start, length = t.get(h, raw, starts, ends, lambda which: [code(i) for i in which])  # noqa: B023
+        make = lambda which: (np.array([x for i in which for x in code(i)], np.uint32), np.array([len(code(i)) for i in which], np.int64))  # noqa: B023, E731
+        start, length = t.get(h, raw, starts, ends, make)
         assert all(t.pool[a : a + n].tolist() == code(i) for i, (a, n) in enumerate(zip(start, length, strict=True)))
 
 
@@ -85,7 +86,7 @@ def counted(texts, table=None):
     sp, out, table = tokcount.processor(MODEL), [], table or textvec.Table()
     for _, _, raw, offs in textvec.chunks(pa.array(texts, pa.string())):
         starts, ends, begins = tokcount.split(raw, offs)
-        make = lambda which: [[tokcount.count_piece(sp, raw.tobytes()[starts[i] : ends[i]], bool(begins[i]))] for i in which]  # noqa: B023, E731
+        make = lambda which: (np.array([tokcount.count_piece(sp, raw.tobytes()[starts[i] : ends[i]], bool(begins[i])) for i in which], np.uint32), np.ones(len(which), np.int64))  # noqa: B023, E731
         start, _ = table.get(tokcount.keys(raw, starts, ends, begins), raw, starts, ends, make)
         sums = np.concatenate([[0], np.cumsum(table.pool[start])])
         out += np.diff(sums[np.searchsorted(starts, offs)]).astype(int).tolist()
@@ -195,6 +196,8 @@ def test_pretokens_and_merges():
     for piece in (b" tokenizer", "ünï".encode(), b"aaaaaaa", b"x", *(rng.integers(97, 97 + k, n).astype(np.uint8).tobytes() for k in (1, 2, 26) for n in (5, 60, 255, 256, 257, 3000))):
         want = library()._core_bpe.encode_single_piece(piece)
         assert bpe.merge_pairs(piece, ranks) == want
+        ids, length = bpe.codec(RANKS).merge_many([b"x", piece, b"zqzqzq", piece])
+        assert np.split(ids, np.cumsum(length))[1].tolist() == want == np.split(ids, np.cumsum(length))[3].tolist()
         assert len(piece) == 1 or piece in ranks or bpe._merge_long(piece, ranks) == want
 
 
