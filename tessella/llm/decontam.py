@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import textvec
-from tessella.llm.shared import bound_batches, texts
+from tessella.llm.shared import bound_batches, returning, texts
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of an item's own score.
@@ -253,7 +253,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], ["doc_id", "item_id", "score", "matched_words", "first_word", "end_word"])
 
-        out = out.union(base.mapInArrow(search, schema))
+        out = out.union(base.mapInArrow(returning(search), schema))
     return out
 
 
@@ -276,5 +276,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                 rows = batch.filter(pa.array(stays))
                 yield pa.RecordBatch.from_arrays(rows.columns[:-1], rows.schema.names[:-1])
 
-        out = out.withColumn(name, F.lower(F.col("text").cast("string"))).mapInArrow(keep, docs.schema)
+        out = out.withColumn(name, F.lower(F.col("text").cast("string"))).mapInArrow(returning(keep), docs.schema)
     return out

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.llm import textvec
-from tessella.llm.shared import bound_batches, texts
+from tessella.llm.shared import bound_batches, returning, texts
 
 #: Labelled rows that the model is fitted on, about: those of the smallest hashes.
 SAMPLE_ROWS = 20_000
@@ -200,7 +200,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return rows.mapInArrow(run, "level int, hash long, lang string, n long").groupBy("level", "hash", "lang").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(returning(run), "level int, hash long, lang string, n long").groupBy("level", "hash", "lang").agg(F.sum("n").alias("n"))
 
 
 def train(labelled: DataFrame, sample_rows: int | None = SAMPLE_ROWS, most_words: int | None = WORDS, most_grams: int | None = GRAMS) -> Model:
@@ -264,7 +264,7 @@ def identify(docs: DataFrame, model: Model, extra: dict[str, Column] | None = No
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(score)], [*(n for n, _ in kept), "lang_pred", "score"])
 
-    return base.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kept) + ", lang_pred string, score double")
+    return base.mapInArrow(returning(run), ", ".join(f"`{n}` {t}" for n, t in kept) + ", lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -282,7 +282,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                 stays += [x != UNDETERMINED and s >= least for x, s in zip(langs, scores.tolist())]
             yield batch.filter(pa.array(stays, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(returning(run), docs.schema)
 
 
 def held_out(docs: DataFrame) -> Column:

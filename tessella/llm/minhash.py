@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 
 from tessella.llm import textvec
 from tessella.llm.components import connected
-from tessella.llm.shared import bitmap, bound_batches, in_bitmap, mark, release, texts, written, written_by
+from tessella.llm.shared import bitmap, bound_batches, in_bitmap, mark, release, returning, texts, written, written_by
 
 PERMUTATIONS, PER_BAND = 64, 2
 BANDS = PERMUTATIONS // PER_BAND
@@ -97,7 +97,7 @@ def features(docs: DataFrame, n: int) -> DataFrame:
                     bands.append(next(keys).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.binary())], names)
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, row long, n_shingles long, set_id binary, bands binary")
+    return _keyed(docs).mapInArrow(returning(run), "doc_id long, text_hash long, row long, n_shingles long, set_id binary, bands binary")
 
 
 def _members(classes: DataFrame, keys: np.ndarray | None = None) -> DataFrame:
@@ -113,7 +113,7 @@ def _members(classes: DataFrame, keys: np.ndarray | None = None) -> DataFrame:
                 key, cid = key[kept], cid[kept]
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid)], ["key", "cid"])
 
-    return classes.select("cid", "bands").mapInArrow(run, "key long, cid long")
+    return classes.select("cid", "bands").mapInArrow(returning(run), "key long, cid long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rows[hit]), pa.array(ids, pa.binary()), pa.array(sets, pa.binary())], ["row", "set_id", "set"])
 
     bound_batches(spark)
-    found = _keyed(docs).select("text", "row").mapInArrow(run, "row long, set_id binary, set binary")
+    found = _keyed(docs).select("text", "row").mapInArrow(returning(run), "row long, set_id binary, set binary")
     return found.join(wanted.select("row", "set_id", "cid").hint("merge"), ["row", "set_id"]).select("row", "set_id", "cid", "set").dropDuplicates(["row", "set_id"]).select("cid", "set")
 
 
@@ -167,7 +167,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 united.append(len(p) + len(q) - same)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(united, pa.int64())], ["a", "b", "shared", "united"])
 
-    return joined.mapInArrow(run, "a long, b long, shared long, united long")
+    return joined.mapInArrow(returning(run), "a long, b long, shared long, united long")
 
 
 def _rare(sets: DataFrame, percent: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _rare(sets: DataFrame, percent: int) -> DataFrame:
             size = np.diff(offs) // 8
             yield pa.RecordBatch.from_arrays([pa.array(raw.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(np.repeat(size, size))], ["token", "cid", "n"])
 
-    tokens = sets.select("cid", "set").mapInArrow(run, "token long, cid long, n long")
+    tokens = sets.select("cid", "set").mapInArrow(returning(run), "token long, cid long, n long")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     of = W.partitionBy("cid")
     least = F.expr(f"n - ceil({percent} * n / 100D - 1e-9) + 1")
