@@ -240,6 +240,32 @@ def batches(rows: DataFrame, key: str, size: int, after: Any = None) -> Iterator
         yield None, unkeyed
 
 
+#: Ranges of keys that rows are numbered in, at most, and the rows of one.
+MOST_RANGES, RANGE_ROWS = 256, 100_000
+
+
+def numbered_batches(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows with batch, the number from 0 of the size rows by key that each comes in: all batches at once, for work that
+    needs no loop. Rows without a key come last; equal keys may be in two batches.
+
+    Rows are numbered within ranges of keys, cut at a sample. Only the sample and the ranges' counts go to the driver."""
+    total = rows.count()
+    ranges = min(MOST_RANGES, total // RANGE_ROWS + 1)
+    cuts: list[Any] = []
+    if ranges > 1:
+        sample = rows.select(key).filter(F.col(key).isNotNull()).sample(min(1.0, 64 * ranges / total), seed=1).orderBy(key)
+        found = [r[0] for r in sample.collect()]
+        cuts = sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+    kind = rows.schema[key].dataType
+    bounds = F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else F.array().cast(f"array<{kind.simpleString()}>")
+    part = F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(F.size(F.filter(bounds, lambda c: c < F.col(key))))
+    parted = rows.withColumn("_part", part)
+    counts = {r["_part"]: r["count"] for r in parted.groupBy("_part").count().collect()}
+    before = [sum(counts.get(j, 0) for j in range(i)) for i in range(len(cuts) + 2)]
+    place = F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1 + F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_part"))
+    return parted.withColumn("batch", F.floor(place / size)).drop("_part")
+
+
 def backup(rows: DataFrame, root: str, fix: str, prefix: str, headers: tuple[str, ...], now: datetime | None = None) -> str:
     """Keep rows, to the columns in headers, as CSV under root/fix/prefix-date-time.csv; that path."""
     path = f"{root.rstrip('/')}/{fix}/{prefix}-{(now or datetime.now()).strftime('%Y%m%d-%H%M%S')}.csv"

@@ -271,6 +271,30 @@ def test_batches_and_fix(spark, tmp_path):
         C.data_fix(big, where, change, False, size=10)
 
 
+def test_batches_are_numbered_at_once(spark, tmp_path, monkeypatch):
+    from tessella import catalog
+    from tests.oracle import both
+
+    keys = [*range(1000), *[500] * 90, *[None] * 50]
+    spark.createDataFrame([((k * 7) % 1000 if k is not None else None,) for k in keys], "s_suppkey long").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    (part,) = (tmp_path / "supplier.parquet").glob("part-*.parquet")
+    part.rename(tmp_path / "s.parquet")
+    (tmp_path / "supplier.parquet").rename(tmp_path / "folder")
+    (tmp_path / "s.parquet").rename(tmp_path / "supplier.parquet")
+    tracker = spark.sparkContext.statusTracker()
+    for rows, name in ((C.RANGE_ROWS, "one range"), (100, "ranges")):
+        monkeypatch.setattr(C, "RANGE_ROWS", rows)
+        spark.sparkContext.setJobGroup(name, name)
+        try:
+            mine, theirs = both(spark, tmp_path, catalog.QUERIES["batch_loop"], catalog.ORACLES["batch_loop"])
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert mine == theirs and len(mine) == 1140 and len(tracker.getJobIdsForGroup(name)) < 12
+    assert C.numbered_batches(spark.range(0).toDF("k"), "k", 2).count() == 0
+    text = spark.createDataFrame([("b",), ("a",), (None,), ("c",)], "k string")
+    assert sorted(tuple(r) for r in C.numbered_batches(text.filter("k IS NOT NULL"), "k", 2).collect()) == [("a", 0), ("b", 0), ("c", 1)]
+
+
 def test_relations_are_joined_on_demand(spark):
     rows = spark.createDataFrame([(1, 10), (2, 20), (3, None)], "id int, owner int")
     owners = spark.createDataFrame([(10, "a", 5), (20, "b", 9), (10, "a", 7)], "key int, name string, age int")
