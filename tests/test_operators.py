@@ -407,3 +407,16 @@ def test_names_behind_many_comments():
     far = " /* x */\n" * 60
     rows = php.tokenize(f"<?php class{far}A {{ function{far}f() {{}} }}")
     assert [(r["code"], r.get("name")) for r in rows if r["code"] in ("T_CLASS", "T_FUNCTION", "T_ANON_CLASS", "T_CLOSURE")] == [("T_CLASS", "A"), ("T_FUNCTION", "f")]
+
+
+def test_tasks_have_a_bounded_number_of_files(spark, tmp_path):
+    from tessella import catalog
+    from tessella.sources.tables import KEYS
+
+    def tasks(n):
+        folder = tmp_path / str(n)
+        spark.range(n, numPartitions=1).toDF("p_partkey").write.parquet(f"{folder}/part.parquet")
+        return catalog.files(spark, str(folder)).rdd.getNumPartitions()
+
+    cores = spark.sparkContext.defaultParallelism
+    assert tasks(10) == cores and tasks(1_000_000) > max(cores, 4_000_000 // KEYS)
