@@ -1,6 +1,7 @@
 from datetime import datetime
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -420,3 +421,20 @@ def test_tasks_have_a_bounded_number_of_files(spark, tmp_path):
 
     cores = spark.sparkContext.defaultParallelism
     assert tasks(10) == cores and tasks(1_000_000) > max(cores, 4_000_000 // KEYS)
+
+
+def test_files_share_batches_of_a_bounded_size(spark, monkeypatch):
+    content = "<?php final class A { public function f(int $x) { return [$x, 'y']; } }"
+    paths = pa.array([f"{i}.php" for i in range(300)])
+    made = []
+    one = spark.createDataFrame([("a", "b")], "path string, content string")
+    monkeypatch.setattr(type(one), "mapInArrow", lambda self, run, schema: made.append(run))
+    php.units(one)
+    monkeypatch.undo()
+    monkeypatch.setattr(php, "MOST_TOKENS", 1000)
+    given = pa.RecordBatch.from_arrays([paths, pa.array([None, "", *[content] * 298])], ["path", "content"])
+    out = list(made[0](iter([given, given.slice(0, 0)])))
+    own = len(php.tokenize(content))
+    assert pa.Table.from_batches(out)["path"].to_pylist() == paths.to_pylist()
+    assert max(sum(map(len, b.column(1).to_pylist())) for b in out) < 1000 + own and len(out) == -(-298 * own // (-(-1000 // own) * own))
+    assert pa.Table.from_batches(out)["tokens"].to_pylist() == [[], []] + [php.tokenize(content)] * 298
