@@ -190,7 +190,8 @@ def use_case_naming(tokens: Column, path: Column) -> Column:
         return bound(suffix, judged)
 
     own = F.filter(tokens, lambda t: (t["code"] == "T_CLASS") & t["name"].isNotNull())
-    return F.when(starts(below, "src/Module/") & kind.isNotNull(), F.flatten(F.transform(own, check))).otherwise(_none())
+    # Most paths are no use case's, which needs no regular expression to tell.
+    return F.when(has(plain, "/Application/UseCase/") & starts(below, "src/Module/") & kind.isNotNull(), F.flatten(F.transform(own, check))).otherwise(_none())
 
 
 NO_CALL_AFTER = ("T_NEW", "T_FUNCTION", "T_FN", "T_USE", "T_CONST", "T_DOUBLE_COLON", "T_OBJECT_OPERATOR", "T_NULLSAFE_OBJECT_OPERATOR", "T_EXTENDS", "T_IMPLEMENTS", "T_INSTANCEOF", "T_ATTRIBUTE")
@@ -257,5 +258,7 @@ def fixed(source: DataFrame) -> DataFrame:
     of = lambda code: F.transform(F.filter("found", lambda v: v["code"] == code), lambda v: v["idx"])
     until = lambda i: F.coalesce(_first(F.col("tokens"), lambda t: (t["idx"] > i) & (t["code"] == "T_SEMICOLON"))["idx"], i)
     cut = found.select("path", "tokens", of("FullyQualifiedGlobalFunctionCall").alias("calls"), F.transform(of("GlobalFunctionImport"), lambda i: F.struct(i.alias("a"), until(i).alias("b"))).alias("cuts"))
+    whole = F.transform("tokens", lambda t: t["content"])
     text = F.transform("tokens", lambda t: F.when(F.exists("cuts", lambda c: (t["idx"] >= c["a"]) & (t["idx"] <= c["b"])), "").when(F.array_contains("calls", t["idx"]), F.ltrim(t["content"], F.lit("\\"))).otherwise(t["content"]))
-    return cut.select("path", F.array_join(text, "").alias("content"))
+    clean = (F.size("cuts") == 0) & (F.size("calls") == 0)
+    return cut.select("path", F.array_join(F.when(clean, whole).otherwise(text), "").alias("content"))
