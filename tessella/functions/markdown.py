@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.names import bound
+
 LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 
 
@@ -30,20 +32,18 @@ def front_matter(content: Column) -> Column:
         F.trim(F.substring_index(x, ":", 1)).alias("key"),
         F.regexp_replace(F.trim(x.substr(F.locate(":", x) + 1, F.length(x))), r"""^["'](.*)["']\s*$""", "$1").alias("value"),
     )
-    fields = F.transform(lines, pair)
-    last = F.filter(fields, lambda f, i: ~F.exists(F.slice(fields, i + 2, F.size(fields)), lambda g: g["key"] == f["key"]))
-    return F.when(has_front_matter(content), F.map_from_entries(last))
+    last = lambda fields: F.filter(fields, lambda f, i: ~F.exists(F.slice(fields, i + 2, F.size(fields)), lambda g: g["key"] == f["key"]))
+    return F.when(has_front_matter(content), F.map_from_entries(bound(F.transform(lines, pair), last)))
 
 
 def links(text: Column) -> Column:
     """array of struct(text, target, line): links to other documents, line by line, from line 1."""
-    each = F.transform(
-        F.split(text, "\n"),
-        lambda line, i: F.transform(
-            F.arrays_zip(F.regexp_extract_all(line, F.lit(LINK), 1).alias("t"), F.regexp_extract_all(line, F.lit(LINK), 2).alias("u")),
-            lambda z: F.struct(z["t"].alias("text"), z["u"].alias("target"), (i + 1).cast("int").alias("line")),
-        ),
+    found = lambda line, i: F.transform(
+        F.arrays_zip(F.regexp_extract_all(line, F.lit(LINK), 1).alias("t"), F.regexp_extract_all(line, F.lit(LINK), 2).alias("u")),
+        lambda z: F.struct(z["t"].alias("text"), z["u"].alias("target"), (i + 1).cast("int").alias("line")),
     )
+    # A line without the middle of a link has none.
+    each = F.transform(F.split(text, "\n"), lambda line, i: F.when(line.contains("]("), found(line, i)).otherwise(F.array().cast("array<struct<text:string,target:string,line:int>>")))
     return F.filter(F.flatten(each), lambda x: ~x["target"].rlike("^(https?:|mailto:|#|tel:)") & ~x["target"].contains("{"))
 
 

@@ -438,3 +438,23 @@ def test_files_share_batches_of_a_bounded_size(spark, monkeypatch):
     assert pa.Table.from_batches(out)["path"].to_pylist() == paths.to_pylist()
     assert max(sum(map(len, b.column(1).to_pylist())) for b in out) < 1000 + own and len(out) == -(-298 * own // (-(-1000 // own) * own))
     assert pa.Table.from_batches(out)["tokens"].to_pylist() == [[], []] + [php.tokenize(content)] * 298
+
+
+def test_documents_are_parsed_once_and_after_they_are_spread(spark, sf):
+    from tessella import catalog
+
+    for name in ("docs_totals", "docs_verdict", "docs_report", "docs_sections_missing"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        parsing = [i for i, line in enumerate(plan.split("\n")) if "^## .+" in line]
+        shuffled = next(i for i, line in enumerate(plan.split("\n")) if "RepartitionByExpression" in line)
+        assert len(parsing) == 1 and parsing[0] < shuffled, name
+
+
+def test_all_errors_of_null_contents_and_paths(spark):
+    docs = spark.createDataFrame([("a.md", None), (None, "[x](y.md)"), ("link", "---\ntype: rule\n---\n[x](a.md) [y](b.md)")], "path string, content string")
+    there = spark.createDataFrame([("a.md", False), ("link", False)], "path string, is_dir boolean")
+    got = sorted((r.check, r.path or "", r.line or 0, r.detail) for r in D.all_errors(docs, there).collect())
+    apart = [("front-matter", r.path or "", 0, r.detail) for r in D.front_matter_errors(docs).collect()]
+    apart += [("link", r.path or "", r.line, r.target) for r in D.broken_links(docs, there).collect()]
+    apart += [("section", r.path, 0, r.detail) for r in D.missing_sections(docs).collect()]
+    assert got == sorted(apart) and ("link", "link", 1, "b.md") in got and len([r for r in got if r[0] == "section"]) == 3
